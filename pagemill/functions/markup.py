@@ -68,12 +68,12 @@ def tag_name(tag: Column) -> Column:
 
 
 def fenced(tag: Column) -> Column:
-    """Rewrite ``name="value"`` pairs with control-character fences.
+    """Rewrite ``name="value"`` pairs with control-character fences, values decoded.
 
     Quotes are gone afterwards and a pair inside a quoted value cannot be
     mistaken for an attribute.
     """
-    return F.regexp_replace(tag, _PAIR, f"{_OPEN}$1{_MID}$2$3$4{_SHUT}")
+    return decode_entities(F.regexp_replace(tag, _PAIR, f"{_OPEN}$1{_MID}$2$3$4{_SHUT}"))
 
 
 def has_attr(fenced_tag: Column, name: str) -> Column:
@@ -85,10 +85,8 @@ def attr_is(fenced_tag: Column, name: str, value: str) -> Column:
 
 
 def attr(fenced_tag: Column, name: str) -> Column:
-    """Decoded attribute value, empty when absent."""
-    return decode_entities(
-        F.regexp_extract(fenced_tag, f"(?i){_OPEN}{name}{_MID}([^{_SHUT}]*){_SHUT}", 1)
-    )
+    """Attribute value, empty when absent."""
+    return F.regexp_extract(fenced_tag, f"(?i){_OPEN}{name}{_MID}([^{_SHUT}]*){_SHUT}", 1)
 
 
 def attr_or_null(fenced_tag: Column, name: str) -> Column:

@@ -79,7 +79,7 @@ def _char_of(ref: Column) -> Column:
     """Character of a reference such as ``amp``, ``#233`` or ``#xe9``; null when unknown."""
 
     def by_code(code: Column) -> Column:
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        valid = code.between(9, 0xD7FF) | code.between(0xE000, 0x10FFFF)
         return F.coalesce(
             F.try_element_at(_entity_map(), F.concat(F.lit("#"), code.cast("string"))),
             F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")),

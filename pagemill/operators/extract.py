@@ -38,6 +38,7 @@ DATE_ATTRS = [
     ("name", "date"),
 ]
 # Written date forms read besides the ISO ones.
+WEEKDAY = r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
 DATE_FORMATS = (
     "MMMM d, yyyy",
     "MMM d, yyyy",
@@ -45,8 +46,8 @@ DATE_FORMATS = (
     "d MMM yyyy",
     "M/d/yyyy",
     "yyyy/M/d",
-    "EEE, d MMM yyyy HH:mm:ss z",
-    "EEE, d MMM yyyy HH:mm:ss Z",
+    "d MMM yyyy HH:mm:ss z",
+    "d MMM yyyy HH:mm:ss Z",
     "MMMM d, yyyy HH:mm:ss",
     "MMMM d, yyyy h:mm a",
 )
@@ -137,7 +138,7 @@ def parse_date(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
         iso = F.when(t.rlike(r"^[0-9]{4}(?:-[0-9]{1,2}){0,2}(?:$|[T ])"), t.try_cast("timestamp"))
         return F.coalesce(iso, *[F.try_to_timestamp(t, F.lit(f)) for f in formats])
 
-    return X.let(text, parse)
+    return X.let(F.regexp_replace(text, WEEKDAY, ""), parse)
 
 
 def published_date() -> Column:

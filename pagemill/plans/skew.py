@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000
+NULL_SLICES = 4096
 
 
 def spread_join(
@@ -30,9 +31,12 @@ def spread_join(
         .select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_slices"))
     )
     last = F.coalesce(F.col("_slices"), F.lit(1)) - 1
+    # A null key matches nothing, so such rows may go anywhere.
+    keyless = F.exists(F.array(*[F.col(c).isNull() for c in on]), lambda missing: missing)
+    slices = F.when(keyless, NULL_SLICES).otherwise(last + 1)
     left = (
         large.join(F.broadcast(hot), on, "left")
-        .withColumn("_slice", F.pmod(F.xxhash64(spread_by), last + 1).cast("int"))
+        .withColumn("_slice", F.pmod(F.xxhash64(spread_by), slices).cast("int"))
         .drop("_slices")
     )
     right = (
