@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pagemill import schemas as S
 from pagemill.functions import text as X
+from pagemill.plans.unnest import unnest
 
 # Topics with their keywords.
 TOPIC_KEYWORDS = {
@@ -145,7 +146,8 @@ def term_hits(text: Column, topics: Dictionary) -> Column:
             heads = sorted({p.split(" ")[0] for p in phrases})
 
             def phrase_at(t: Column, i: Column) -> Column:
-                phrase = F.array_join(F.slice(tokens, i + 1, F.lit(2 * length - 1)), "")
+                # Single element reads; slicing would copy the token array for every word.
+                phrase = F.concat(t, *[F.get(tokens, i + step) for step in range(1, 2 * length - 1)])
                 return F.when(
                     t.isin(heads),
                     X.let(phrase, lambda p: F.when(
@@ -166,11 +168,12 @@ def match_keywords(texts: DataFrame, key: str, topics: Dictionary = TOPIC_KEYWOR
     and joined to the dictionary; their counts are combined before the shuffle.
     """
     spark = texts.sparkSession
-    hits = texts.select(
+    found = texts.select(
         key,
         X.count_chunks(F.col("text")).alias("n_chunks"),
-        F.explode(term_hits(F.col("text"), topics)).alias("hit"),
-    ).select(key, "n_chunks", F.col("hit.pos").alias("pos"), F.col("hit.term").alias("term"))
+        term_hits(F.col("text"), topics).alias("hits"),
+    )
+    hits = unnest(found, "hits", key, "n_chunks").select(key, "n_chunks", "item.pos", "item.term")
     return (
         hits.join(dictionary_table(spark, topics), "term")
         .groupBy(key, "topic", "topic_ord", "n_keywords", "n_chunks", F.col("term").alias("keyword"))
@@ -342,7 +345,7 @@ def merge_url_topics(
 def topics_detected(metadata: DataFrame) -> DataFrame:
     """Pages per topic, from a ``topics`` array column."""
     return (
-        metadata.select(F.explode("topics.topic").alias("topic"))
+        unnest(metadata, "topics.topic", item="topic")
         .groupBy("topic")
         .agg(F.count(F.lit(1)).alias("pages"))
     )
