@@ -20,6 +20,8 @@ def queries() -> dict[str, Query]:
 
 def expected_sql() -> dict[str, str]:
     found: dict[str, str] = {}
-    for name in MODULES:
-        found.update(import_module(f"pagemill.catalog.{name}").SQL)
+    # All modules first: some state the SQL of queries that others register.
+    modules = [import_module(f"pagemill.catalog.{name}") for name in MODULES]
+    for module in modules:
+        found.update(module.SQL)
     return found

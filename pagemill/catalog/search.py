@@ -81,6 +81,9 @@ WHERE shared / (n + (SELECT count(*) FROM q) - shared) >= {floor}"""
 
 
 SQL = {
+    "contains_filter": f"""WITH {TC.hits_sql(TC.RICH_TEXT_SQL, 'page_id', TC.SAMPLE_TOPICS)}
+SELECT page_id, page_id % 7 = 3 AS has_k3,
+  page_id IN (SELECT page_id FROM chosen WHERE topic = 'pairs') AS has_pairs FROM pages""",
     "fulltext_all": f"""SELECT page_id, title FROM (SELECT page_id, {TITLE_SQL} AS title, {PARAGRAPH_SQL} AS d FROM pages)
 WHERE list_has_all(regexp_extract_all(lower(title || ' ' || d), '[\\p{{L}}\\p{{N}}_]+'), ['the', 'of'])""",
     "fulltext_any": """SELECT doc_id FROM documents

@@ -224,3 +224,17 @@ WHERE rank <= 10""",
     "topics_detected": f"WITH {hits_sql(_PAGES, 'page_id', SAMPLE_TOPICS)} "
     "SELECT topic, count(*) AS pages FROM chosen GROUP BY topic",
 }
+
+# Rich pages: their text, and what the summary and containment queries read from it.
+RICH_TEXT_SQL = f"""
+SELECT m.page_id, concat_ws(' ', nullif(m.title, ''), nullif(m.description, ''), replace(m.keyword_list, '|', ' '),
+  nullif({P.BODY_SQL}, '')) AS text
+FROM ({P.SQL['page_meta_fields']}) m JOIN (SELECT page_id, {D.RICH_HTML} AS html FROM pages) h ON m.page_id = h.page_id"""
+
+P.SQL["page_summary"] = f"""WITH {hits_sql(RICH_TEXT_SQL, 'page_id', T.TOPIC_KEYWORDS)},
+l AS (SELECT page_id, count(*) AS n FROM ({P.SQL['page_links']}) GROUP BY page_id),
+i AS (SELECT page_id, count(*) AS n FROM ({P.SQL['page_images']}) GROUP BY page_id),
+c AS (SELECT page_id, count(*) AS n, string_agg(topic, '|' ORDER BY rank) FILTER (WHERE rank <= 3) AS names FROM chosen GROUP BY page_id)
+SELECT page_id, CAST(6 AS INT) AS n_keywords, CAST(i.n AS INT) AS n_images, CAST(l.n AS INT) AS n_links,
+  CAST(coalesce(c.n, 0) AS INT) AS n_topics, coalesce(c.names, '') AS top_topics
+FROM pages JOIN l USING (page_id) JOIN i USING (page_id) LEFT JOIN c USING (page_id)"""

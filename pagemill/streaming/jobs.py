@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill import schemas as S
@@ -10,13 +10,14 @@ from pagemill.operators import extract as E
 from pagemill.operators.metrics import or_unknown
 from pagemill.operators.queue import latest
 from pagemill.operators.robots import is_allowed
+from pagemill.operators.topics import TOPIC_KEYWORDS, Dictionary
 from pagemill.plans.pipeline import with_topics
 from pagemill.plans.scratch import scratch_path
 
 
-def extract_stream(pages: DataFrame, *fields: str) -> DataFrame:
-    """Stateless: the batch expressions on a stream of pages."""
-    return with_topics(E.extract(pages, *fields)).drop("html")
+def extract_stream(pages: DataFrame, *fields: str, topics: Dictionary = TOPIC_KEYWORDS) -> DataFrame:
+    """Stateless: the batch expressions, topics included, on a stream of pages."""
+    return with_topics(E.extract(pages, *fields), topics).drop("html")
 
 
 def status_stream(events: DataFrame) -> DataFrame:
