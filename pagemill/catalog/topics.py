@@ -19,7 +19,7 @@ SAMPLE_TOPICS = {
     "french": ["de", "le", "la", "que", "des", "en un"],
     "german": ["der", "und", "die", "nicht", "das sch"],
     "spanish": ["los", "las", "por", "una", "en"],
-    "pairs": ["of the", "de la", "la de", "the and"],
+    "pairs": ["of the", "de la", "und der", "in that"],
 }
 SAMPLE_PATTERNS = {
     "french": ["/fr/", "/fr"],

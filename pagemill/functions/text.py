@@ -21,6 +21,12 @@ BLANK = (
     r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+# The same set from the other side. Written as ranges because Java tests a negated union of ranges
+# one by one for every ordinary letter, and a positive range ends at the first hit.
+NOT_BLANK = (
+    r"!-\x{84}\x{86}-\x{9f}\x{a1}-\x{167f}\x{1681}-\x{1fff}\x{200b}-\x{2027}\x{202a}-\x{202e}"
+    r"\x{2030}-\x{205e}\x{2060}-\x{2fff}\x{3001}-\x{10ffff}\x{0}-\x{8}\x{e}-\x{1b}"
+)
 BLANK_CHARS = "".join(
     map(
         chr,
@@ -35,7 +41,8 @@ def strip_blanks(c: Column) -> Column:
 
 
 def collapse_blanks(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{BLANK}]+", " ")
+    # The look-ahead turns ordinary letters away at the first test.
+    return F.regexp_replace(c, rf"(?![!-~\x{{c0}}-\x{{167f}}])[{BLANK}]+", " ")
 
 
 def blank_to_null(c: Column) -> Column:
@@ -49,7 +56,7 @@ def count_words(c: Column) -> Column:
 
 def count_chunks(c: Column) -> Column:
     """Blank-separated chunks, what a plain whitespace split would yield."""
-    return F.regexp_count(c, F.lit(f"[^{BLANK}]+"))
+    return F.regexp_count(c, F.lit(f"[{NOT_BLANK}]+"))
 
 
 def _entity_table() -> dict[str, str]:

@@ -7,6 +7,8 @@ those, since the unused intermediate columns are pruned.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +68,7 @@ def with_markup(pages: DataFrame) -> DataFrame:
     return (
         pages.withColumn("_active", M.without_inert(F.col("html")))
         .withColumn("_inner", M.without_head(F.col("_active")))
-        .withColumn("_marked", _candidates(F.col("_active")))
+        .withColumn("_marked", _field("_marked", pages.sparkSession.sparkContext.applicationId))
     )
 
 
@@ -285,6 +287,7 @@ def content_hash() -> Column:
 
 
 FIELDS = {
+    "_marked": lambda: _candidates(F.col("_active")),
     "domain": lambda: U.host(F.col("url")),
     "title": title,
     "description": description,
@@ -302,12 +305,19 @@ FIELDS = {
 }
 
 
+@lru_cache(maxsize=256)
+def _field(name: str, session: str) -> Column:
+    """Field expressions name columns, not tables, so one serves every plan of a session."""
+    return FIELDS[name]()
+
+
 def extract(pages: DataFrame, *fields: str) -> DataFrame:
     """Add the named metadata fields (all of them by default) to a table with ``url`` and ``html``."""
-    wanted = fields or tuple(FIELDS)
+    wanted = fields or tuple(n for n in FIELDS if n != "_marked")
+    session = pages.sparkSession.sparkContext.applicationId
     return (
         with_markup(pages)
-        .withColumns({name: FIELDS[name]() for name in wanted})
+        .withColumns({name: _field(name, session) for name in wanted})
         .drop("_active", "_inner", "_marked")
     )
 

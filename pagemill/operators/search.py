@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
+from pagemill.plans.unnest import unnest
 
 
 def has_topic(topic: str, topics: str = "topics") -> Column:
@@ -36,8 +37,10 @@ def matches_words(query: str | Sequence[str], *texts: Column, any_word: bool = F
 
 def trigram_search(rows: DataFrame, column: str, query: str, floor: float = 0.3) -> DataFrame:
     """Rows whose text is similar to the query, with ``similarity``; one scan, no pairs."""
-    scored = rows.withColumn("similarity", X.similarity(F.col(column), F.lit(query)))
-    return scored.filter(F.col("similarity") >= floor)
+    score = X.similarity(F.col(column), F.lit(query))
+    # Unnesting the kept score, rather than filtering on it, computes it once.
+    kept = rows.withColumn("_kept", F.filter(F.array(score), lambda s: s >= floor))
+    return unnest(kept, "_kept", *rows.columns, item="similarity").drop("place")
 
 
 def duplicate_content(pages: DataFrame, key: str, content_hash: Column) -> DataFrame:

@@ -100,11 +100,14 @@ BROADCAST_ENTRIES = 100_000
 
 
 def check_dictionary(topics: Dictionary) -> None:
-    """A phrase may not share a word with a keyword of its own topic: hits would overlap."""
+    """Terms of one topic may not overlap in a text: hits are counted without overlaps."""
     for topic, words in topics.items():
-        singles = {w for w in words if " " not in w}
-        if any(part in singles for w in words if " " in w for part in w.split(" ")):
-            raise ValueError(f"topic {topic!r} has a phrase that contains one of its keywords")
+        seen: set[str] = set()
+        for word in words:
+            parts = set(word.split(" "))
+            if parts & seen or len(parts) < len(word.split(" ")):
+                raise ValueError(f"topic {topic!r}: {word!r} shares a word with another of its terms")
+            seen |= parts
 
 
 def dictionary_table(spark: SparkSession, topics: Dictionary) -> DataFrame:
@@ -235,7 +238,7 @@ def topics_of(
         F.struct(
             F.lit(place).alias("ord"),
             F.lit(topic).alias("topic"),
-            F.array(*map(F.lit, words)).alias("words"),
+            F.split(F.lit("\n".join(words)), "\n").alias("words"),
         )
         for place, (topic, words) in enumerate(topics.items())
     ])
@@ -285,7 +288,13 @@ def topics_of(
         )
 
     return X.let(
-        F.struct(X.count_chunks(text).alias("chunks"), term_hits(text, topics).alias("hits")), all_topics
+        X.let(
+            text,
+            lambda t: F.struct(
+                X.count_chunks(t).alias("chunks"), term_hits(t, topics).alias("hits")
+            ),
+        ),
+        all_topics,
     )
 
 
