@@ -34,8 +34,12 @@ _OPEN, _MID, _SHUT = "\x01", "\x02", "\x03"
 
 
 def without_inert(html: Column) -> Column:
-    """Drop comments, scripts and style sheets; tags and text stay."""
-    return F.regexp_replace(html, f"(?i){_INERT}|({TAG})", "$1")
+    """Drop comments, scripts and style sheets; tags and text stay.
+
+    A ``<!>`` mark is left before every tag and in place of every dropped part,
+    so text nodes on both sides of a comment stay two nodes.
+    """
+    return F.regexp_replace(html, f"(?i){_INERT}|({TAG})", "<!>$1")
 
 
 def without_head(active: Column) -> Column:
