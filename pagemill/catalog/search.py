@@ -11,6 +11,8 @@ from pagemill.catalog.pages import PARAGRAPH_SQL, TITLE_SQL
 from pagemill.operators import extract as E
 from pagemill.operators import search as S
 from pagemill.plans.pipeline import with_topics
+from pagemill.plans.scratch import spread
+from pagemill.plans.unnest import keep
 from pagemill.sources.tables import read_table
 
 QUERY = "the that of and"
@@ -27,15 +29,12 @@ def contains_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 def fulltext_all(spark: SparkSession, folder: str) -> DataFrame:
     pages = E.extract(D.pages(spark, folder), "title", "description")
-    return pages.filter(S.matches_words("the of", F.col("title"), F.col("description"))).select("page_id", "title")
+    return keep(pages, S.matches_words("the of", F.col("title"), F.col("description"))).select("page_id", "title")
 
 
 def fulltext_any(spark: SparkSession, folder: str) -> DataFrame:
-    return (
-        read_table(spark, folder, "documents")
-        .filter(S.matches_words("thorreou Nicht zwei", F.col("text"), any_word=True))
-        .select("doc_id")
-    )
+    documents = spread(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return keep(documents, S.matches_words("thorreou Nicht zwei", F.col("text"), any_word=True)).select("doc_id")
 
 
 def trigram(spark: SparkSession, folder: str) -> DataFrame:

@@ -48,15 +48,19 @@ def without_head(active: Column) -> Column:
 
 
 def plain_text(markup: Column, separator: str = "") -> Column:
-    """Text with the tags removed; neighbouring text nodes are joined with ``separator``."""
-    return decode_entities(F.regexp_replace(markup, TAG, separator))
+    """Text with the tags removed; neighbouring text nodes are joined with ``separator``.
+
+    Nodes are decoded before they are joined: ``&amp`` at the end of one does not
+    run into the first word of the next.
+    """
+    marked = F.regexp_replace(markup, f"(?:{TAG})++", _OPEN)
+    return F.replace(decode_entities(marked), F.lit(_OPEN), F.lit(separator))
 
 
 def trimmed_text(markup: Column) -> Column:
     """Each text node trimmed, then joined with nothing in between."""
-    return strip_blanks(
-        decode_entities(F.regexp_replace(markup, f"(?i){_EDGE}(?:{_INERT}|{TAG}){_EDGE}", ""))
-    )
+    marked = F.regexp_replace(markup, f"(?i){_EDGE}(?:{_INERT}|{TAG}){_EDGE}", _OPEN)
+    return strip_blanks(F.replace(decode_entities(marked), F.lit(_OPEN), F.lit("")))
 
 
 def start_tags(active: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,3 +15,13 @@ def unnest(rows: DataFrame, array: str, *keep: str, place: str = "place", item:
     """
     exploded = rows.select(*keep, F.posexplode_outer(array).alias(place, item))
     return exploded.filter(F.col(place).isNotNull())
+
+
+def keep(rows: DataFrame, condition: Column) -> DataFrame:
+    """Filter on a condition over columns that are expensive to compute.
+
+    A plain filter is pushed below the projection that computes them, which
+    then runs twice. Over stored columns a plain filter is the right choice.
+    """
+    kept = rows.withColumn("_kept", F.filter(F.array(F.lit(True)), lambda _: condition))
+    return unnest(kept, "_kept", *rows.columns).drop("place", "item")

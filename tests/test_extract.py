@@ -149,6 +149,7 @@ def test_links(spark):
 def test_words_and_body(spark):
     page = "<head><title>no</title></head><body><ul><li>a</li><li>b</li></ul> été_1 <script>no()</script> c&nbsp;d 1 < 2"
     assert fields_of(spark, page, "word_count", "body_text") == (6, "ab été_1 c d 1 < 2")
+    assert fields_of(spark, "<body><h1>a &amp</h1><p>b &lt<b>c</b>", "body_text") == "a &b <c"
     rows = spark.createDataFrame([(page,)], "html string").withColumn("url", F.lit("http://h/"))
     assert E.with_markup(rows).select(E.word_count(" ")).first()[0] == 7
     assert len(fields_of(spark, "<p>" + "word " * 3000, "body_text")) == 10000
