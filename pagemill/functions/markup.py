@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import blank_to_null, decode_entities, let, strip_blanks
 
-ATTRS = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+"""
+# A tag ends before the next ``<`` outside quotes, so a run of unclosed tags is read once, not once per tag.
+ATTRS = r"""[^<>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^<>=]*+)*+"""
 TAG = rf"<[a-zA-Z/!]{ATTRS}>"
 _INERT = (
     r"<!--[\s\S]*?(?:-->|\z)"
@@ -22,7 +23,9 @@ _HEAD = (
     r"<head(?:\s[^>]*)?>[\s\S]*?(?:</head\s*>|<body(?:\s[^>]*)?>|\z)"
     r"|<title(?:\s[^>]*)?>[\s\S]*?(?:</title\s*>|\z)"
 )
-_EDGE = r"(?:\s|&nbsp;|&#160;)*+"
+_GAP = r"(?:\s|&nbsp;|&#160;)"
+# The look-behind lets a leading gap start only where a run of blanks starts: long runs are read once.
+_LEAD = rf"(?:(?<!\s){_GAP}++)?+"
 _PAIR = r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 # Elements without content, and block elements that end an open paragraph.
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
@@ -59,7 +62,7 @@ def plain_text(markup: Column, separator: str = "") -> Column:
 
 def trimmed_text(markup: Column) -> Column:
     """Each text node trimmed, then joined with nothing in between."""
-    marked = F.regexp_replace(markup, f"(?i){_EDGE}(?:{_INERT}|{TAG}){_EDGE}", _OPEN)
+    marked = F.regexp_replace(markup, f"(?i){_LEAD}(?:{_INERT}|{TAG}){_GAP}*+", _OPEN)
     return strip_blanks(F.replace(decode_entities(marked), F.lit(_OPEN), F.lit("")))
 
 

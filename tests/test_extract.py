@@ -207,6 +207,9 @@ def test_sample_pages_against_the_standard_tokenizer(spark):
         '<meta name="description" content="' + "z" * 100000,
         "<script>" + "<" * 50000,
         "<a href='x" * 3000,
+        "<a " * 100000,
+        "<p>x" + " " * 1000000 + "y</p>",
+        "<title>" + "&nbsp; " * 50000 + "</title>",
     ],
 )
 def test_hostile_markup_finishes(spark, page):
