@@ -151,13 +151,20 @@ def is_allowed(groups: Column, agent: Column, url: Column) -> Column:
     )
 
 
+def single_copies(snapshots: DataFrame, key: list[str]) -> DataFrame:
+    """One ``content`` per key out of any number of copies; repeats are combined before the shuffle.
+
+    Parsing needs this: lines of two copies under one key would mix.
+    """
+    return snapshots.filter(F.col("http_status") == 200).groupBy(*key).agg(F.max("content").alias("content"))
+
+
 def latest_snapshots(snapshots: DataFrame) -> DataFrame:
     """Newest copy per domain; a copy that was not a 200 carries no rules."""
+    newest = F.struct("fetched_at", "http_status", "content")
     return snapshots.groupBy("domain").agg(
         F.max("fetched_at").alias("fetched_at"),
-        F.max_by(
-            F.when(F.col("http_status") == 200, F.col("content")), F.col("fetched_at")
-        ).alias("content"),
+        F.max_by(F.when(F.col("http_status") == 200, F.col("content")), newest).alias("content"),
     )
 
 
@@ -190,8 +197,11 @@ def fresh_snapshot(
     """
     line = requests.select("request_id", "domain", F.col("arrival_us").alias("at_us"),
                            F.lit(None).cast("long").alias("fetched_us"), F.lit(1).alias("side")).unionByName(
-        snapshots.select(F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"),
-                         "domain", F.col("fetched_us").alias("at_us"), "fetched_us", F.lit(0).alias("side"))
+        # Copies of one fetch count once, so no instant gathers more than its requests.
+        snapshots.select("domain", "fetched_us").distinct().select(
+            F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"),
+            "domain", F.col("fetched_us").alias("at_us"), "fetched_us", F.lit(0).alias("side"),
+        )
     )
     order = ["at_us", "side", "request_id"]
     seen = running_max(line, "domain", order, "fetched_us", "latest_us", chunks)

@@ -11,7 +11,7 @@ from pagemill.operators import extract as E
 from pagemill.operators import topics as T
 from pagemill.operators.gates import BLOCKED_MESSAGE, accepted, gate_responses
 from pagemill.operators.requests import validate_requests
-from pagemill.operators.robots import check_requests, fresh_snapshot, robots_files
+from pagemill.operators.robots import check_requests, fresh_snapshot, robots_files, single_copies
 from pagemill.operators.schedule import polite_schedule
 
 
@@ -68,11 +68,13 @@ def crawl_plan(requests: DataFrame, snapshots: DataFrame, settings: DataFrame |
         .withColumn("domain", U.netloc_key(F.col("url")))
     )
     fresh = fresh_snapshot(valid.select("request_id", "domain", "arrival_us"), snapshots)
+    # Only copies that some request falls on are parsed.
+    wanted = fresh.filter(F.col("snapshot_us").isNotNull()).select("domain", "snapshot_us").distinct()
+    copies = single_copies(
+        snapshots.withColumnRenamed("fetched_us", "snapshot_us"), ["domain", "snapshot_us"]
+    ).join(wanted, ["domain", "snapshot_us"], "left_semi")
     files = robots_files(
-        snapshots.filter(F.col("http_status") == 200).withColumn(
-            "_file", F.struct("domain", F.col("fetched_us").alias("snapshot_us"))
-        ),
-        "_file",
+        copies.select(F.struct("domain", "snapshot_us").alias("_file"), "content"), "_file"
     ).select("_file.domain", "_file.snapshot_us", "groups", "sitemaps")
     dated = valid.join(fresh.select("request_id", "snapshot_us"), "request_id")
     checked = check_requests(dated, files, ["domain", "snapshot_us"], "request_id")

@@ -72,3 +72,10 @@ def test_latest_copy_that_failed_has_no_rules(spark):
     rows = [("a", 1, 200, "User-agent: *"), ("a", 2, 404, "gone"), ("b", 1, 404, None), ("b", 5, 200, "text")]
     snaps = spark.createDataFrame(rows, "domain string, fetched_at int, http_status int, content string")
     assert {r.domain: r.content for r in R.latest_snapshots(snaps).collect()} == {"a": None, "b": "text"}
+
+
+def test_copies_of_one_fetch_do_not_mix(spark):
+    text = "User-agent: *\nDisallow: /a\n\nUser-agent: lens\nDisallow: /b"
+    rows = spark.createDataFrame([("d", 1, 200, text)] * 50 + [("d", 2, 404, "x")], "domain string, fetched_us long, http_status int, content string")
+    files = R.robots_files(R.single_copies(rows, ["domain"]), "domain").first()
+    assert [list(g.agents) for g in files.groups] == [["*"], ["lens"]] and len(files.groups[0].rules) == 1
