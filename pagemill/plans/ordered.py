@@ -52,7 +52,13 @@ def carry(totals: DataFrame, key: str, **values: Column) -> DataFrame:
 
 
 def attach(rows: DataFrame, carried: DataFrame, key: str) -> DataFrame:
-    return rows.join(F.broadcast(carried), [key, CHUNK], "left")
+    """Null-safe on the key: rows without one form a key of their own.
+
+    It also keeps the two readings of the rows identical, so one shuffle serves both.
+    """
+    right = carried.withColumnsRenamed({key: "_key", CHUNK: "_of"})
+    same = rows[key].eqNullSafe(right["_key"]) & rows[CHUNK].eqNullSafe(right["_of"])
+    return rows.join(F.broadcast(right), same, "left").drop("_key", "_of")
 
 
 def running_max(

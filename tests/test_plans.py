@@ -51,3 +51,17 @@ def test_only_hits_are_shuffled(spark):
     plan = plan_of(topics.score_topics(matches, "doc_id"))
     assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_the_schedule_shuffles_its_rows_once(spark):
+    from pagemill.catalog.requests import polite_schedule
+
+    df = polite_schedule(spark, FOLDER)
+    df.collect()
+    final = plan_of(df).split("Initial Plan")[0]
+    row_shuffles = [
+        line for line in final.split("\n")
+        if "Exchange hashpartitioning" in line and "_chunk" in line and "ReusedExchange" not in line
+    ]
+    # One for the rows, one for the (partially aggregated) chunk totals.
+    assert len(row_shuffles) == 2 and "ReusedExchange [" in final

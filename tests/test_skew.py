@@ -22,7 +22,7 @@ def arrivals(seed, n=600):
     rng = random.Random(seed)
     rows = []
     for i in range(n):
-        domain = "hot" if rng.random() < 0.67 else f"d{rng.randrange(6)}"
+        domain = "hot" if rng.random() < 0.67 else rng.choice([None, "d1", "d2", "d3", "d4"])
         at = 50 * SECOND if rng.random() < 0.3 else rng.randrange(0, 4000) * SECOND // 10
         rows.append((i, domain, at, rng.choice([None, 0.5, 1.0, 2.0])))
     return rows
@@ -30,7 +30,7 @@ def arrivals(seed, n=600):
 
 def sequential(rows, stored=None):
     state, out = {}, {}
-    for rid, domain, at, delay in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+    for rid, domain, at, delay in sorted(rows, key=lambda r: (r[2], r[0])):
         last, count, held = state.get(domain, (None, 0, None))
         if held is None:
             held = round(((stored or {}).get(domain) or delay or 1.0) * SECOND)
