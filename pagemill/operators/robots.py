@@ -169,14 +169,19 @@ def latest_snapshots(snapshots: DataFrame) -> DataFrame:
 
 
 def check_requests(
-    requests: DataFrame, files: DataFrame, on: list[str], request_key: str, respect: bool = True
+    requests: DataFrame,
+    files: DataFrame,
+    on: list[str],
+    request_key: str,
+    respect: bool = True,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``allowed``, ``robots_delay`` and ``sitemaps`` to ``(domain, url, user_agent, respect_robots_txt)`` rows.
 
     ``files`` has one row per join key with all its groups, so a request stays one
     row, however many rules its domain has.
     """
-    joined = spread_join(requests, files, on, request_key)
+    joined = spread_join(requests, files, on, request_key, counted=counted)
     agent = F.coalesce("user_agent", F.lit(""))
     obeys = F.col("respect_robots_txt") & F.lit(respect)
     return joined.withColumns({

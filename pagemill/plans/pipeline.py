@@ -13,6 +13,7 @@ from pagemill.operators.gates import BLOCKED_MESSAGE, accepted, gate_responses
 from pagemill.operators.requests import validate_requests
 from pagemill.operators.robots import check_requests, fresh_snapshot, robots_files, single_copies
 from pagemill.operators.schedule import polite_schedule
+from pagemill.plans.scratch import durable
 
 
 def with_topics(pages: DataFrame, topics: T.Dictionary = T.TOPIC_KEYWORDS, **options) -> DataFrame:
@@ -67,7 +68,8 @@ def crawl_plan(requests: DataFrame, snapshots: DataFrame, settings: DataFrame |
         .drop("errors")
         .withColumn("domain", U.netloc_key(F.col("url")))
     )
-    fresh = fresh_snapshot(valid.select("request_id", "domain", "arrival_us"), snapshots)
+    # Narrow and read three times below: written once rather than derived again.
+    fresh = durable(fresh_snapshot(valid.select("request_id", "domain", "arrival_us"), snapshots))
     # Only copies that some request falls on are parsed.
     wanted = fresh.filter(F.col("snapshot_us").isNotNull()).select("domain", "snapshot_us").distinct()
     copies = single_copies(
@@ -77,7 +79,7 @@ def crawl_plan(requests: DataFrame, snapshots: DataFrame, settings: DataFrame |
         copies.select(F.struct("domain", "snapshot_us").alias("_file"), "content"), "_file"
     ).select("_file.domain", "_file.snapshot_us", "groups", "sitemaps")
     dated = valid.join(fresh.select("request_id", "snapshot_us"), "request_id")
-    checked = check_requests(dated, files, ["domain", "snapshot_us"], "request_id")
+    checked = check_requests(dated, files, ["domain", "snapshot_us"], "request_id", counted=fresh)
     timed = polite_schedule(checked.filter("allowed"), settings)
     # Request ids are unique, so this join has no hot key.
     return checked.join(

@@ -16,6 +16,7 @@ def spread_join(
     spread_by: str,
     how: str = "left",
     hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join in which keys with more than ``hot_rows`` rows are split over several tasks.
 
@@ -23,9 +24,10 @@ def spread_join(
     A hot key is cut into ``ceil(rows / hot_rows)`` slices by a hash of
     ``spread_by``; only the look-up rows of hot keys are copied, once per slice.
     At most ``rows / hot_rows`` keys can be hot, which bounds the broadcast.
+    ``counted`` names a cheaper table with the same key counts as ``large``.
     """
     hot = (
-        large.groupBy(*on)
+        (large if counted is None else counted).groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > hot_rows)
         .select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_slices"))
