@@ -11,7 +11,6 @@ from pagemill.catalog.pages import PARAGRAPH_SQL, TITLE_SQL
 from pagemill.operators import extract as E
 from pagemill.operators import search as S
 from pagemill.plans.pipeline import with_topics
-from pagemill.plans.scratch import spread
 from pagemill.plans.unnest import keep
 from pagemill.sources.tables import read_table
 
@@ -33,7 +32,7 @@ def fulltext_all(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fulltext_any(spark: SparkSession, folder: str) -> DataFrame:
-    documents = spread(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    documents = read_table(spark, folder, "documents").select("doc_id", "text")
     return keep(documents, S.matches_words("thorreou Nicht zwei", F.col("text"), any_word=True)).select("doc_id")
 
 

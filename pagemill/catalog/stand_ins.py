@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls as U
-from pagemill.plans.scratch import spread
 from pagemill.sources.tables import read_table
 
 T0_US = 1_704_067_200_000_000
@@ -131,7 +130,7 @@ EVENTS_SQL = select_sql(EVENT_COLUMNS, "events")
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read_table(spark, folder, "pages"), "page_id")
+    return read_table(spark, folder, "pages")
 
 
 def rich_pages(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,7 +10,6 @@ from pagemill.catalog import stand_ins as D
 from pagemill.operators import extract as E
 from pagemill.operators import topics as T
 from pagemill.plans.pipeline import with_topics
-from pagemill.plans.scratch import spread
 from pagemill.plans.unnest import unnest
 from pagemill.sources.tables import read_table
 
@@ -31,7 +30,7 @@ SAMPLE_PATTERNS = {
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return read_table(spark, folder, "documents").select("doc_id", "text")
 
 
 def _page_texts(spark: SparkSession, folder: str) -> DataFrame:

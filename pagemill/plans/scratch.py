@@ -7,18 +7,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: dict[str, str] = {}
+_one_machine_folder: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a session whose executors are threads of the driver
+    (``local[...]``) gets a temporary folder; a cluster has to name one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    app = spark.sparkContext.applicationId
-    if app not in _local_folder:
-        _local_folder[app] = tempfile.mkdtemp(prefix="pagemill-")
-    return _local_folder[app]
+    context = spark.sparkContext
+    master = context.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _one_machine_folder:
+        _one_machine_folder[context.applicationId] = tempfile.mkdtemp(prefix="pagemill-")
+    return _one_machine_folder[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -26,19 +33,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of the executors that computed them."""
+    """Reliable checkpoint: the rows survive the loss of the executors that computed them.
+
+    Eager, so it runs a job while the plan around it is being composed.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Rebalance a scan that has fewer splits than the session has cores.
-
-    Large tables already have enough splits and pass through unshuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *by)

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from pagemill import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -38,11 +39,11 @@ def rows_of(columns, rows):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+def test_every_query_of_the_library_has_sql():
+    assert set(catalog.queries()) == set(catalog.expected_sql())
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, name):
     found = driver.queries()[name](spark, FOLDER)
     expected = duck.sql(driver.oracle_sql()[name])
