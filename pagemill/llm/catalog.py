@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import kd_shards, syncmers, systematic_mix
+from pagemill.llm import hyperminhash, kd_shards, pii, syncmers, systematic_mix, vector_packing
 from pagemill.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,25 @@ def op1_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, folder, "documents"), k=4, percent=80)
+
+
+def tokenizer_path() -> str:
+    """The tokenizer file as the executors find it; the vocabulary package is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_packing.pack_documents(table(spark, folder, "documents"), tokenizer_path())
+
+
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, folder, "documents")).drop("n_plain")
+
+
 def op9_systematic_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = systematic_mix.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -31,6 +50,28 @@ def op10_closed_syncmers(spark: SparkSession, folder: str) -> DataFrame:
     return syncmers.compare_edited(table(spark, folder, "documents"))
 
 
+OP2_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS s FROM worded),
+classes AS (SELECT s, min(doc_id) AS node, len(s) AS n FROM shingled WHERE len(s) > 0 GROUP BY s),
+single AS (SELECT node, n, unnest(s) AS g FROM classes),
+shared AS (
+  SELECT a.node AS a, b.node AS b, a.n AS na, b.n AS nb, count(*) AS common
+  FROM single a JOIN single b ON a.g = b.g AND a.node < b.node GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * common >= 80 * (na + nb - common)),
+sides AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
+reach(u, v) AS (SELECT DISTINCT u, u FROM sides UNION SELECT r.u, s.v FROM reach r JOIN sides s ON r.v = s.u),
+comps AS (SELECT u AS node, min(v) AS component FROM reach GROUP BY u)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(m.component, c.node, d.doc_id) AS component_id,
+       d.doc_id = coalesce(m.component, c.node, d.doc_id) AS kept
+FROM shingled d LEFT JOIN classes c ON d.s = c.s LEFT JOIN comps m ON m.node = c.node
+"""
+
 OP9_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -62,7 +103,10 @@ FROM summed
 
 QUERIES: dict[str, Query] = {
     "op1_kd_shards": op1_kd_shards,
+    "op2_hyperminhash": op2_hyperminhash,
+    "op5_vector_packing": op5_vector_packing,
+    "op6_pii": op6_pii,
     "op9_systematic_mix": op9_systematic_mix,
     "op10_closed_syncmers": op10_closed_syncmers,
 }
-SQL: dict[str, str] = {"op9_systematic_mix": OP9_SQL}
+SQL: dict[str, str] = {"op2_hyperminhash": OP2_SQL, "op9_systematic_mix": OP9_SQL}
