@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import hyperminhash, kd_shards, pii, syncmers, systematic_mix, vector_packing
+from pagemill.llm import hyperminhash, kd_shards, pii, syncmers, systematic_mix, toxicity, vector_packing
 from pagemill.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,15 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_personal_data(table(spark, folder, "documents")).drop("n_plain")
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.train(docs, labels.filter(~held))
+    return toxicity.with_score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted")
+    )
+
+
 def op9_systematic_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = systematic_mix.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -106,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "op2_hyperminhash": op2_hyperminhash,
     "op5_vector_packing": op5_vector_packing,
     "op6_pii": op6_pii,
+    "op7_toxicity": op7_toxicity,
     "op9_systematic_mix": op9_systematic_mix,
     "op10_closed_syncmers": op10_closed_syncmers,
 }
