@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import hyperminhash, kd_shards, pii, syncmers, systematic_mix, toxicity, vector_packing
+from pagemill.llm import hyperminhash, kd_shards, pii, syncmers, systematic_mix, toxicity, va_file, vector_packing
 from pagemill.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op2_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, folder, "documents"), k=4, percent=80)
 
 
+def op3_va_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return va_file.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 def tokenizer_path() -> str:
     """The tokenizer file as the executors find it; the vocabulary package is installed on every machine."""
     import public_tokenizers
@@ -81,6 +85,19 @@ SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(m.component, c.node, d
 FROM shingled d LEFT JOIN classes c ON d.s = c.s LEFT JOIN comps m ON m.node = c.node
 """
 
+OP3_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM whole q JOIN whole c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 OP9_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -113,10 +130,11 @@ FROM summed
 QUERIES: dict[str, Query] = {
     "op1_kd_shards": op1_kd_shards,
     "op2_hyperminhash": op2_hyperminhash,
+    "op3_va_topk": op3_va_topk,
     "op5_vector_packing": op5_vector_packing,
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op9_systematic_mix": op9_systematic_mix,
     "op10_closed_syncmers": op10_closed_syncmers,
 }
-SQL: dict[str, str] = {"op2_hyperminhash": OP2_SQL, "op9_systematic_mix": OP9_SQL}
+SQL: dict[str, str] = {"op3_va_topk": OP3_SQL, "op2_hyperminhash": OP2_SQL, "op9_systematic_mix": OP9_SQL}
