@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import hyperminhash, kd_shards, pii, syncmers, systematic_mix, toxicity, va_file, vector_packing
+from pagemill.llm import cross_entropy, hyperminhash, kd_shards, pii, syncmers, systematic_mix, toxicity, va_file, vector_packing
 from pagemill.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,13 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_cross_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    """Target: documents labelled as good. Every document is scored."""
+    docs = table(spark, folder, "documents")
+    good = table(spark, folder, "labels").filter("quality = 1")
+    return cross_entropy.score(docs, *cross_entropy.train(docs, good))
+
+
 def op9_systematic_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = systematic_mix.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -134,6 +141,7 @@ QUERIES: dict[str, Query] = {
     "op5_vector_packing": op5_vector_packing,
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
+    "op8_cross_entropy": op8_cross_entropy,
     "op9_systematic_mix": op9_systematic_mix,
     "op10_closed_syncmers": op10_closed_syncmers,
 }
