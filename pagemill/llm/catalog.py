@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import cross_entropy, hyperminhash, kd_shards, pii, syncmers, systematic_mix, toxicity, va_file, vector_packing
+from pagemill.llm import cross_entropy, hyperminhash, kd_shards, pii, suffix_dedup, syncmers, systematic_mix, toxicity, va_file, vector_packing
 from pagemill.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op3_va_topk(spark: SparkSession, folder: str) -> DataFrame:
     return va_file.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 def tokenizer_path() -> str:
     """The tokenizer file as the executors find it; the vocabulary package is installed on every machine."""
     import public_tokenizers
@@ -138,6 +142,7 @@ QUERIES: dict[str, Query] = {
     "op1_kd_shards": op1_kd_shards,
     "op2_hyperminhash": op2_hyperminhash,
     "op3_va_topk": op3_va_topk,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_vector_packing": op5_vector_packing,
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
