@@ -11,6 +11,7 @@ from pagemill.operators import extract as E
 from pagemill.operators import topics as T
 from pagemill.plans.pipeline import with_topics
 from pagemill.plans.unnest import unnest
+from pagemill.schemas import Limits
 from pagemill.sources.tables import read_table
 
 SAMPLE_TOPICS = {
@@ -111,14 +112,24 @@ def url_topics_builtin(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def topics_enhanced(spark: SparkSession, folder: str) -> DataFrame:
-    texts = _page_texts(spark, folder)
-    content = T.select_topics(
-        T.score_topics(T.match_keywords(texts, "page_id", SAMPLE_TOPICS), "page_id"), "page_id"
+    matches = T.match_keywords(_page_texts(spark, folder), "page_id", SAMPLE_TOPICS)
+    content = T.select_topics(T.score_topics(matches, "page_id"), "page_id").join(
+        T.keyword_lists(matches, "page_id"), ["page_id", "topic"]
     )
     merged = T.merge_url_topics(
         content, T.classify_urls(D.pages(spark, folder), "page_id", SAMPLE_PATTERNS), "page_id"
     )
-    return merged.select("page_id", "topic", D.r6("confidence").alias("confidence"), "rank")
+    return merged.select(
+        "page_id", "topic", D.r6("confidence").alias("confidence"), F.array_join("keywords", "|").alias("keywords"), "rank"
+    )
+
+
+def topics_limited(spark: SparkSession, folder: str) -> DataFrame:
+    """At most two topics per page, from short titles and bodies: the limits are the feature."""
+    limits = Limits(title=30, body=400)
+    pages = E.extract(D.pages(spark, folder), "title", "description", "keywords", "body_text", limits=limits)
+    found = unnest(with_topics(pages, SAMPLE_TOPICS, limit=2), "topics", "page_id", item="t")
+    return found.select("page_id", (F.col("place") + 1).alias("rank"), F.col("t.topic").alias("topic"))
 
 
 def topics_detected(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,7 +141,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         topic_matches, topic_scores, topic_scores_sample, topic_top, topic_top_pages, topic_keywords,
-        page_topics, url_topics, url_topics_builtin, topics_enhanced, topics_detected,
+        page_topics, url_topics, url_topics_builtin, topics_enhanced, topics_limited, topics_detected,
     )
 }
 
@@ -166,14 +177,17 @@ scores AS (SELECT {key}, topic, topic_ord, sum(n) AS hits, count(*) AS u,
   count(*) / any_value(k) + least(sum(n) / any_value(n_words) * 100, 0.5) + least(count(*) / 10, 0.3) AS score
   FROM hits GROUP BY {key}, topic, topic_ord),
 chosen AS (SELECT * FROM (SELECT {key}, topic, topic_ord, least(score, 1.0) AS confidence,
-  row_number() OVER (PARTITION BY {key} ORDER BY least(score, 1.0) DESC, topic_ord) AS rank FROM scores WHERE score >= 0.5)
-  WHERE rank <= 10),
+  row_number() OVER (PARTITION BY {key} ORDER BY least(score, 1.0) DESC, topic_ord) AS rank FROM scores WHERE score >= 0.5)),
 best AS (SELECT * FROM (SELECT {key}, topic, term, n,
   row_number() OVER (PARTITION BY {key}, topic ORDER BY n DESC, first_pos) AS rank FROM hits) WHERE rank <= 5)"""
 
 
 _DOCS = "SELECT doc_id, text FROM documents"
 _PAGES = f"SELECT page_id, {PAGE_TEXT_SQL} AS text FROM pages"
+_SHORT_PAGES = (
+    f"SELECT page_id, concat_ws(' ', nullif(substr({P.TITLE_SQL}, 1, 30), ''), nullif({P.PARAGRAPH_SQL}, ''), "
+    f"nullif(substr({P.BODY_SQL}, 1, 400), '')) AS text FROM pages"
+)
 _SCORES = (
     "SELECT doc_id, topic, CAST(hits AS BIGINT) AS hits, u AS distinct_keywords, round(score, 6) AS score FROM scores"
 )
@@ -215,11 +229,14 @@ SELECT page_id, topic, confidence, keyword FROM ({_first_pattern(T.URL_PATTERNS,
 by_url AS ({_first_pattern(SAMPLE_PATTERNS, 'pages')}),
 merged AS (SELECT coalesce(c.page_id, u.page_id) AS page_id, coalesce(c.topic, u.topic) AS topic,
   CASE WHEN c.topic IS NULL THEN u.confidence WHEN u.topic IS NULL THEN c.confidence
-       ELSE least(c.confidence + 0.2, 1.0) END AS confidence, c.rank AS place, u.topic_ord AS url_ord
-  FROM chosen c FULL JOIN by_url u ON c.page_id = u.page_id AND c.topic = u.topic)
-SELECT page_id, topic, round(confidence, 6) AS confidence, CAST(rank AS INT) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, place IS NULL, place, url_ord) AS rank FROM merged)
-WHERE rank <= 10""",
+       ELSE least(c.confidence + 0.2, 1.0) END AS confidence, coalesce(k.keywords, u.keyword) AS keywords,
+  c.rank AS place, u.topic_ord AS url_ord
+  FROM (chosen c JOIN (SELECT page_id, topic, string_agg(term, '|' ORDER BY rank) AS keywords FROM best GROUP BY page_id, topic) k
+    ON c.page_id = k.page_id AND c.topic = k.topic) FULL JOIN by_url u ON c.page_id = u.page_id AND c.topic = u.topic)
+SELECT page_id, topic, round(confidence, 6) AS confidence, keywords, CAST(rank AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, place IS NULL, place, url_ord) AS rank FROM merged)""",
+    "topics_limited": f"WITH {hits_sql(_SHORT_PAGES, 'page_id', SAMPLE_TOPICS)} "
+    "SELECT page_id, CAST(rank AS INT) AS rank, topic FROM chosen WHERE rank <= 2",
     "topics_detected": f"WITH {hits_sql(_PAGES, 'page_id', SAMPLE_TOPICS)} "
     "SELECT topic, count(*) AS pages FROM chosen GROUP BY topic",
 }

@@ -104,9 +104,12 @@ def attr_or_null(fenced_tag: Column, name: str) -> Column:
     return blank_to_null(strip_blanks(attr(fenced_tag, name)))
 
 
-def text_of(active: Column, tag: Column) -> Column:
-    """Text of the element whose start tag is ``tag``: up to its own end tag, nesting respected."""
+def text_of(active: Column, tag: Column, nth: Column | None = None) -> Column:
+    """Text of the element whose start tag is the ``nth`` ``tag`` (the first by default): up to its own end tag, nesting respected."""
     after = F.substring(active, F.instr(active, tag) + F.length(tag), F.length(active))
+    if nth is not None:
+        exact = F.concat(F.lit("\\Q"), F.replace(tag, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        after = F.when(nth == 1, after).otherwise(F.element_at(F.split(active, exact, nth + 1), -1))
     return let(
         tag_name(tag),
         lambda name: F.when(name.isin(VOID), F.lit("")).otherwise(trimmed_text(_inside(after, name))),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.schemas import MAX_URL_CHARS
 from pagemill.functions.text import blank_to_null, let
 
 _SCHEME = r"[a-zA-Z][a-zA-Z0-9+.\-]*:"
@@ -41,9 +40,8 @@ def request_target(url: Column) -> Column:
 
 
 def is_http(url: Column) -> Column:
-    return (
-        F.coalesce(url, F.lit("")).rlike(r"(?i)^https?://(?:[^/?#@\s]*@)?[^/?#:@\s]+(?::[0-9]+)?(?:[/?#]|$)")
-        & (F.length(url) <= MAX_URL_CHARS)
+    return F.coalesce(url, F.lit("")).rlike(
+        r"(?i)^https?://(?:[^/?#@\s]*@)?(?:\[[^\]/?#@\s]+\]|[^/?#:@\s\[\]]+)(?::[0-9]+)?(?:[/?#]|$)"
     )
 
 

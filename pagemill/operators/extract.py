@@ -57,10 +57,27 @@ DATE_FORMATS = (
 _CANDIDATE = r"""(?i)[\s"'/](?:name|property|itemprop|rel|http-equiv|datetime|lang)\s*="""
 
 
+def _cut(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.left(text, F.lit(chars))
+
+
+def _first(entries: Column, n: int | None) -> Column:
+    return entries if n is None else F.slice(entries, 1, n)
+
+
 def _candidates(active: Column) -> Column:
     """Start tags that carry a selecting attribute, raw and with fenced attributes."""
     tags = F.filter(M.start_tags(active), lambda t: t.rlike(_CANDIDATE))
-    return F.transform(tags, lambda t: F.struct(t.alias("raw"), M.fenced(t).alias("tag")))
+
+    def numbered(found: Column) -> Column:
+        # Equal tags are told apart by their number among each other.
+        def entry(t: Column, i: Column) -> Column:
+            nth = F.size(F.filter(F.slice(found, F.lit(1), i + 1), lambda other: other == t))
+            return F.struct(t.alias("raw"), M.fenced(t).alias("tag"), nth.alias("nth"))
+
+        return F.transform(found, entry)
+
+    return X.let(tags, numbered)
 
 
 def with_markup(pages: DataFrame) -> DataFrame:
@@ -78,7 +95,7 @@ def _all_with(attr: tuple[str, str]) -> Column:
 
 def _content_or_text(m: Column) -> Column:
     return F.when(M.has_attr(m["tag"], "content"), X.strip_blanks(M.attr(m["tag"], "content"))).otherwise(
-        M.text_of(F.col("_active"), m["raw"])
+        M.text_of(F.col("_active"), m["raw"], m["nth"])
     )
 
 
@@ -93,21 +110,21 @@ def _first_with(attrs: list[tuple[str, str]]) -> Column:
     return _first_value([_all_with(a) for a in attrs], lambda m: X.blank_to_null(_content_or_text(m)))
 
 
-def title() -> Column:
+def title(limits: S.Limits = S.NO_LIMITS) -> Column:
     tags = F.array(*[F.get(M.tags_named(F.col("_active"), n), F.lit(0)) for n in ("title", "h1")])
     texts = F.transform(
         F.filter(tags, lambda t: t.isNotNull()),
         lambda t: X.blank_to_null(M.text_of(F.col("_active"), t)),
     )
     named = F.get(F.filter(texts, lambda v: v.isNotNull()), F.lit(0))
-    return F.left(X.collapse_blanks(F.coalesce(named, _first_with(TITLE_ATTRS))), F.lit(S.TITLE_CHARS))
+    return _cut(X.collapse_blanks(F.coalesce(named, _first_with(TITLE_ATTRS))), limits.title)
 
 
-def description() -> Column:
+def description(limits: S.Limits = S.NO_LIMITS) -> Column:
     text = F.coalesce(
         _first_with(DESCRIPTION_ATTRS), X.blank_to_null(M.first_paragraph(F.col("_active")))
     )
-    return F.left(X.collapse_blanks(text), F.lit(S.DESCRIPTION_CHARS))
+    return _cut(X.collapse_blanks(text), limits.description)
 
 
 def keyword_list(text: Column, separators: str = ",") -> Column:
@@ -116,7 +133,7 @@ def keyword_list(text: Column, separators: str = ",") -> Column:
     return F.coalesce(F.filter(parts, lambda k: k != ""), F.array().cast("array<string>"))
 
 
-def keywords() -> Column:
+def keywords(limits: S.Limits = S.NO_LIMITS) -> Column:
     """All matches of every selector, distinct in order of first appearance."""
 
     def of(m: Column) -> Column:
@@ -126,11 +143,11 @@ def keywords() -> Column:
         )
 
     found = F.flatten(F.transform(F.concat(*[_all_with(a) for a in KEYWORD_ATTRS]), of))
-    return F.slice(F.array_distinct(found), 1, S.MAX_KEYWORDS)
+    return _first(F.array_distinct(found), limits.keywords)
 
 
-def author() -> Column:
-    return F.left(_first_with(AUTHOR_ATTRS), F.lit(S.AUTHOR_CHARS))
+def author(limits: S.Limits = S.NO_LIMITS) -> Column:
+    return _cut(_first_with(AUTHOR_ATTRS), limits.author)
 
 
 def parse_date(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
@@ -184,7 +201,7 @@ def canonical_url() -> Column:
     )
 
 
-def language() -> Column:
+def language(limits: S.Limits = S.NO_LIMITS) -> Column:
     root = F.get(F.filter(F.col("_marked"), lambda m: M.tag_name(m["raw"]) == "html"), F.lit(0))
     declared = F.get(
         F.filter(
@@ -194,12 +211,11 @@ def language() -> Column:
         ),
         F.lit(0),
     )
-    limit = F.lit(S.LANGUAGE_CHARS)
     return F.coalesce(
-        F.when(root.isNotNull() & M.has_attr(root["tag"], "lang"), F.left(M.attr(root["tag"], "lang"), limit)),
+        F.when(root.isNotNull() & M.has_attr(root["tag"], "lang"), _cut(M.attr(root["tag"], "lang"), limits.language)),
         F.when(
             declared.isNotNull() & M.has_attr(declared["tag"], "content"),
-            F.left(M.attr(declared["tag"], "content"), limit),
+            _cut(M.attr(declared["tag"], "content"), limits.language),
         ),
     )
 
@@ -208,9 +224,8 @@ def word_count(separator: str = "") -> Column:
     return X.count_words(F.lower(M.plain_text(F.col("_inner"), separator)))
 
 
-def body_text(separator: str = "", max_chars: int = S.BODY_CHARS) -> Column:
-    text = X.strip_blanks(X.collapse_blanks(M.plain_text(F.col("_inner"), separator)))
-    return F.left(text, F.lit(max_chars))
+def body_text(limits: S.Limits = S.NO_LIMITS, separator: str = "") -> Column:
+    return _cut(X.strip_blanks(X.collapse_blanks(M.plain_text(F.col("_inner"), separator))), limits.body)
 
 
 def int_attr(tag: Column, name: str) -> Column:
@@ -221,7 +236,7 @@ def int_attr(tag: Column, name: str) -> Column:
     )
 
 
-def images() -> Column:
+def images(limits: S.Limits = S.NO_LIMITS) -> Column:
     def raw(tag: Column) -> Column:
         return F.struct(
             X.strip_blanks(M.attr(tag, "src")).alias("src"),
@@ -241,10 +256,10 @@ def images() -> Column:
 
     tags = F.transform(M.tags_named(F.col("_inner"), "img"), M.fenced)
     found = F.transform(F.filter(F.transform(tags, raw), wanted), placed)
-    return F.slice(F.filter(found, lambda i: U.is_http(i["url"])), 1, S.MAX_IMAGES)
+    return _first(F.filter(found, lambda i: U.is_http(i["url"])), limits.images)
 
 
-def links() -> Column:
+def links(limits: S.Limits = S.NO_LIMITS) -> Column:
     # Each piece starts inside an <a ...> tag and ends before the next one, where an open link ends.
     pieces = F.split(F.col("_inner"), r"(?i)<a(?=\s)", -1)
     anchors = F.filter(pieces, lambda p, i: i > 0)
@@ -262,7 +277,7 @@ def links() -> Column:
         inner = F.regexp_extract(p["rest"], r"(?i)^([\s\S]*?)(?:</a\s*>|\z)", 1)
         return F.struct(
             M.attr(p["tag"], "href").alias("href"),
-            X.blank_to_null(F.left(M.trimmed_text(inner), F.lit(S.LINK_TEXT_CHARS))).alias("text"),
+            X.blank_to_null(_cut(M.trimmed_text(inner), limits.link_text)).alias("text"),
             M.attr_or_null(p["tag"], "title").alias("title"),
             X.blank_to_null(F.regexp_extract(M.attr(p["tag"], "rel"), r"(\S+)", 1)).alias("rel"),
         )
@@ -279,7 +294,7 @@ def links() -> Column:
         return F.struct(target.alias("url"), *[k[n].alias(n) for n in ("text", "title", "rel")])
 
     found = F.transform(F.filter(F.transform(F.transform(anchors, split_tag), raw), wanted), placed)
-    return F.slice(F.filter(found, lambda k: U.is_http(k["url"])), 1, S.MAX_LINKS)
+    return _first(F.filter(found, lambda k: U.is_http(k["url"])), limits.links)
 
 
 def content_hash() -> Column:
@@ -287,37 +302,37 @@ def content_hash() -> Column:
 
 
 FIELDS = {
-    "_marked": lambda: _candidates(F.col("_active")),
-    "domain": lambda: U.host(F.col("url")),
+    "_marked": lambda _: _candidates(F.col("_active")),
+    "domain": lambda _: U.host(F.col("url")),
     "title": title,
     "description": description,
     "keywords": keywords,
     "author": author,
-    "published_date": published_date,
-    "canonical_url": canonical_url,
+    "published_date": lambda _: published_date(),
+    "canonical_url": lambda _: canonical_url(),
     "language": language,
-    "content_type": lambda: F.lit("text/html"),
-    "word_count": word_count,
+    "content_type": lambda _: F.lit("text/html"),
+    "word_count": lambda _: word_count(),
     "images": images,
     "links": links,
-    "content_hash": content_hash,
+    "content_hash": lambda _: content_hash(),
     "body_text": body_text,
 }
 
 
 @lru_cache(maxsize=256)
-def _field(name: str, session: str) -> Column:
+def _field(name: str, session: str, limits: S.Limits = S.NO_LIMITS) -> Column:
     """Field expressions name columns, not tables, so one serves every plan of a session."""
-    return FIELDS[name]()
+    return FIELDS[name](limits)
 
 
-def extract(pages: DataFrame, *fields: str) -> DataFrame:
-    """Add the named metadata fields (all of them by default) to a table with ``url`` and ``html``."""
+def extract(pages: DataFrame, *fields: str, limits: S.Limits = S.NO_LIMITS) -> DataFrame:
+    """Add the named metadata fields (all of them by default) to a table with ``url`` and ``html``, whole unless ``limits`` cut them."""
     wanted = fields or tuple(n for n in FIELDS if n != "_marked")
     session = pages.sparkSession.sparkContext.applicationId
     return (
         with_markup(pages)
-        .withColumns({name: _field(name, session) for name in wanted})
+        .withColumns({name: _field(name, session, limits) for name in wanted})
         .drop("_active", "_inner", "_marked")
     )
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.schemas import MAX_CONTENT_BYTES
-
+# Messages of refused requests.
 BLOCKED_MESSAGE = "Blocked by robots.txt"
 FAILED_MESSAGE = "Failed to crawl URL"
 
@@ -18,18 +17,17 @@ def header(headers: Column, name: str) -> Column:
 
 
 def reject_reason(
-    status_code: Column, content_type: Column, html: Column, max_bytes: int = MAX_CONTENT_BYTES
+    status_code: Column, content_type: Column, html: Column, max_bytes: int | None = None
 ) -> Column:
     """Null for an acceptable response; the first failing gate otherwise."""
     kind = F.lower(F.coalesce(content_type, F.lit("")))
-    return (
-        F.when(status_code.isNull() | (status_code != 200), F.lit("status"))
-        .when(~F.startswith(kind, F.lit("text/html")), F.lit("content_type"))
-        .when(F.octet_length(html) > max_bytes, F.lit("size"))
+    reason = F.when(status_code.isNull() | (status_code != 200), F.lit("status")).when(
+        ~F.startswith(kind, F.lit("text/html")), F.lit("content_type")
     )
+    return reason if max_bytes is None else reason.when(F.octet_length(html) > max_bytes, F.lit("size"))
 
 
-def gate_responses(responses: DataFrame, max_bytes: int = MAX_CONTENT_BYTES) -> DataFrame:
+def gate_responses(responses: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Tag every response with ``reject_reason``, the resulting status and its message."""
     reason = reject_reason(
         F.col("status_code"), header(F.col("response_headers"), "content-type"), F.col("html"), max_bytes

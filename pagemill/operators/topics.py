@@ -96,7 +96,6 @@ URL_PATTERNS = {
 }
 
 Dictionary = Mapping[str, Sequence[str]]
-BROADCAST_ENTRIES = 100_000
 
 
 def check_dictionary(topics: Dictionary) -> None:
@@ -117,8 +116,7 @@ def dictionary_table(spark: SparkSession, topics: Dictionary) -> DataFrame:
         for place, (topic, words) in enumerate(topics.items())
         for word in words
     ]
-    table = spark.createDataFrame(rows, "topic string, topic_ord int, term string, n_keywords int")
-    return F.broadcast(table) if len(rows) <= BROADCAST_ENTRIES else table
+    return spark.createDataFrame(rows, "topic string, topic_ord int, term string, n_keywords int")
 
 
 def classification_text(title: Column, description: Column, keywords: Column, body: Column) -> Column:
@@ -206,14 +204,15 @@ def score_topics(matches: DataFrame, key: str) -> DataFrame:
 
 
 def select_topics(
-    scores: DataFrame, key: str, floor: float = S.MIN_TOPIC_CONFIDENCE, limit: int = S.MAX_TOPICS
+    scores: DataFrame, key: str, floor: float = S.MIN_TOPIC_CONFIDENCE, limit: int | None = None
 ) -> DataFrame:
-    """Topics at or above ``floor`` ranked by capped confidence, ties in dictionary order."""
+    """Topics at or above ``floor`` ranked by capped confidence, ties in dictionary order; the first ``limit`` if given."""
     kept = scores.filter(F.col("score") >= floor).withColumn(
         "confidence", F.least(F.col("score"), F.lit(1.0))
     )
     order = Window.partitionBy(key).orderBy(F.desc("confidence"), "topic_ord")
-    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    ranked = kept.withColumn("rank", F.row_number().over(order))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def top_keywords(matches: DataFrame, key: str, limit: int = S.TOPIC_KEYWORDS) -> DataFrame:
@@ -230,7 +229,7 @@ def topics_of(
     text: Column,
     topics: Dictionary = TOPIC_KEYWORDS,
     floor: float = S.MIN_TOPIC_CONFIDENCE,
-    limit: int = S.MAX_TOPICS,
+    limit: int | None = None,
 ) -> Column:
     """Selected topics of one text as ``array<struct<topic, confidence, keywords>>``."""
     check_dictionary(topics)
@@ -280,8 +279,9 @@ def topics_of(
             ),
         )
         kept = F.filter(scored, lambda s: s["score"] >= floor)
+        ranked = F.array_sort(kept)
         return F.transform(
-            F.slice(F.array_sort(kept), 1, limit),
+            ranked if limit is None else F.slice(ranked, 1, limit),
             lambda s: F.struct(
                 s["topic"].alias("topic"), (-s["down"]).alias("confidence"), s["keywords"].alias("keywords")
             ),
@@ -327,14 +327,17 @@ def classify_urls(pages: DataFrame, key: str, patterns: Dictionary = URL_PATTERN
 
 
 def merge_url_topics(
-    content: DataFrame, by_url: DataFrame, key: str, limit: int = S.MAX_TOPICS
+    content: DataFrame, by_url: DataFrame, key: str, limit: int | None = None
 ) -> DataFrame:
     """Boost topics found by content and URL, add those found by URL only, rank again.
 
-    Ties keep content topics first, each side in its own order.
+    Ties keep content topics first, each side in its own order. A topic keeps the
+    ``keywords`` its content gave it; one found by URL only has the pattern that matched.
     """
-    left = content.select(key, "topic", F.col("confidence").alias("by_content"), F.col("rank").alias("place"))
-    right = by_url.select(key, "topic", F.col("confidence").alias("by_url"), "topic_ord")
+    left = content.select(
+        key, "topic", F.col("confidence").alias("by_content"), F.col("rank").alias("place"), F.col("keywords").alias("own")
+    )
+    right = by_url.select(key, "topic", F.col("confidence").alias("by_url"), "topic_ord", F.array("keyword").alias("matched"))
     merged = left.join(right, [key, "topic"], "full_outer").withColumn(
         "confidence",
         F.when(F.col("by_content").isNull(), F.col("by_url"))
@@ -344,10 +347,17 @@ def merge_url_topics(
     order = Window.partitionBy(key).orderBy(
         F.desc("confidence"), F.col("by_content").isNull(), "place", "topic_ord"
     )
-    return (
-        merged.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= limit)
-        .select(key, "topic", "confidence", "rank")
+    ranked = merged.withColumn("rank", F.row_number().over(order)).select(
+        key, "topic", "confidence", F.when(F.col("by_content").isNull(), F.col("matched")).otherwise(F.col("own")).alias("keywords"), "rank"
+    )
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+
+
+def keyword_lists(matches: DataFrame, key: str, limit: int = S.TOPIC_KEYWORDS) -> DataFrame:
+    """``keywords`` of each (key, topic), most frequent first."""
+    best = top_keywords(matches, key, limit)
+    return best.groupBy(key, "topic").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda k: k["keyword"]).alias("keywords")
     )
 
 

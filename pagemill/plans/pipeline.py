@@ -27,10 +27,11 @@ def with_topics(pages: DataFrame, topics: T.Dictionary = T.TOPIC_KEYWORDS, **opt
 def page_metadata(
     responses: DataFrame,
     topics: T.Dictionary = T.TOPIC_KEYWORDS,
-    max_bytes: int = S.MAX_CONTENT_BYTES,
+    max_bytes: int | None = None,
+    limits: S.Limits = S.NO_LIMITS,
 ) -> DataFrame:
     """Accepted responses to metadata records. One narrow stage: no shuffle, the HTML ends here."""
-    pages = E.extract(accepted(gate_responses(responses, max_bytes)))
+    pages = E.extract(accepted(gate_responses(responses, max_bytes)), limits=limits)
     return with_topics(pages, topics).select(
         *[
             F.col("response_headers").alias("headers") if name == "headers"
@@ -41,7 +42,7 @@ def page_metadata(
     )
 
 
-def history_of(responses: DataFrame, max_bytes: int = S.MAX_CONTENT_BYTES) -> DataFrame:
+def history_of(responses: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """One history row per response; its domain keeps port and case."""
     return gate_responses(responses, max_bytes).select(
         "crawl_id",

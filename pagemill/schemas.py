@@ -1,10 +1,13 @@
-"""Table schemas and the fixed limits of the data model."""
+"""Table schemas, limits and fixed values of the data model."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import types as T
 
-# Size gates, string caps, list caps, thresholds and lifetimes.
+# Size gates, string caps, list caps, thresholds and lifetimes. Size, string and list caps are
+# never applied by themselves; a caller who wants them passes them.
 MAX_CONTENT_BYTES = 10 * 1024 * 1024
 TITLE_CHARS = 500
 DESCRIPTION_CHARS = 1000
@@ -21,7 +24,6 @@ MIN_TOPIC_CONFIDENCE = 0.5
 MIN_IMAGE_SIDE = 50
 URL_TOPIC_CONFIDENCE = 0.7
 URL_TOPIC_BOOST = 0.2
-MAX_URL_CHARS = 2083
 DEFAULT_CRAWL_DELAY = 1.0
 DEFAULT_RETRIES = 3
 DEFAULT_PRIORITY = 5
@@ -37,6 +39,28 @@ METRIC_WINDOW = "15 seconds"
 STATUSES = ("pending", "processing", "completed", "failed", "retry")
 SETTLED = ("completed", "failed")
 
+
+@dataclass(frozen=True)
+class Limits:
+    """Cuts of extracted values, in characters or entries. None keeps everything."""
+
+    title: int | None = None
+    description: int | None = None
+    author: int | None = None
+    language: int | None = None
+    link_text: int | None = None
+    body: int | None = None
+    keywords: int | None = None
+    images: int | None = None
+    links: int | None = None
+
+
+NO_LIMITS = Limits()
+SHORT_LIMITS = Limits(
+    TITLE_CHARS, DESCRIPTION_CHARS, AUTHOR_CHARS, LANGUAGE_CHARS, LINK_TEXT_CHARS, BODY_CHARS,
+    MAX_KEYWORDS, MAX_IMAGES, MAX_LINKS,
+)
+
 IMAGE = T.StructType([
     T.StructField("url", T.StringType()),
     T.StructField("alt_text", T.StringType()),

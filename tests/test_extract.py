@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pagemill.functions import markup as M
 from pagemill.functions import text as X
 from pagemill.operators import extract as E
+from pagemill.schemas import SHORT_LIMITS
 
 
-def fields_of(spark, page, *fields, url="http://h.example/dir/page?x=1"):
+def fields_of(spark, page, *fields, url="http://h.example/dir/page?x=1", **options):
     rows = spark.createDataFrame([(url, page)], "url string, html string")
-    row = E.extract(rows, *fields).select(*fields).first()
+    row = E.extract(rows, *fields, **options).select(*fields).first()
     return row[0] if len(fields) == 1 else row
 
 
@@ -28,7 +29,7 @@ def fields_of(spark, page, *fields, url="http://h.example/dir/page?x=1"):
         ("<meta property='og:title' content='Shared &amp; kept'>", "Shared & kept"),
         ("<meta name=twitter:title content=bare><p>x", "bare"),
         ("<div itemprop=name>In <span>text</span></div>", "Intext"),
-        ("<TITLE>" + "x" * 600 + "</TITLE>", "x" * 500),
+        ("<TITLE>" + "x" * 600 + "</TITLE>", "x" * 600),
         ("<p>nothing", None),
     ],
 )
@@ -47,7 +48,7 @@ def test_title(spark, page, expected):
         ("<p>one <b>two<p>three", "onetwo"),
         ("<p data-x='1'>only</p>", "only"),
         ("<pre>no</pre>", None),
-        ('<meta name="description" content="' + "y" * 1200 + '">', "y" * 1000),
+        ('<meta name="description" content="' + "y" * 1200 + '">', "y" * 1200),
         ('<meta data-name="description" content="no"><p>yes</p>', "yes"),
         ("<!-- <meta name=description content=no> --><script>var s='<p>no</p>'</script><p>yes</p>", "yes"),
     ],
@@ -63,7 +64,11 @@ def test_keywords(spark):
     )
     assert fields_of(spark, page, "keywords") == ["a", "b", "c", "d", "ef"]
     many = ",".join(f"k{i}" for i in range(25))
-    assert fields_of(spark, f'<meta name=keywords content="{many}">', "keywords") == [f"k{i}" for i in range(20)]
+    assert fields_of(spark, f'<meta name=keywords content="{many}">', "keywords") == [f"k{i}" for i in range(25)]
+    equal = '<a rel="tag">one</a><a rel="tag">two</a><a rel="tag" href="/t">x</a><a rel="tag" href="/t">y</a>'
+    assert fields_of(spark, equal, "keywords") == ["one", "two", "x", "y"]
+    odd = "<i rel='tag' t='\\E'>p</i><i rel='tag' t='\\E'>q</i>"
+    assert fields_of(spark, odd, "keywords") == ["p", "q"]
     assert fields_of(spark, "<p>x", "keywords") == []
 
 
@@ -73,7 +78,7 @@ def test_keywords(spark):
         ('<meta name="author" content="A"><meta property="article:author" content="B">', "A"),
         ('<a rel="author" href="/a"> Jane <b>Doe</b></a>', "JaneDoe"),
         ('<span itemprop="author"><span>x</span> y</span> z', "xy"),
-        ('<meta name="author" content="' + "n" * 300 + '">', "n" * 200),
+        ('<meta name="author" content="' + "n" * 300 + '">', "n" * 300),
     ],
 )
 def test_author(spark, page, expected):
@@ -112,7 +117,7 @@ def test_canonical(spark, page, expected):
 
 
 def test_language(spark):
-    assert fields_of(spark, "<HTML LANG='en-GB-oxendict'>", "language") == "en-GB-oxen"
+    assert fields_of(spark, "<HTML LANG='en-GB-oxendict'>", "language") == "en-GB-oxendict"
     assert fields_of(spark, '<html><meta http-equiv="content-language" content="fr">', "language") == "fr"
 
 
@@ -126,7 +131,7 @@ def test_images(spark):
     found = fields_of(spark, page, "images")
     assert [i.url.rsplit("/", 1)[1] for i in found] == ["b.png", "c.png", "d.png", "e.png", "f.png"]
     assert (found[0].width, found[0].height, found[3].width, found[4].title) == (50, 50, None, "T")
-    assert len(fields_of(spark, '<img src="/i.png">' * 51, "images")) == 50
+    assert len(fields_of(spark, '<img src="/i.png">' * 51, "images")) == 51
 
 
 def test_links(spark):
@@ -143,7 +148,7 @@ def test_links(spark):
         ("http://o.example/z", None, None, None),
     ]
     many = fields_of(spark, f'<a href="/n">{"t" * 250}</a>' * 101, "links")
-    assert len(many) == 100 and len(many[0].text) == 200
+    assert len(many) == 101 and len(many[0].text) == 250
 
 
 def test_words_and_body(spark):
@@ -152,7 +157,21 @@ def test_words_and_body(spark):
     assert fields_of(spark, "<body><h1>a &amp</h1><p>b &lt<b>c</b>", "body_text") == "a &b <c"
     rows = spark.createDataFrame([(page,)], "html string").withColumn("url", F.lit("http://h/"))
     assert E.with_markup(rows).select(E.word_count(" ")).first()[0] == 7
-    assert len(fields_of(spark, "<p>" + "word " * 3000, "body_text")) == 10000
+    assert len(fields_of(spark, "<p>" + "word " * 3000, "body_text")) == 14999
+
+
+def test_limits_cut_only_where_they_are_given(spark):
+    many = ",".join(f"k{i}" for i in range(25))
+    page = (
+        f"<html lang=abcdefghijklmn><title>{'x' * 600}</title><meta name=description content={'d' * 1100}>"
+        f"<meta name=author content={'a' * 300}><meta name=keywords content='{many}'>"
+        + '<img src="/i.png">' * 51 + f'<a href="/n">{"t" * 250}</a>' * 101 + "<p>" + "word " * 3000
+    )
+    names = ("title", "description", "author", "language", "keywords", "images", "links", "body_text")
+    short = fields_of(spark, page, *names, limits=SHORT_LIMITS)
+    assert [len(v) for v in short] == [500, 1000, 200, 10, 20, 50, 100, 10000] and len(short[6][0].text) == 200
+    whole = fields_of(spark, page, *names)
+    assert [len(v) for v in whole][:7] == [600, 1100, 300, 14, 25, 51, 101]
 
 
 def test_decoding_matches_the_standard_library(spark):

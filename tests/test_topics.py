@@ -93,13 +93,19 @@ def test_url_topics(spark):
 
 def test_merge(spark):
     content = spark.createDataFrame(
-        [(1, "news", 0.95, 1), (1, "food", 0.6, 2), (2, "food", 0.7, 1)], "id int, topic string, confidence double, rank int"
+        [(1, "news", 0.95, 1, ["n"]), (1, "food", 0.6, 2, ["f"]), (2, "food", 0.7, 1, ["g"])],
+        "id int, topic string, confidence double, rank int, keywords array<string>",
     )
     by_url = spark.createDataFrame(
-        [(1, "news", 0.7, 1), (1, "sports", 0.7, 6), (2, "business", 0.7, 3), (3, "news", 0.7, 1)],
-        "id int, topic string, confidence double, topic_ord int",
+        [(1, "news", 0.7, 1, "u"), (1, "sports", 0.7, 6, "s"), (2, "business", 0.7, 3, "b"), (3, "news", 0.7, 1, "u")],
+        "id int, topic string, confidence double, topic_ord int, keyword string",
     )
-    rows = sorted((r.id, r["rank"], r.topic, round(r.confidence, 3)) for r in T.merge_url_topics(content, by_url, "id").collect())
+    found = T.merge_url_topics(content, by_url, "id").collect()
+    assert sorted((r.id, r["rank"], *r.keywords) for r in found) == [
+        (1, 1, "n"), (1, 2, "s"), (1, 3, "f"), (2, 1, "g"), (2, 2, "b"), (3, 1, "u"),
+    ]
+    assert len(T.merge_url_topics(content, by_url, "id", limit=1).collect()) == 3
+    rows = sorted((r.id, r["rank"], r.topic, round(r.confidence, 3)) for r in found)
     assert rows == [
         (1, 1, "news", 1.0), (1, 2, "sports", 0.7), (1, 3, "food", 0.6), (2, 1, "food", 0.7), (2, 2, "business", 0.7),
         (3, 1, "news", 0.7),

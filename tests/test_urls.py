@@ -40,7 +40,8 @@ def test_parts(spark, url, host, netloc, stripped, target):
 
 def test_http_check(spark):
     cases = {"http://a.b": True, "https://u:p@a.b:1/x": True, "ftp://a.b": False, "http://": False,
-             "http:///x": False, "mailto:a@b": False, "http://a b/": False, "http://a.b/" + "x" * 2100: False, None: False}
+             "http:///x": False, "mailto:a@b": False, "http://a b/": False, "http://a.b/" + "x" * 2100: True, None: False,
+             "http://[::1]:80/x": True, "https://[2001:db8::1]": True, "http://[]/": False}
     rows = spark.createDataFrame([(k,) for k in cases], "url string")
     found = {r.url: r.ok for r in rows.select("url", U.is_http(F.col("url")).alias("ok")).collect()}
     assert found == cases
