@@ -18,8 +18,9 @@ have full sketches.
    candidates five standard errors below the bound; the rest are confirmed on
    full sets. Components of the confirmed links are found.
 4. Where members of one band are still in different components, the members
-   outside the band's largest component are held against all others of it. What
-   a component already joins is never paired, so a band of a million near copies
+   outside the band's largest component are held against all others of it, on full
+   sets and in bounded blocks, from which only links come out. What a component
+   already joins is never compared again, so a band of a million linked near copies
    costs a million candidates. No candidate is dropped by count.
 
 Null and wordless texts have an empty set and no links. Rows of one id are one
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +49,8 @@ EMPTY = 0xFFFF
 #: Words whose hashes a task remembers.
 CACHE_WORDS = 1 << 19
 STANDARD_ERRORS = 5.0
+#: Shingles in a block of full sets.
+BLOCK_SHINGLES = 1 << 20
 
 _PROBES = np.argsort(np.random.default_rng(20240229).random((BUCKETS, BUCKETS)), axis=1)
 
@@ -210,19 +214,83 @@ def _labelled(bands: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def _across(bands: DataFrame) -> DataFrame:
-    """Pairs of one band in different components: those outside the band's largest component against all."""
-    mixed = bands.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    inside = durable(bands.join(mixed.select("band"), "band"))
-    groups = inside.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = groups.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top")).select("band", "top.component")
-    outside = inside.join(largest, ["band", "component"], "left_anti").select(
-        "band", F.col("doc_id").alias("x"), F.col("component").alias("cx")
+def _linked(percent: int):
+    """Links between the outsiders and the members of one block, by counting common shingles; one per outsider and component."""
+
+    def run(outside: pa.Table, inside: pa.Table) -> pa.Table:
+        kind = inside.schema.field("doc_id").type
+        schema = pa.schema([("u", kind), ("v", kind)])
+        sizes = pa.compute.list_value_length(inside.column("shingles")).to_numpy()
+        if not outside.num_rows or not inside.num_rows:
+            return schema.empty_table()
+        flat = inside.column("shingles").combine_chunks().flatten().to_numpy()
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        ids, parts = inside.column("doc_id").to_pylist(), np.array(inside.column("component").to_pylist())
+        found = set()
+        for x, part, own in zip(*(outside.column(c) for c in ("doc_id", "component", "shingles")), strict=True):
+            mine = own.values.to_numpy()
+            lo, hi = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(sizes))
+            good = (100 * both >= percent * (len(mine) + sizes - both)) & (parts != part.as_py())
+            _, first = np.unique(parts[good], return_index=True)
+            found |= {(x.as_py(), ids[i]) for i in np.flatnonzero(good)[first]}
+        columns = list(zip(*sorted(found), strict=True)) if found else ((), ())
+        return pa.table([pa.array(c, kind) for c in columns], schema=schema)
+
+    return run
+
+
+def _across(bands: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between members of one band that are in different components.
+
+    Those outside the band's largest component are compared with all others of the
+    band, on full sets, in blocks of ``BLOCK_SHINGLES`` a side; only links come out.
+    A band of two members has been settled already.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    mixed = (
+        bands.groupBy("band")
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+        .filter("lo <> hi AND n > 2")
+    )
+    inside = durable(bands.join(mixed.select("band"), "band").join(nodes.select("doc_id", "n_shingles"), "doc_id"))
+    groups = inside.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("held"))
+    largest = durable(
+        groups.groupBy("band")
+        .agg(F.max(F.struct("n", "component", "held")).alias("top"), F.sum("held").alias("all"))
+        .select(
+            "band", F.col("top.component").alias("most"),
+            F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int").alias("ins"),
+            F.ceil((F.col("all") - F.col("top.held")) / BLOCK_SHINGLES).cast("int").alias("outs"),
+        )
+    )
+    needed = inside.select("doc_id").distinct()
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(needed, "doc_id", "left_semi")
+    sets = texts.mapInArrow(set_rows(k), f"doc_id {kind}, shingles array<long>").dropDuplicates(["doc_id"])
+    placed = inside.select("doc_id", "band", "component").join(largest, "band")
+
+    def block(own: str, other: str, turn: int) -> list[Column]:
+        mine = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.col(own)).cast("int")
+        return [mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1))]
+
+    i, j = block("outs", "ins", 1)
+    outside = placed.filter(F.col("component") != F.col("most")).select("doc_id", "band", "component", i.alias("i"), j.alias("j"))
+    j, i = block("ins", "outs", 2)
+    members = placed.select("doc_id", "band", "component", j.alias("j"), i.alias("i"))
+    with_sets = durable(sets)
+    key = ["band", "i", "j"]
+    columns = [*key, "doc_id", "component", "shingles"]
+    # Named anew, or the two sides would share their columns.
+    left, right = (
+        side.join(with_sets, "doc_id").select(*[F.col(c).alias(c) for c in columns]) for side in (outside, members)
     )
-    return (
-        outside.join(inside, "band").filter(F.col("cx") != F.col("component"))
-        .select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"))
-        .distinct()
+    return durable(
+        left.groupBy(*key).cogroup(right.groupBy(*key))
+        .applyInArrow(_linked(percent), f"u {kind}, v {kind}")
     )
 
 
@@ -249,7 +317,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     stars = met.filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     links = _confirmed(stars, nodes, docs, k, percent)
     found = durable(components(links))
-    rest = _confirmed(_across(_labelled(met.drop("a"), found)), nodes, docs, k, percent)
+    rest = _across(_labelled(met.drop("a"), found), nodes, docs, k, percent)
     found = durable(components(links.unionByName(rest)))
     ids = classes.join(found, "node", "left").select(
         "k1", "k2", "n_shingles", F.coalesce("component", "node").alias("component_id")
