@@ -17,6 +17,7 @@ from pagemill.sources import sinks
 
 AS_OF = "2024-01-31 00:00:00"
 KEEP_DAYS = 10
+PURGE_AFTER_US = 3 * 86_400_000_000
 
 
 def status_current(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,11 +57,11 @@ def result_view(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def result_by_id(spark: SparkSession, folder: str) -> DataFrame:
-    return _flat(R.by_id(_view(spark, folder), "3"))
+    return _flat(R.by_id(D.queue(spark, folder), _stored(spark, folder), "3"))
 
 
 def result_list(spark: SparkSession, folder: str) -> DataFrame:
-    return _flat(R.list_results(_view(spark, folder), limit=20, offset=10))
+    return _flat(R.listing(D.queue(spark, folder), _stored(spark, folder), limit=20, offset=10))
 
 
 def result_list_by_domain(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,7 +71,7 @@ def result_list_by_domain(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def result_list_by_status(spark: SparkSession, folder: str) -> DataFrame:
-    return _flat(R.list_results(_view(spark, folder), limit=50, status="failed"))
+    return _flat(R.listing(D.queue(spark, folder), _stored(spark, folder), limit=50, status="failed"))
 
 
 def result_delete(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,6 +122,44 @@ def sink_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return state.join(log, "crawl_id").join(stored, "crawl_id", "left")
 
 
+def store_serves(spark: SparkSession, folder: str) -> DataFrame:
+    """Append, delete, compact, then view, list and look up on the compacted store, before and after any delete."""
+    store, compacted = scratch_path(spark, "store"), scratch_path(spark, "store")
+    stamp = F.timestamp_micros(F.lit(D.T0_US) + F.col("page_id") * 3_600_000_000)
+    responses = D.responses(spark, folder).withColumn("fetched_at", stamp)
+    sinks.append_metadata(pipeline.page_metadata(responses), store)
+    queue = D.queue(spark, folder)
+    before = sinks.read_metadata(spark, store).select(F.lit("stored").alias("step"), "crawl_id", F.unix_micros("created_at").alias("created_us"))
+    sinks.delete_results(responses.filter(F.col("page_id") % 4 == 0), store)
+    sinks.compact(spark, store, compacted)
+    stored = sinks.read_metadata(spark, compacted)
+
+    def told(step: str, results: DataFrame) -> DataFrame:
+        return results.select(F.lit(step).alias("step"), "crawl_id", F.unix_micros("created_at").alias("created_us"))
+
+    return (
+        before.unionByName(told("listed", R.listing(queue, stored, limit=30)))
+        .unionByName(told("domain", R.listing(queue, stored, limit=30, domain="m.ththth.example.net")))
+        .unionByName(told("one", R.by_id(queue, stored, "5")))
+    )
+
+
+def history_purge(spark: SparkSession, folder: str) -> DataFrame:
+    """Append history, with fetches that timed out, purge it, and report what is left and what went."""
+    store, purged = scratch_path(spark, "store"), scratch_path(spark, "store")
+    stamp = F.timestamp_micros(F.lit(D.T0_US) + F.col("page_id") * 3_600_000_000)
+    responses = D.responses(spark, folder).withColumn("fetched_at", stamp).withColumn(
+        "failure", F.when(F.col("page_id") % 6 == 0, "timeout").when(F.col("page_id") % 6 == 1, "error")
+    ).withColumn("failure_message", F.when(F.col("failure") == "error", "refused"))
+    sinks.append_history(pipeline.history_of(responses), store)
+    as_of = F.timestamp_micros(F.lit(D.T0_US + PURGE_AFTER_US))
+    gone = sinks.purge_history(spark, store, purged, as_of, 1)
+    kept = sinks.read_history(spark, purged).groupBy("status", "error_message").agg(F.count(F.lit(1)).alias("n"))
+    return kept.unionByName(
+        gone.select(F.lit("deleted").alias("status"), F.lit(None).cast("string").alias("error_message"), F.col("deleted_count").alias("n"))
+    )
+
+
 def nested_json(spark: SparkSession, folder: str) -> DataFrame:
     """Links to JSON text and back."""
     pages = E.extract(D.pages(spark, folder), "links").select("page_id", "links", sinks.encoded("links").alias("text"))
@@ -134,7 +173,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         status_current, result_view, result_by_id, result_list, result_list_by_domain, result_list_by_status,
-        result_delete, history_retention, history_deleted, batch_totals, sink_roundtrip, nested_json,
+        result_delete, history_retention, history_deleted, batch_totals, sink_roundtrip, store_serves, history_purge, nested_json,
     )
 }
 
@@ -193,5 +232,23 @@ FROM g JOIN core USING (page_id) JOIN links USING (page_id)"""
 
 
 SQL["sink_roundtrip"] = _roundtrip_sql()
+_GATED = f"""
+r AS (SELECT page_id, {HOST_SQL} AS domain, {D.STATUS_CODE} AS status_code, {D.CONTENT_TYPE} AS ct, {D.T0_US} + page_id * 3600000000 AS at_us FROM pages),
+g AS (SELECT *, status_code = 200 AND coalesce(lower(ct), '') LIKE 'text/html%' AS ok FROM r)"""
+SQL["store_serves"] = f"""WITH {_GATED},
+kept AS (SELECT CAST(page_id AS VARCHAR) AS crawl_id, domain, at_us FROM g WHERE ok AND page_id % 4 <> 0),
+que AS ({D.QUEUE_SQL}),
+seen AS (SELECT crawl_id, at_us AS created_us FROM kept UNION ALL
+  SELECT crawl_id, epoch_us(created_at) FROM que WHERE crawl_id NOT IN (SELECT crawl_id FROM kept))
+SELECT 'stored' AS step, CAST(page_id AS VARCHAR) AS crawl_id, at_us AS created_us FROM g WHERE ok
+UNION ALL (SELECT 'listed', crawl_id, created_us FROM seen ORDER BY created_us DESC, crawl_id LIMIT 30)
+UNION ALL (SELECT 'domain', crawl_id, at_us FROM kept WHERE domain = 'm.ththth.example.net' ORDER BY at_us DESC, crawl_id LIMIT 30)
+UNION ALL SELECT 'one', crawl_id, created_us FROM seen WHERE crawl_id = '5'"""
+SQL["history_purge"] = f"""WITH {_GATED},
+h AS (SELECT *, CASE WHEN page_id % 6 = 0 THEN 'timeout' WHEN page_id % 6 = 1 THEN 'error' WHEN ok THEN 'completed' ELSE 'failed' END AS status,
+  CASE WHEN page_id % 6 = 0 THEN 'Request timeout' WHEN page_id % 6 = 1 THEN 'refused' WHEN NOT ok THEN 'Failed to crawl URL' END AS error_message,
+  at_us < {D.T0_US + PURGE_AFTER_US} - 86400000000 AS old FROM g)
+SELECT status, error_message, count(*) AS n FROM h WHERE NOT (old AND status IN ('completed', 'failed')) GROUP BY ALL
+UNION ALL SELECT 'deleted', NULL, count(*) FROM h WHERE old AND status IN ('completed', 'failed')"""
 SQL["nested_json"] = """SELECT page_id, true AS same, CAST(len(regexp_extract_all(html, '<a href="[^"]+"')) AS INT) AS n_links
 FROM pages"""

@@ -9,11 +9,10 @@ from pagemill.catalog import stand_ins as D
 from pagemill.catalog import topics as TC
 from pagemill.catalog.pages import SQL as PAGES
 from pagemill.catalog.requests import _EVENT_STATES
-from pagemill.catalog.robots import _REQUESTS, _VERDICT, _newest_files
+from pagemill.catalog.robots import _FRESH, _TARGET, _VERDICT
 from pagemill.functions import urls as U
-from pagemill.operators import robots as R
 from pagemill.sources.tables import stream_table
-from pagemill.streaming import jobs, polite
+from pagemill.streaming import fresh, jobs, polite
 
 LATE = "1 minute"
 EVENT_US = f"({D.T0_US} + page_id * 600000000 + 43200000000)"
@@ -47,17 +46,13 @@ def stream_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Looked-up results: one per user, status and clock hour survives."""
-    hour = (F.unix_seconds("event_at") / 3600).cast("long").cast("string")
-    looked_up = _events(spark, folder).select(
-        F.concat_ws("-", "crawl_id", "status", hour).alias("crawl_id"), "event_at"
-    )
-    return jobs.run_to_files(jobs.fresh_result_stream(looked_up).select("crawl_id"), "stream-dedup")
+    """Looked-up results: the first per user and status, and the first after each lifetime of an hour."""
+    looked_up = _events(spark, folder).select(F.concat_ws("-", "crawl_id", "status").alias("crawl_id"), "event_at")
+    kept = jobs.run_to_files(fresh.fresh_result_stream(looked_up), "stream-dedup")
+    return kept.select("crawl_id", F.unix_micros("event_at").alias("event_us"))
 
 
 def stream_robots(spark: SparkSession, folder: str) -> DataFrame:
-    newest = R.latest_snapshots(D.snapshots(spark, folder)).select("domain", "fetched_at")
-    files = newest.join(_newest_files(spark, folder), "domain")
     requests = stream_table(spark, folder, "pages").select(
         F.col("page_id").alias("request_id"),
         "url",
@@ -65,8 +60,8 @@ def stream_robots(spark: SparkSession, folder: str) -> DataFrame:
         F.expr(D.AGENT).alias("user_agent"),
         F.timestamp_micros(F.expr(EVENT_US)).alias("event_at"),
     )
-    checked = jobs.robots_stream(requests, files)
-    return jobs.run_to_files(checked.select("request_id", "domain", "allowed"), "stream-robots")
+    checked = jobs.robots_batches(requests, lambda: D.snapshots(spark, folder), "stream-robots")
+    return checked.select("request_id", "domain", "allowed")
 
 
 def stream_polite(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,12 +90,15 @@ SELECT page_id, title, language, word_count, content_hash, coalesce(names, '') A
     "stream_metrics": f"""WITH e AS (SELECT status, domain, epoch_us(event_at) // 15000000 * 15000000 AS window_start FROM ({D.EVENTS_SQL}))
 SELECT window_start, status, domain, count(*) AS events FROM e
 WHERE window_start + 15000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 60000000 FROM events) GROUP BY ALL""",
-    "stream_dedup": f"""SELECT DISTINCT crawl_id || '-' || status || '-' || CAST(epoch_us(event_at) // 3600000000 AS VARCHAR) AS crawl_id
-FROM ({D.EVENTS_SQL})""",
-    "stream_robots": f"""WITH {_REQUESTS}
-SELECT request_id, domain, CASE WHEN page_id * 10 + 720 >= file_id * 10 AND page_id * 10 + 720 < file_id * 10 + 1440
-  THEN allowed_by_rules ELSE true END AS allowed
-FROM (SELECT *, {_VERDICT} AS allowed_by_rules FROM c)""",
+    "stream_dedup": f"""WITH RECURSIVE e AS (SELECT crawl_id || '-' || status AS crawl_id, epoch_us(event_at) AS at FROM ({D.EVENTS_SQL})),
+kept AS (SELECT crawl_id, min(at) AS at FROM e GROUP BY crawl_id
+  UNION ALL SELECT k.crawl_id, min(e.at) FROM kept k JOIN e ON e.crawl_id = k.crawl_id AND e.at >= k.at + 3600000000 GROUP BY k.crawl_id, k.at)
+SELECT crawl_id, at AS event_us FROM kept""",
+    "stream_robots": f"""WITH {_FRESH.replace(D.REQUEST_US, EVENT_US)},
+c AS (SELECT fresh.*, {_TARGET} AS target, {D.AGENT} AS agent,
+  CASE WHEN snapshot_us IS NOT NULL THEN ((snapshot_us - {D.T0_US}) // 600000000) % 5 END AS k
+  FROM fresh JOIN pages ON request_id = page_id)
+SELECT request_id, domain, {_VERDICT} AS allowed FROM c""",
     # One delay for all, so a lapse restarts the numbering but moves no start.
     "stream_polite": """
 WITH a AS (SELECT event_type AS domain, event_id AS request_id, epoch_us(ts) AS arrival_us,

@@ -39,6 +39,12 @@ def request_target(url: Column) -> Column:
     )
 
 
+def decoded(text: Column) -> Column:
+    """Percent-encoded bytes as characters; a percent sign without two digits and a plus sign stay."""
+    safe = F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.when(F.contains(text, F.lit("%")), F.try_url_decode(safe)).otherwise(text)
+
+
 def is_http(url: Column) -> Column:
     return F.coalesce(url, F.lit("")).rlike(
         r"(?i)^https?://(?:[^/?#@\s]*@)?(?:\[[^\]/?#@\s]+\]|[^/?#:@\s\[\]]+)(?::[0-9]+)?(?:[/?#]|$)"

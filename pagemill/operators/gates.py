@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Messages of refused requests.
 BLOCKED_MESSAGE = "Blocked by robots.txt"
 FAILED_MESSAGE = "Failed to crawl URL"
+TIMEOUT_MESSAGE = "Request timeout"
+# How a fetch fails that brings no response; history keeps these for good.
+FAILURES = ("timeout", "error")
 
 
 def header(headers: Column, name: str) -> Column:
@@ -28,13 +31,23 @@ def reject_reason(
 
 
 def gate_responses(responses: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """Tag every response with ``reject_reason``, the resulting status and its message."""
+    """Tag every response with ``reject_reason``, the resulting status and its message.
+
+    A fetch that brought no response says so in an optional ``failure`` column, with
+    its own words in ``failure_message``; it keeps that name as reason and status.
+    """
     reason = reject_reason(
         F.col("status_code"), header(F.col("response_headers"), "content-type"), F.col("html"), max_bytes
     )
-    return responses.withColumn("reject_reason", reason).withColumns({
-        "status": F.when(F.col("reject_reason").isNull(), "completed").otherwise("failed"),
-        "error_message": F.when(F.col("reject_reason").isNotNull(), FAILED_MESSAGE),
+    none = F.lit(None).cast("string")
+    failure = F.col("failure") if "failure" in responses.columns else none
+    words = F.col("failure_message") if "failure_message" in responses.columns else none
+    failed = F.when(failure.isin(*FAILURES), failure)
+    own = F.coalesce(words, F.when(failed == "timeout", TIMEOUT_MESSAGE), F.lit(FAILED_MESSAGE))
+    return responses.withColumns({
+        "reject_reason": F.coalesce(failed, reason),
+        "status": F.coalesce(failed, F.when(reason.isNull(), "completed").otherwise("failed")),
+        "error_message": F.when(failed.isNotNull(), own).when(reason.isNotNull(), FAILED_MESSAGE),
     })
 
 

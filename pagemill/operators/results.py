@@ -33,8 +33,43 @@ def result_view(queue: DataFrame, metadata: DataFrame) -> DataFrame:
     )
 
 
-def by_id(results: DataFrame, crawl_id: str) -> DataFrame:
-    return results.filter(F.col("crawl_id") == crawl_id)
+def by_id(queue: DataFrame, metadata: DataFrame, crawl_id: str) -> DataFrame:
+    """The result of one id; both sides are filtered before they meet."""
+    wanted = F.col("crawl_id") == crawl_id
+    return result_view(queue.filter(wanted), metadata.filter(wanted))
+
+
+def listing(
+    queue: DataFrame,
+    metadata: DataFrame,
+    limit: int = 10,
+    offset: int = 0,
+    domain: str | None = None,
+    status: str | None = None,
+) -> DataFrame:
+    """A page of the result view, newest first, ties by id.
+
+    The page is chosen from ids, times and statuses alone; wide columns are read
+    for its ``limit`` ids only. Filters stand at the scans. A domain lists stored pages.
+    """
+    if domain is not None:
+        metadata = metadata.filter(F.col("domain") == domain)
+    pages = metadata.select("crawl_id", "created_at")
+    waiting = queue.select("crawl_id", "created_at", "status")
+    if status is not None:
+        waiting = waiting.filter(F.col("status") == status)
+    # A stored page stands for its queue row, whatever that says.
+    waiting = waiting.drop("status").join(metadata.select("crawl_id"), "crawl_id", "left_anti")
+    if domain is not None:
+        keys = pages if status in (None, "completed") else pages.limit(0)
+    elif status in (None, "completed"):
+        keys = pages.unionByName(waiting)
+    else:
+        keys = waiting
+    top = keys.orderBy(F.desc("created_at"), "crawl_id").offset(offset).limit(limit).select("crawl_id")
+    ids = F.broadcast(top)  # at most ``limit`` rows
+    view = result_view(queue.join(ids, "crawl_id", "left_semi"), metadata.join(ids, "crawl_id", "left_semi"))
+    return view.orderBy(F.desc("created_at"), "crawl_id")
 
 
 def list_results(
@@ -45,7 +80,7 @@ def list_results(
     status: str | None = None,
     domain_column: Column | None = None,
 ) -> DataFrame:
-    """A page of results, newest first, ties by id; filters reach the scan."""
+    """A page of rows that are already results, newest first, ties by id. ``listing`` serves queue and store."""
     if domain is not None:
         results = results.filter((F.col("domain") if domain_column is None else domain_column) == domain)
     if status is not None:

@@ -103,7 +103,7 @@ def robots_files(snapshots: DataFrame, key: str) -> DataFrame:
             F.struct(
                 "group_id",
                 F.transform("agents", lambda a: a["agent"]).alias("agents"),
-                F.transform("rules", lambda r: F.struct(r["allow"].alias("allow"), r["path"].alias("path"))).alias("rules"),
+                F.transform("rules", lambda r: F.struct(r["allow"].alias("allow"), U.decoded(r["path"]).alias("path"))).alias("rules"),
                 F.nullif(F.col("delay").try_cast("double"), F.lit(0.0)).alias("delay"),
             ).alias("group"),
         )
@@ -147,7 +147,7 @@ def is_allowed(groups: Column, agent: Column, url: Column) -> Column:
         return F.coalesce(F.get(hit, F.lit(0))["allow"], F.lit(True))
 
     return X.let(
-        F.struct(group_for(groups, agent).alias("group"), U.request_target(url).alias("target")), decide
+        F.struct(group_for(groups, agent).alias("group"), U.decoded(U.request_target(url)).alias("target")), decide
     )
 
 

@@ -35,7 +35,7 @@ def page_metadata(
     return with_topics(pages, topics).select(
         *[
             F.col("response_headers").alias("headers") if name == "headers"
-            else F.col("fetched_at").alias("crawl_timestamp") if name == "crawl_timestamp"
+            else F.col("fetched_at").alias(name) if name in ("crawl_timestamp", "created_at", "updated_at")
             else F.col(name)
             for name in S.PAGE_METADATA.names
         ]
@@ -56,12 +56,29 @@ def history_of(responses: DataFrame, max_bytes: int | None = None) -> DataFrame:
     )
 
 
+def with_verdict(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Add ``allowed``, ``robots_delay``, ``sitemaps`` and ``snapshot_us``: the rules of the copy still valid at each request's time."""
+    # Narrow and read three times below: written once rather than derived again.
+    fresh = durable(fresh_snapshot(requests.select("request_id", "domain", "arrival_us"), snapshots))
+    # Only copies that some request falls on are parsed.
+    wanted = fresh.filter(F.col("snapshot_us").isNotNull()).select("domain", "snapshot_us").distinct()
+    copies = single_copies(
+        snapshots.withColumnRenamed("fetched_us", "snapshot_us"), ["domain", "snapshot_us"]
+    ).join(wanted, ["domain", "snapshot_us"], "left_semi")
+    files = robots_files(
+        copies.select(F.struct("domain", "snapshot_us").alias("_file"), "content"), "_file"
+    ).select("_file.domain", "_file.snapshot_us", "groups", "sitemaps")
+    dated = requests.join(fresh.select("request_id", "snapshot_us"), "request_id")
+    return check_requests(dated, files, ["domain", "snapshot_us"], "request_id", counted=fresh)
+
+
 def crawl_plan(requests: DataFrame, snapshots: DataFrame, settings: DataFrame | None = None) -> DataFrame:
     """Valid requests with robots verdict and start time.
 
     ``requests`` carries ``request_id``, ``url``, ``arrival_us`` and the optional
     request settings; ``snapshots`` carries ``domain``, ``fetched_us``, ``http_status``
     and ``content``. Blocked requests keep a row with their message and no start.
+    Verdicts are written once, narrow; the schedule and the plan both read them.
     """
     valid = (
         validate_requests(requests)
@@ -69,20 +86,14 @@ def crawl_plan(requests: DataFrame, snapshots: DataFrame, settings: DataFrame |
         .drop("errors")
         .withColumn("domain", U.netloc_key(F.col("url")))
     )
-    # Narrow and read three times below: written once rather than derived again.
-    fresh = durable(fresh_snapshot(valid.select("request_id", "domain", "arrival_us"), snapshots))
-    # Only copies that some request falls on are parsed.
-    wanted = fresh.filter(F.col("snapshot_us").isNotNull()).select("domain", "snapshot_us").distinct()
-    copies = single_copies(
-        snapshots.withColumnRenamed("fetched_us", "snapshot_us"), ["domain", "snapshot_us"]
-    ).join(wanted, ["domain", "snapshot_us"], "left_semi")
-    files = robots_files(
-        copies.select(F.struct("domain", "snapshot_us").alias("_file"), "content"), "_file"
-    ).select("_file.domain", "_file.snapshot_us", "groups", "sitemaps")
-    dated = valid.join(fresh.select("request_id", "snapshot_us"), "request_id")
-    checked = check_requests(dated, files, ["domain", "snapshot_us"], "request_id", counted=fresh)
-    timed = polite_schedule(checked.filter("allowed"), settings)
-    # Request ids are unique, so this join has no hot key.
-    return checked.join(
-        timed.select("request_id", "request_number", "start_us", "wait_us"), "request_id", "left"
-    ).withColumn("error_message", F.when(~F.col("allowed"), BLOCKED_MESSAGE))
+    added = ["snapshot_us", "allowed", "robots_delay", "sitemaps"]
+    verdict = durable(
+        with_verdict(valid, snapshots).select("request_id", "domain", "arrival_us", "crawl_delay", *added)
+    )
+    timed = polite_schedule(verdict.filter("allowed"), settings)
+    # Request ids are unique, so these joins have no hot key.
+    return (
+        valid.join(verdict.select("request_id", *added), "request_id")
+        .join(timed.select("request_id", "request_number", "start_us", "wait_us"), "request_id", "left")
+        .withColumn("error_message", F.when(~F.col("allowed"), BLOCKED_MESSAGE))
+    )

@@ -105,6 +105,8 @@ PAGE_METADATA = T.StructType([
     T.StructField("response_time_ms", T.IntegerType()),
     T.StructField("status_code", T.IntegerType()),
     T.StructField("crawl_timestamp", T.TimestampType()),
+    T.StructField("created_at", T.TimestampType()),
+    T.StructField("updated_at", T.TimestampType()),
 ])
 
 CRAWL_REQUEST = T.StructType([
@@ -167,4 +169,6 @@ RESPONSE = T.StructType([
     T.StructField("response_headers", _HEADERS),
     T.StructField("response_time_ms", T.IntegerType()),
     T.StructField("fetched_at", T.TimestampType()),
+    T.StructField("failure", T.StringType()),
+    T.StructField("failure_message", T.StringType()),
 ])

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from pagemill import schemas as S
 from pagemill.operators.queue import current_status
-from pagemill.operators.results import without_deleted
+from pagemill.operators.results import HISTORY_DAYS, expired, retention_count, without_deleted
+from pagemill.plans.scratch import path_exists
 
 PARTITION = "on_date"
 STATUS_EVENT = T.StructType([
@@ -39,7 +40,11 @@ def _append(df: DataFrame, path: str, at: str) -> None:
 
 
 def append_metadata(pages: DataFrame, store: str) -> None:
-    _append(conform(pages, S.PAGE_METADATA), f"{store}/metadata", "crawl_timestamp")
+    """Pages that don't say when they were stored count as stored when they were fetched."""
+    rows = conform(pages, S.PAGE_METADATA)
+    rows = rows.withColumn("created_at", F.coalesce("created_at", "crawl_timestamp"))
+    rows = rows.withColumn("updated_at", F.coalesce("updated_at", "created_at"))
+    _append(rows, f"{store}/metadata", "crawl_timestamp")
 
 
 def append_status(events: DataFrame, store: str) -> None:
@@ -62,7 +67,7 @@ def _dated(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
 def read_metadata(spark: SparkSession, store: str, deletes: bool = True) -> DataFrame:
     """Stored results without the deleted ones; the store's date column is there to prune by."""
     rows = _dated(spark, S.PAGE_METADATA, f"{store}/metadata")
-    if not deletes:
+    if not deletes or not path_exists(spark, f"{store}/deleted"):
         return rows
     keys = spark.read.schema("crawl_id string").parquet(f"{store}/deleted")
     return without_deleted(rows, keys)
@@ -82,6 +87,16 @@ def compact(spark: SparkSession, store: str, into: str) -> None:
     rows.write.mode("errorifexists").partitionBy(PARTITION).parquet(f"{into}/metadata")
 
 
+def purge_history(
+    spark: SparkSession, store: str, into: str, as_of: Column, days: int = HISTORY_DAYS
+) -> DataFrame:
+    """Write a history generation without settled rows older than ``days``; returns how many went."""
+    history = read_history(spark, store)
+    kept = history.filter(~expired(as_of, days)).hint("rebalance", PARTITION)
+    kept.write.mode("errorifexists").partitionBy(PARTITION).parquet(f"{into}/history")
+    return retention_count(history, as_of, days)
+
+
 def encoded(value: str | Column) -> Column:
     """Nested column to JSON text, for export only."""
     return F.to_json(value)

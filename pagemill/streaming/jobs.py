@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill import schemas as S
 from pagemill.operators import extract as E
 from pagemill.operators.metrics import or_unknown
 from pagemill.operators.queue import latest
-from pagemill.operators.robots import is_allowed
 from pagemill.operators.topics import TOPIC_KEYWORDS, Dictionary
-from pagemill.plans.pipeline import with_topics
-from pagemill.plans.scratch import scratch_path
+from pagemill.operators.gates import accepted, gate_responses
+from pagemill.plans.pipeline import with_topics, with_verdict
+from pagemill.plans.scratch import path_exists, scratch_path
 
 
 def extract_stream(pages: DataFrame, *fields: str, topics: Dictionary = TOPIC_KEYWORDS) -> DataFrame:
-    """Stateless: the batch expressions, topics included, on a stream of pages."""
+    """Stateless: the batch expressions, topics included, on a stream of pages or of responses.
+
+    Responses, which have a ``status_code``, pass the gates first.
+    """
+    if "status_code" in pages.columns:
+        pages = accepted(gate_responses(pages))
     return with_topics(E.extract(pages, *fields), topics).drop("html")
 
 
@@ -39,21 +47,21 @@ def metric_stream(
     )
 
 
-def robots_stream(requests: DataFrame, files: DataFrame, ttl_seconds: int = S.ROBOTS_TTL_SECONDS) -> DataFrame:
-    """Stream-static join with the newest robots copy per domain, ignored once stale."""
-    fresh = (F.col("event_at") >= F.col("fetched_at")) & (
-        F.col("event_at") < F.col("fetched_at") + F.make_dt_interval(secs=F.lit(ttl_seconds))
-    )
-    joined = requests.join(files, "domain", "left")
-    groups = F.when(fresh, F.col("groups"))
-    return joined.withColumn(
-        "allowed", is_allowed(groups, F.coalesce("user_agent", F.lit("")), F.col("url"))
-    ).drop("groups", "sitemaps", "fetched_at")
+def robots_batches(requests: DataFrame, snapshots: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Run a stream of ``(request_id, domain, url, user_agent, event_at)`` against the robots copy valid at each event.
 
+    ``snapshots`` is called for every micro-batch, so copies fetched meanwhile are
+    seen; each batch is the same plan as a table of requests, hot domains included.
+    """
 
-def fresh_result_stream(results: DataFrame, ttl: str = f"{S.RESULT_TTL_SECONDS} seconds") -> DataFrame:
-    """First result per crawl id within its lifetime; repeats inside it are dropped."""
-    return results.withWatermark("event_at", ttl).dropDuplicatesWithinWatermark(["crawl_id"])
+    def check(batch: DataFrame) -> DataFrame:
+        timed = batch.withColumn("arrival_us", F.unix_micros("event_at"))
+        if "respect_robots_txt" not in timed.columns:
+            timed = timed.withColumn("respect_robots_txt", F.lit(True))
+        return with_verdict(timed, snapshots()).select(*batch.columns, "allowed")
+
+    schema = T.StructType([*requests.schema.fields, T.StructField("allowed", T.BooleanType())])
+    return run_batches(requests, label, check, schema, "append").drop("batch_id")
 
 
 def run_to_files(stream: DataFrame, label: str) -> DataFrame:
@@ -72,24 +80,34 @@ def run_to_files(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def run_updates(stream: DataFrame, label: str, key: str) -> DataFrame:
-    """Run an update-mode stream; each batch is a folder, the newest batch of a key holds."""
+def run_batches(
+    stream: DataFrame, label: str, each: Callable[[DataFrame], DataFrame], schema: T.StructType, mode: str
+) -> DataFrame:
+    """Run ``each`` on every micro-batch of what is available; rows of ``schema`` with their ``batch_id``."""
     spark = stream.sparkSession
     path = scratch_path(spark, label)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # Overwriting by batch id makes a replayed batch harmless.
-        batch.write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
+        each(batch).write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
 
     query = (
-        stream.writeStream.outputMode("update")
+        stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{path}/state")
         .foreachBatch(write)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    rows = spark.read.parquet(f"{path}/rows")
+    full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    if not path_exists(spark, f"{path}/rows"):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(f"{path}/rows")
+
+
+def run_updates(stream: DataFrame, label: str, key: str) -> DataFrame:
+    """Run an update-mode stream; each batch is a folder, the newest batch of a key holds."""
+    rows = run_batches(stream, label, lambda batch: batch, stream.schema, "update")
     values = [c for c in stream.columns if c != key]
     return rows.groupBy(key).agg(
         F.max_by(F.struct(*values), "batch_id").alias("_row")

@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pagemill.schemas import DEFAULT_CRAWL_DELAY, LIMITER_TTL_SECONDS
+from pagemill.session import STATE_STORE, STATE_STORE_CLASS
 
 OUTPUT = "domain string, request_id long, arrival_us long, request_number long, delay_us long, start_us long"
 STATE = "last_us long, requests long, delay_us long"
@@ -77,12 +78,15 @@ class PoliteState(StatefulProcessor):
         pass
 
 
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Keyed state of this kind needs the disk-backed store; ``session.build_session`` sets it for new sessions."""
+    if not spark.conf.get(STATE_STORE, "").endswith("RocksDBStateStoreProvider"):
+        spark.conf.set(STATE_STORE, STATE_STORE_CLASS)
+
+
 def polite_stream(requests: DataFrame) -> DataFrame:
     """Schedule a stream of ``(domain, request_id, arrival_us, crawl_delay)``."""
-    requests.sparkSession.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+    keep_state_on_disk(requests.sparkSession)
     narrow = requests.select("domain", "request_id", "arrival_us", "crawl_delay")
     return narrow.groupBy("domain").transformWithStateInPandas(
         PoliteState(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"

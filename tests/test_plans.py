@@ -65,3 +65,26 @@ def test_the_schedule_shuffles_its_rows_once(spark):
     ]
     # One for the rows, one for the (partially aggregated) chunk totals.
     assert len(row_shuffles) == 2 and "ReusedExchange [" in final
+
+
+def test_look_up_and_listing_read_little(spark, tmp_path):
+    """The id reaches both scans, and a page of results is chosen before anything wide is joined."""
+    queue = spark.range(50).select(
+        F.col("id").cast("string").alias("crawl_id"), F.lit("u").alias("url"), F.lit("failed").alias("status"),
+        F.lit(None).cast("string").alias("error_message"), F.lit(0).alias("retry_count"),
+        F.timestamp_seconds("id").alias("created_at"), F.lit(None).cast("timestamp").alias("completed_at"),
+    )
+    stored = spark.range(30).select(
+        F.col("id").cast("string").alias("crawl_id"), F.lit("m").alias("url"), F.lit("t").alias("title"),
+        F.timestamp_seconds("id").alias("created_at"), F.timestamp_seconds("id").alias("updated_at"),
+    )
+    queue.write.parquet(f"{tmp_path}/queue")
+    stored.write.parquet(f"{tmp_path}/stored")
+    queue, stored = spark.read.parquet(f"{tmp_path}/queue"), spark.read.parquet(f"{tmp_path}/stored")
+
+    one = plan_of(results.by_id(queue, stored, "3"))
+    assert one.count("EqualTo(crawl_id,3)") >= 2
+    page = plan_of(results.listing(queue, stored, limit=5))
+    assert "TakeOrderedAndProject" in page and page.count("LeftSemi") == 2 and "FullOuter" in page
+    narrow = [line for line in page.splitlines() if "FileScan" in line and "title" not in line and "retry_count" not in line]
+    assert len(narrow) >= 2  # ids and times of both sides

@@ -18,10 +18,12 @@ FILES = [
     "User-agent: *\nDisallow: /first\n\nUser-agent: *\nDisallow: /second",
     "User-agent: lens\nUser-agent: *\nDisallow: /both\nCrawl-delay: x",
     "User-agent: *\nUnknown: /z\nDisallow: /k\nRequest-rate: 1/5",
+    "User-agent: *\nDisallow: /a b\nDisallow: /~u\nDisallow: /é\nDisallow: /p%2fq\nDisallow: /c+d\nDisallow: /100%\nAllow: /r",
     "", "garbage without colon\n:\n: /x",
 ]
 AGENTS = ["Lens/2.0 (+x)", "other", "Nobody", ""]
-PATHS = ["/", "/private", "/private/ok/1", "/a", "/b/c", "/orphan", "/lost", "/x", "/q?z=1", "/cr", "/lens", "/first", "/second", "/both", "/k", ""]
+PATHS = ["/", "/private", "/private/ok/1", "/a", "/b/c", "/orphan", "/lost", "/x", "/q?z=1", "/cr", "/lens", "/first", "/second", "/both", "/k", "",
+         "/a%20b", "/a b", "/%7Eu", "/~u/x", "/%C3%A9", "/é", "/p/q", "/p%2Fq", "/c+d", "/c%2Bd", "/c d", "/100%", "/100%25", "/%72"]
 
 
 def readers():

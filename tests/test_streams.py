@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.streaming import jobs, polite
+from pagemill.streaming import fresh, jobs, polite
 from tests.test_skew import SECOND, lapsing
 
 SCHEMA = "n long, crawl_id string, status string, event_at timestamp, arrival_us long, crawl_delay double"
@@ -47,10 +47,40 @@ def test_closed_windows_only(spark, files):
 
 
 def test_results_repeat_only_after_their_lifetime(spark, files):
-    found = jobs.run_to_files(jobs.fresh_result_stream(stream(spark, files).select("crawl_id", "event_at")), "t-dedup")
+    found = jobs.run_to_files(fresh.fresh_result_stream(stream(spark, files).select("crawl_id", "event_at")), "t-dedup")
     assert found.count() == 7
 
 
+def test_results_return_after_their_lifetime(spark, tmp_path):
+    times = [0, 3000, 7200, 7300, 10_900, 10_700, 14_400]  # from a base, as nothing is later than the first watermark of all, 0
+    base = 1_000_000
+    for n, at in enumerate(times):
+        rows = spark.createDataFrame([("a", at), ("b", 0)] if n < 2 else [("a", at)], "crawl_id string, at long")
+        rows.select("crawl_id", F.timestamp_seconds(F.col("at") + base).alias("event_at")).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    rows = spark.readStream.schema("crawl_id string, event_at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    found = jobs.run_to_files(fresh.fresh_result_stream(rows, late="2 hours"), "t-fresh")
+    kept = sorted((r.crawl_id, int(r.s) - base) for r in found.select("crawl_id", F.unix_seconds("event_at").alias("s")).collect())
+    assert kept == [("a", 0), ("a", 7200), ("a", 10_900), ("b", 0)]
+
+
+def test_robots_copy_valid_at_each_request(spark, tmp_path):
+    """Copies a day apart both forbid; what was asked in between falls on the earlier one."""
+    copies = spark.createDataFrame(
+        [("d", 0, 200, "User-agent: *\nDisallow: /"), ("d", 90_000 * SECOND, 200, "User-agent: *\nDisallow: /")],
+        "domain string, fetched_us long, http_status int, content string",
+    )
+    schema = "request_id long, domain string, url string, user_agent string, event_at timestamp"
+    for n, at in enumerate([0, 7200, 88_000, 90_000, 200_000]):
+        rows = spark.createDataFrame([(n, at)], "request_id long, at long")
+        rows.select(
+            "request_id", F.lit("d").alias("domain"), F.lit("http://d/x").alias("url"), F.lit("a").alias("user_agent"),
+            F.timestamp_seconds("at").alias("event_at"),
+        ).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    asked = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path))
+    found = jobs.robots_batches(asked, lambda: copies, "t-robots")
+    assert {r.request_id: r.allowed for r in found.collect()} == {0: False, 1: False, 2: True, 3: False, 4: True}
+
+
 def test_polite_state_crosses_batches_and_lapses(spark, files):
     rows = stream(spark, files).select(
         F.lit("one").alias("domain"), F.col("n").alias("request_id"), "arrival_us", "crawl_delay"

@@ -41,12 +41,24 @@ def test_gates(spark):
 
 def test_full_size_limit(spark):
     size = F.repeat(F.lit("x"), S.MAX_CONTENT_BYTES)
-    ok, over = one(
+    ok, over, free = one(
         spark,
-        gates.reject_reason(F.lit(200), F.lit("text/html"), size),
+        gates.reject_reason(F.lit(200), F.lit("text/html"), size, S.MAX_CONTENT_BYTES),
+        gates.reject_reason(F.lit(200), F.lit("text/html"), F.concat(size, F.lit("x")), S.MAX_CONTENT_BYTES),
         gates.reject_reason(F.lit(200), F.lit("text/html"), F.concat(size, F.lit("x"))),
     )
-    assert (ok, over) == (None, "size")
+    assert (ok, over, free) == (None, "size", None)
+
+
+def test_failed_fetches_keep_their_names(spark):
+    rows = spark.createDataFrame(
+        [(1, None, "timeout", None), (2, None, "error", "refused"), (3, 200, None, None), (4, 404, None, None)],
+        "id int, status_code int, failure string, failure_message string",
+    ).withColumn("response_headers", F.create_map(F.lit("Content-Type"), F.lit("text/html"))).withColumn("html", F.lit("x"))
+    found = {r.id: (r.status, r.error_message) for r in gates.gate_responses(rows).collect()}
+    assert found == {
+        1: ("timeout", "Request timeout"), 2: ("error", "refused"), 3: ("completed", None), 4: ("failed", "Failed to crawl URL"),
+    }
 
 
 def test_header_merge(spark):
@@ -111,7 +123,11 @@ def test_result_view_cases(spark):
     assert found == {
         "both": ("m1", "completed", None, 0, "T"), "queued": ("u2", "failed", "e", 2, None), "stored": ("m2", "completed", None, 0, "S"),
     }
-    assert results.by_id(view, "nowhere").count() == 0
+    assert results.by_id(q, m, "nowhere").count() == 0
+    assert results.by_id(q, m, "both").first().url == "m1"
+    assert [r.crawl_id for r in results.listing(q, m, limit=9).collect()] == ["both", "queued", "stored"]
+    assert [r.crawl_id for r in results.listing(q, m, limit=9, status="failed").collect()] == ["queued"]
+    assert [r.crawl_id for r in results.listing(q, m, limit=9, status="processing").collect()] == []
 
 
 def test_retention(spark):
