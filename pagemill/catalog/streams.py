@@ -90,10 +90,10 @@ SELECT page_id, title, language, word_count, content_hash, coalesce(names, '') A
     "stream_metrics": f"""WITH e AS (SELECT status, domain, epoch_us(event_at) // 15000000 * 15000000 AS window_start FROM ({D.EVENTS_SQL}))
 SELECT window_start, status, domain, count(*) AS events FROM e
 WHERE window_start + 15000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 60000000 FROM events) GROUP BY ALL""",
-    "stream_dedup": f"""WITH RECURSIVE e AS (SELECT crawl_id || '-' || status AS crawl_id, epoch_us(event_at) AS at FROM ({D.EVENTS_SQL})),
-kept AS (SELECT crawl_id, min(at) AS at FROM e GROUP BY crawl_id
-  UNION ALL SELECT k.crawl_id, min(e.at) FROM kept k JOIN e ON e.crawl_id = k.crawl_id AND e.at >= k.at + 3600000000 GROUP BY k.crawl_id, k.at)
-SELECT crawl_id, at AS event_us FROM kept""",
+    "stream_dedup": f"""WITH RECURSIVE e AS (SELECT crawl_id || '-' || status AS crawl_id, epoch_us(event_at) AS us FROM ({D.EVENTS_SQL})),
+kept(crawl_id, us) AS (SELECT crawl_id, min(us) FROM e GROUP BY crawl_id
+  UNION ALL SELECT k.crawl_id, min(e.us) FROM kept k JOIN e ON e.crawl_id = k.crawl_id AND e.us >= k.us + 3600000000 GROUP BY k.crawl_id, k.us)
+SELECT crawl_id, us AS event_us FROM kept""",
     "stream_robots": f"""WITH {_FRESH.replace(D.REQUEST_US, EVENT_US)},
 c AS (SELECT fresh.*, {_TARGET} AS target, {D.AGENT} AS agent,
   CASE WHEN snapshot_us IS NOT NULL THEN ((snapshot_us - {D.T0_US}) // 600000000) % 5 END AS k

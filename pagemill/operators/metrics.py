@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.plans.scratch import durable
+
 # Upper bounds of the time buckets in seconds.
 SECONDS_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
 # Byte buckets are our own choice; the time bounds mean nothing for sizes.
@@ -65,18 +67,27 @@ def content_size_histogram(rows: DataFrame) -> DataFrame:
 
 
 def corpus_summary(metadata: DataFrame, approximate: bool = False) -> DataFrame:
-    """Totals over all pages and the sorted topic names; ``approximate`` sketches the domain count."""
+    """Totals over all pages and the sorted topic names; ``approximate`` sketches the domain count.
+
+    Pages are reduced to narrow rows, written once: totals and topic names are two
+    aggregates over them, and the names collected are distinct ones.
+    """
     domains = F.approx_count_distinct("domain") if approximate else F.count_distinct("domain")
-    # Sorted before collecting: the state is bounded by the subsets of the dictionary.
-    per_page = F.array_sort(F.col("topics.topic"))
-    topic_sets = F.array_sort(F.array_distinct(F.flatten(F.collect_set(per_page))))
-    return metadata.agg(
+    narrow = durable(metadata.select(
+        "domain", "word_count", "response_time_ms",
+        F.size("images").alias("images"), F.size("links").alias("links"), F.col("topics.topic").alias("names"),
+    ))
+    totals = narrow.agg(
         F.count(F.lit(1)).alias("pages"),
         domains.alias("domains"),
         F.sum("word_count").alias("words"),
         F.avg("response_time_ms").alias("mean_response_ms"),
-        F.sum(F.size("images")).alias("images"),
-        F.sum(F.size("links")).alias("links"),
-        F.sum(F.size("topics")).alias("topics"),
-        topic_sets.alias("topic_names"),
-    ).withColumn("distinct_topics", F.size("topic_names"))
+        F.sum("images").alias("images"),
+        F.sum("links").alias("links"),
+        F.sum(F.size("names")).alias("topics"),
+    ).withColumn("_one", F.lit(1))
+    names = narrow.select(F.explode("names").alias("name")).distinct().agg(
+        F.array_sort(F.collect_list("name")).alias("topic_names")
+    ).withColumn("_one", F.lit(1))
+    # One row meets one row.
+    return totals.join(names, "_one").drop("_one").withColumn("distinct_topics", F.size("topic_names"))

@@ -23,7 +23,8 @@ def spread_join(
     The count per key is a map-side-combined aggregate of the key columns only.
     A hot key is cut into ``ceil(rows / hot_rows)`` slices by a hash of
     ``spread_by``; only the look-up rows of hot keys are copied, once per slice.
-    At most ``rows / hot_rows`` keys can be hot, which bounds the broadcast.
+    At most ``rows / hot_rows`` keys can be hot; their table is broadcast only where
+    Spark finds it small.
     ``counted`` names a cheaper table with the same key counts as ``large``.
     """
     hot = (
@@ -37,12 +38,12 @@ def spread_join(
     keyless = F.exists(F.array(*[F.col(c).isNull() for c in on]), lambda missing: missing)
     slices = F.when(keyless, NULL_SLICES).otherwise(last + 1)
     left = (
-        large.join(F.broadcast(hot), on, "left")
+        large.join(hot, on, "left")
         .withColumn("_slice", F.pmod(F.xxhash64(spread_by), slices).cast("int"))
         .drop("_slices")
     )
     right = (
-        lookup.join(F.broadcast(hot), on, "left")
+        lookup.join(hot, on, "left")
         .withColumn("_slice", F.explode(F.sequence(F.lit(0), last)))
         .drop("_slices")
     )
