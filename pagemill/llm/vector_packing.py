@@ -22,9 +22,11 @@ result. Further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -36,54 +38,67 @@ from pyspark.sql import functions as F
 LENGTH = 1024
 SEGMENTS = 64
 BLOCK = 16_384
-CACHE_CHUNKS = 1 << 18
 END = 0
-_UNSURE = re.compile(r"\s (?:\s|\Z)")
+# Fixed value: how byte-level vocabularies cut a text before merging.
+BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_OTHER = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e]")
 
 PIECES = (
     "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
 
 
+def _byte_of_character() -> dict[str, int]:
+    """How byte-level vocabularies spell bytes: printable ones as themselves, the others as characters from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(others)}
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit numbers, ending with ``END``.
 
-    A space between characters that are not blank always starts a new token, so a
-    text is cut there, and the ids of a chunk seen before are looked up. Texts in
-    which blanks stand on both sides of a space, or which spell a special token,
-    are encoded whole.
+    The ids are those of the tokenizer file. For a plain byte-level vocabulary,
+    whose ids are in order of merging, a faster encoder is made of the same
+    vocabulary; it takes texts of characters that every Unicode version classes
+    alike and that spell no special token. All others go to the tokenizer itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
         self.end = np.array([END], "<u4").tobytes()
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        self.fast = None
+        given = json.loads(self.tokenizer.to_str())
+        splits, model = given.get("pre_tokenizer") or {}, given["model"]
+        plain = (
+            splits.get("type") == "ByteLevel" and not splits.get("add_prefix_space") and splits.get("use_regex", True)
+            and given.get("normalizer") is None and model.get("type") == "BPE" and not model.get("ignore_merges")
+            and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        )
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in given["added_tokens"]) or r"(?!)")
+        if plain:
+            import tiktoken
+
+            byte_of, added = _byte_of_character(), {t["content"] for t in given["added_tokens"]}
+            ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in model["vocab"].items() if t not in added}
+            self.fast = tiktoken.Encoding("same", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return self.end
-        if _UNSURE.search(text) or any(s in text for s in self.special):
-            return self.whole([text])[0] + self.end
-        first, *rest = text.split(" ")
-        chunks = [first, *[" " + c for c in rest]] if rest else [first]
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, chunks)) + self.end
-        except KeyError:
-            new = [c for c in dict.fromkeys(chunks) if c not in known]
-        found = dict(zip(new, self.whole(new), strict=True))
-        if len(known) + len(found) > CACHE_CHUNKS:
-            known.clear()
-            found = dict(zip(dict.fromkeys(chunks), self.whole(list(dict.fromkeys(chunks))), strict=True))
-        known.update(found)
-        return b"".join(map(known.__getitem__, chunks)) + self.end
+        if self.fast is None or _OTHER.search(text) or self.special.search(text):
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        else:
+            ids = self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        return ids.tobytes() + self.end
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process."""
+    return Encoder(path)
 
 
 def pack_vectors(sizes: np.ndarray, limits: np.ndarray) -> list[list[int]]:
@@ -179,7 +194,7 @@ def packer(path: str, length: int, segments: int, key: pa.DataType):
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         number = TaskContext.get().partitionId() << 32
         rows = _blocks(batches)
         while block := list(islice(rows, 1)):
