@@ -21,6 +21,7 @@ import numpy as np
 #: Columns of more bytes than this lie in a file that has no name and goes with the process.
 IN_MEMORY = 64 << 20
 END = 0
+LENGTH_BITS = 32
 
 
 def _column(n: int, kind: type) -> np.ndarray:
@@ -43,7 +44,9 @@ def suffix_columns(flat: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np
     and the last ends. Common prefixes are exact up to ``depth`` and not larger. An
     end sorts below every byte and equals no other end.
     """
-    symbols = flat.astype(np.uint16) + 1
+    # No UTF-8 text holds the byte 255, so bytes and the end fit into eight bits; any other input gets sixteen.
+    narrow = np.uint8 if not len(flat) or flat.max() < 255 else np.uint16
+    symbols = flat.astype(narrow) + narrow(1)
     lengths = np.diff(starts)
     n = len(lengths)
     place = np.arange(n)  # of the newest suffix of each string; first the bare ends
@@ -51,7 +54,7 @@ def suffix_columns(flat: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np
 
     def before(which: np.ndarray) -> np.ndarray:
         """The symbol before the newest suffix, or the end where the string is used up."""
-        out = np.zeros(len(which), np.uint16)
+        out = np.zeros(len(which), narrow)
         more = left[which] > 0
         rows = which[more]
         out[more] = symbols[starts[rows] + left[rows] - 1]
@@ -59,21 +62,21 @@ def suffix_columns(flat: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np
 
     transform = before(np.arange(n))
     common = np.zeros(n, np.uint8)
-    owner = np.arange(n, dtype=np.int32)
-    size = np.zeros(n, np.uint16)
+    # Owner and length of a suffix lie in one number, and so in one column.
+    tag = np.arange(n, dtype=np.int64) << LENGTH_BITS
     live = np.flatnonzero(lengths)
     rounds = 0
     while len(live):
         rounds += 1
         total = len(transform)
         by_symbol = np.argsort(transform, kind="stable")
-        rank = _column(total, np.int64)
-        rank[by_symbol] = np.arange(total)
+        rank = _column(total, np.int32 if total < 1 << 31 else np.int64)
+        rank[by_symbol] = np.arange(total, dtype=rank.dtype)
         ends = int((transform == END).sum())
-        k = rank[place[live]]
+        k = rank[place[live]].astype(np.int64)
         # Suffixes that start with a symbol follow the n bare ends; ends in the transform start none.
         target = k - ends + n
-        order = np.argsort(target)
+        order = np.argsort(target, kind="stable")
         live, k, target = live[order], k[order], target[order]
         at = by_symbol[k]
         symbol = transform[at]
@@ -91,12 +94,11 @@ def suffix_columns(flat: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np
         transform = _merged(transform, stay, target, before(live))
         common = _merged(common, stay, target, np.minimum(own, depth).astype(np.uint8))
         common[target[same_after] + 1] = np.minimum(after[same_after], depth)
-        owner = _merged(owner, stay, target, live.astype(np.int32))
-        size = _merged(size, stay, target, np.full(len(live), rounds, np.uint16))
+        tag = _merged(tag, stay, target, (live << LENGTH_BITS) + rounds)
         # Older suffixes moved; only the newest places are needed, those of strings that go on.
         place[live] = target
         live = live[left[live] > 0]
-    return common, owner, size
+    return common, tag >> LENGTH_BITS, tag & ((1 << LENGTH_BITS) - 1)
 
 
 def _least(common: np.ndarray, after: np.ndarray, upto: np.ndarray) -> np.ndarray:

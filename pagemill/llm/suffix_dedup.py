@@ -45,9 +45,12 @@ WIDTH = 50
 K = 16
 STRETCH = 31
 SLICE = 1 << 20
-BLOCK = 8192
+BLOCK = 4096
 HOT = 500_000
+#: Hot anchors, 16 bytes each, that may be broadcast.
+MOST_BROADCAST = 500_000
 _STEP = 0x9E3779B97F4A7C15
+_BITS = 1 << np.arange(STRETCH, dtype=np.int64)
 
 
 def _finish(x: np.ndarray) -> np.ndarray:
@@ -238,6 +241,35 @@ def _piece_rows(width: int, k: int):
     return run
 
 
+def _least_documents(pieces: list[bytes], own: np.ndarray, width: int) -> dict[int, np.ndarray]:
+    """Per piece and start of a window, the least document whose pieces hold that window; pieces that share none are left out.
+
+    Windows whose hash no other window has need no comparison. What is left of each
+    piece, from its first other window to its last, forms the collection.
+    """
+    ends = np.cumsum([len(p) for p in pieces])
+    starts = ends - [len(p) for p in pieces]
+    flat = np.frombuffer(b"".join(pieces), np.uint8)
+    hashes = _substring_hashes(flat, width)
+    of = np.repeat(np.arange(len(pieces)), ends - starts)[: len(hashes)]
+    at = np.flatnonzero(np.arange(len(hashes)) + width <= ends[of])
+    _, kind, count = np.unique(hashes[at], return_inverse=True, return_counts=True)
+    at = at[count[kind] > 1]
+    if not len(at):
+        return {}
+    held, first = np.unique(of[at], return_index=True)
+    lo = at[first]
+    hi = at[np.append(first[1:], len(at)) - 1] + width
+    cuts = np.append(0, np.cumsum(hi - lo))
+    collection = np.concatenate([flat[a:b] for a, b in zip(lo, hi, strict=True)])
+    found = {}
+    for i, a, values in zip(held, lo - starts[held], least_owner_values(collection, cuts, width, own[held]), strict=True):
+        whole = np.full(ends[i] - starts[i] - width + 1, own[i])
+        whole[a : a + len(values)] = values
+        found[int(i)] = whole
+    return found
+
+
 def _settle(rows: list[tuple], width: int) -> list[tuple]:
     """Masks of a block of whole anchors: rows ``anchor, doc_id, tag, start, windows, piece``."""
     pieces: dict[tuple[int, bytes], int] = {}
@@ -253,17 +285,15 @@ def _settle(rows: list[tuple], width: int) -> list[tuple]:
     several = [key for key in pieces if kinds[key[0]] > 1]
     least: dict[tuple[int, bytes], np.ndarray] = {}
     if several:
-        starts = np.cumsum([0, *[len(p) for _, p in several]])
-        flat = np.frombuffer(b"".join(p for _, p in several), np.uint8)
-        found = least_owner_values(flat, starts, width, np.array([pieces[key] for key in several], np.int64))
-        least = dict(zip(several, found, strict=True))
+        found = _least_documents([p for _, p in several], np.array([pieces[key] for key in several], np.int64), width)
+        least = {several[i]: values for i, values in found.items()}
     out = []
     for a, d, tag, start, windows, piece in rows:
         values = least.get((a, piece))
         if values is None:
             mask = (1 << windows) - 1 if pieces[a, piece] < d else 0
         else:
-            mask = sum(1 << int(i) for i in np.flatnonzero(values < d))
+            mask = int((values < d) @ _BITS[:windows])
         if mask:
             out.append((d, tag, start, mask))
     return out
@@ -346,7 +376,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, hot: int = H
     shared = durable(
         anchors.repartition(place).sortWithinPartitions("anchor").mapInArrow(_shared_rows(hot), "doc_id long, anchor long")
     )
-    hot_anchors = shared.filter(F.col("doc_id").isNull()).select("anchor", F.lit(True).alias("hot")).distinct()
+    hot_anchors = durable(shared.filter(F.col("doc_id").isNull()).select("anchor", F.lit(True).alias("hot")).distinct())
+    if hot_anchors.count() <= MOST_BROADCAST:
+        hot_anchors = F.broadcast(hot_anchors)  # beyond that, a shuffled join
     marked = shared.filter(F.col("doc_id").isNotNull()).join(hot_anchors, "anchor", "left")
     wanted = marked.groupBy("doc_id").agg(
         F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot")
