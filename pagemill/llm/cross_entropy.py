@@ -140,7 +140,8 @@ class Model:
 def train(docs: DataFrame, targets: DataFrame) -> tuple[np.ndarray, Model, Model]:
     """The shared vocabulary and the models of the documents named in ``targets(doc_id)`` and of all documents."""
     named = targets.select(F.col("doc_id").alias("_of")).distinct().withColumn("wanted", F.lit(True))
-    flagged = docs.select("doc_id", "text").join(named, F.col("doc_id") == F.col("_of"), "left").select(
+    # The named documents grow with the corpus: they are never broadcast, at any size.
+    flagged = docs.select("doc_id", "text").join(named.hint("merge"), F.col("doc_id") == F.col("_of"), "left").select(
         "text", F.coalesce("wanted", F.lit(False)).alias("wanted")
     )
     words = durable(
