@@ -4,13 +4,13 @@ Plain identifiers are found in the source itself: e-mail and IP addresses, card
 numbers that pass the Luhn test, telephone numbers. Patterns are written so that
 no text, however long, is read more than a few times.
 
-Disguised ones are found by a transducer. Around each sign of a disguise (a
-look-alike letter or digit, spelled digits, a bracketed or spelled at or dot) a
-window is read once from left to right; rules rewrite it to plain characters, and
-every character written keeps the stretch of source it stands for. The plain
-detectors run on what was written, and a hit is mapped back to the source from
-the start of its first character to the end of its last. Hits that read the same
-in the source, or that meet a plain span of the same kind, are left out.
+Disguised ones are found by a transducer. The whole text is read once from left to
+right; rules rewrite its disguises (look-alike letters and digits, spelled digits,
+a bracketed or spelled at or dot) to plain characters, and every character written
+keeps the stretch of source it stands for. The plain detectors run on what was
+written, and a hit is mapped back to the source from the start of its first
+character to the end of its last. Hits that read the same in the source, or that
+meet a plain span of the same kind, are left out.
 
 Null texts count as empty. Repeated ids and rows are scanned each by itself. An
 empty table gives an empty result. Further columns stay in ``redact``.
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,8 +39,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){13,}+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-#: Window around a sign of disguise, in characters.
-REACH = 160
 # Letters of other scripts that look like ASCII ones.
 LOOK_ALIKES = dict(zip("АВЕКМНОРСТХУаеорсухіјѕԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαν", "ABEKMHOPCTXYaeopcyxijsdqwABEZHIKMNOPTYXoav", strict=True))
 # Spelled digits in the languages of the corpus.
@@ -54,12 +53,6 @@ DIGIT_WORDS = {
 }
 _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _DOT = "dot|punkt|point|punto"
-_SIGNS = (
-    re.compile("[^\x00-\u024f\u2000-\u2bff]"),
-    re.compile(rf"(?i)[\[({{<] ?(?:at|@|{_DOT}|\.) ?[\])}}>]"),
-    re.compile(rf"(?i) (?:{_DOT}) (?=[a-z])"),
-    re.compile(rf"(?i)\b(?:{_DIGIT})(?:[ ,.-]{{1,2}}(?:{_DIGIT}|[0-9]+)){{3,}}\b"),
-)
 _RULES: tuple[tuple[re.Pattern, Callable[[re.Match], str]], ...] = (
     (re.compile(r"(?i)\s{0,2}[\[({<]\s?(?:at|@)\s?[\])}>]\s{0,2}"), lambda m: "@"),
     (re.compile(rf"(?i)\s{{0,2}}[\[({{<]\s?(?:{_DOT}|\.)\s?[\])}}>]\s{{0,2}}"), lambda m: "."),
@@ -68,8 +61,10 @@ _RULES: tuple[tuple[re.Pattern, Callable[[re.Match], str]], ...] = (
     (re.compile(rf"(?i)\bplus\s(?=(?:{_DIGIT})\b|[0-9])"), lambda m: "+"),
     (re.compile(rf"(?i)\b({_DIGIT})\b(?:[ ,]{{1,2}}(?=(?:{_DIGIT}|[0-9]+)\b))?"), lambda m: DIGIT_WORDS[m[1].lower()]),
 )
-_START = re.compile(rf"(?i)\s{{0,2}}[\[({{<]|(?<=\w)\s(?:at|{_DOT})\s|\bplus\s|\b(?:{_DIGIT})\b")
-_plain: dict[str, str] = {}
+# Words and brackets at which a rule may apply; a rule's match starts with them or with the blanks before them.
+_TOKEN = re.compile(r"\w+|[\[({<]")
+_OPENS = frozenset("[({<")
+_SIGNS = frozenset([*_OPENS, *DIGIT_WORDS, *_DOT.split("|"), "at", "plus"])
 
 
 def luhn(digits: str) -> bool:
@@ -114,70 +109,69 @@ def plain_character(c: str) -> str:
     """The ASCII character that ``c`` stands for, or ``c``."""
     if c < "\u0250":
         return c
-    if c not in _plain:
-        form = LOOK_ALIKES.get(c) or unicodedata.normalize("NFKC", c)
-        if len(form) != 1 or not form.isascii():
-            digit = unicodedata.decimal(c, None)
-            form = c if digit is None else str(digit)
-        _plain[c] = {"。": ".", "＠": "@"}.get(c, form)
-    return _plain[c]
-
-
-def transduce(text: str, lo: int, hi: int) -> tuple[str, list[int], list[int]]:
-    """The window rewritten, with the source start and end of every character written."""
-    letters = "".join(map(plain_character, text[lo:hi]))  # one for one
+    form = LOOK_ALIKES.get(c) or unicodedata.normalize("NFKC", c)
+    if len(form) != 1 or not form.isascii():
+        digit = unicodedata.decimal(c, None)
+        form = c if digit is None else str(digit)
+    return {"。": ".", "＠": "@"}.get(c, form)
+
+
+# No character of the further planes stands for an ASCII one.
+_PLAIN = {i: form for i in range(0x250, 0x20000) if (form := plain_character(chr(i))) != chr(i)}
+_BEYOND = re.compile("[^\x00-\u024f]")
+
+
+def transduce(text: str) -> tuple[str, list[int], list[tuple[int, int]]]:
+    """The text rewritten, where in it the rules wrote a character, and the source stretch of each of those."""
+    letters = text.translate(_PLAIN) if _BEYOND.search(text) else text  # one for one
     out: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
-    at = 0
-    while at < len(letters):
-        opens = _START.search(letters, at)
-        stop = opens.start() if opens else len(letters)
-        out.extend(letters[at:stop])
-        starts.extend(range(lo + at, lo + stop))
-        ends.extend(range(lo + at + 1, lo + stop + 1))
-        at = stop
-        if opens:
-            for rule, write in _RULES:
-                if m := rule.match(letters, at):
-                    out.append(write(m))
-                    starts.append(lo + at)
-                    ends.append(lo + m.end())
-                    at = m.end()
-                    break
-            else:
-                out.append(letters[at])
-                starts.append(lo + at)
-                ends.append(lo + at + 1)
-                at += 1
-    return "".join(out), starts, ends
-
-
-def _windows(text: str) -> list[tuple[int, int]]:
-    signs = sorted(m.span() for sign in _SIGNS for m in sign.finditer(text))
-    merged: list[list[int]] = []
-    for start, end in signs:
-        lo, hi = max(0, start - REACH), min(len(text), end + REACH)
-        if merged and lo <= merged[-1][1]:
-            merged[-1][1] = max(hi, merged[-1][1])
-        else:
-            merged.append([lo, hi])
-    return [(lo, hi) for lo, hi in merged]
+    places: list[int] = []
+    sources: list[tuple[int, int]] = []
+    done = shift = 0
+    for token in _TOKEN.finditer(letters):
+        if (word := token[0].lower()) not in _SIGNS:
+            continue
+        at = token.start()
+        if word not in DIGIT_WORDS and word != "plus":
+            least = max(done, at - (2 if word in _OPENS else 1))
+            while at > least and letters[at - 1].isspace():
+                at -= 1
+        for rule, write in _RULES if at >= done else ():
+            if m := rule.match(letters, at):
+                out += [letters[done:at], write(m)]
+                places.append(at - shift)
+                sources.append((at, m.end()))
+                shift += m.end() - at - 1
+                done = m.end()
+                break
+    out.append(letters[done:])
+    return "".join(out), places, sources
 
 
 def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     """Identifiers that appear once disguises are undone and that no plain span of their kind meets."""
+    written, places, sources = transduce(text)
+    if written == text:
+        return []
+
+    def source(place: int) -> tuple[int, int]:
+        k = bisect_right(places, place) - 1
+        if k < 0:
+            return place, place + 1
+        if places[k] == place:
+            return sources[k]
+        start = sources[k][1] + place - places[k] - 1
+        return start, start + 1
+
     found: list[Span] = []
-    for lo, hi in _windows(text):
-        written, starts, ends = transduce(text, lo, hi)
-        for start, end, kind in plain_spans(written):
-            span = (starts[start], ends[end - 1], kind)
-            if text[span[0] : span[1]] == written[start:end]:
-                continue
-            if kind == "email" and not written[start:end].rpartition(".")[2].isalpha():
-                continue
-            if not any(k == kind and s < span[1] and span[0] < e for s, e, k in [*plain, *found]):
-                found.append(span)
+    for start, end, kind in plain_spans(written):
+        span = (source(start)[0], source(end - 1)[1], kind)
+        if text[span[0] : span[1]] == written[start:end]:
+            continue
+        if kind == "email" and not written[start:end].rpartition(".")[2].isalpha():
+            continue
+        if not any(k == kind and s < span[1] and span[0] < e for s, e, k in [*plain, *found]):
+            found.append(span)
     return found
 
 

@@ -61,6 +61,30 @@ def test_disguises_map_back_to_the_source(text, kind, part):
     assert (part, kind) in spans
 
 
+@pytest.mark.parametrize("text,kind,part", [
+    ("john at example.com", "email", "john at example.com"),
+    ("write john\nat\nexample\tdot\tcom", "email", "john\nat\nexample\tdot\tcom"),
+    ("host 192 dot 168 dot 0 dot 12 up", "ip", "192 dot 168 dot 0 dot 12"),
+    ("card 4111 1111 1111 111 one", "card", "4111 1111 1111 111 one"),
+    ("call +1 555 867 53 oh nine", "phone", "+1 555 867 53 oh nine"),
+    ("john@example\u2024com", "email", "john@example\u2024com"),
+    ("card 4\u2460\u24601 1111 1111 1111", "card", "4\u2460\u24601 1111 1111 1111"),
+    ("a" * 400 + " (at) example.com", "email", "a" * 400 + " (at) example.com"),
+])
+def test_every_disguise_of_the_rules_is_read(text, kind, part):
+    spans = [(text[a:b], k) for a, b, k in P.find_spans(text)[1]]
+    assert (part, kind) in spans
+
+
+def test_letters_that_only_fold_to_a_word_are_left_alone():
+    assert P.find_spans("fıve ſix one two three four") == ([], [])
+
+
+def test_plain_characters_are_all_known():
+    changed = {i for i in range(0x110000) if P.plain_character(chr(i)) != chr(i)}
+    assert changed == set(P._PLAIN)
+
+
 @pytest.mark.parametrize("text", ["meet me at the dot on the map", "one two three", "we met at noon. dot com boom", "α and β at γ"])
 def test_ordinary_text_is_left_alone(text):
     assert P.find_spans(text) == ([], [])
