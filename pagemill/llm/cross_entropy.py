@@ -4,17 +4,17 @@ Two bigram models, one of a target corpus and one of all documents, share one
 vocabulary, one order and one smoothing, so a difference in loss per token comes
 from the texts alone. A lower difference means closer to the target.
 
-Words are lower-cased and end at blanks. The vocabulary is the ``VOCABULARY`` most
-frequent words of the whole corpus; what is beyond it is one unknown word. The
-``CLASSES - 1`` most frequent words are classes of their own, all others form
-the last class. The loss of a word is that of its class after the class before
-it, plus that of the word within the last class if it belongs to it. Class pairs
-are smoothed towards the class frequencies with ``PRIOR`` pseudo-tokens.
-
-Counts cover all texts. They are summed in each task and combined before and after
-a shuffle, so what is gathered grows with the corpus; tasks pass their counts on
-whenever ``HELD`` different words are held. Only the model, ``VOCABULARY`` words and
-``CLASSES`` squared pairs, reaches the driver and the executors.
+Words are lower-cased and end at blanks. Every word and every pair of words of the
+corpus is counted and kept, under hashes of 64 bits, as a distributed table that
+grows with the corpus. A pair is smoothed towards the frequency of its second word
+with ``PRIOR`` pseudo-tokens, and that one by adding one to the count of each word.
+
+Pairs are counted in each task, ``HELD`` tokens at a time, and combined before and
+after a shuffle. To score, the different pairs of each document are joined with
+the pairs' log-probabilities and summed per row. Only two totals, the number of
+words and the keys of more than a ``SHARE``-th of all tokens reach the driver; rows
+of the latter are spread over several slices of their key. Pairs of texts that
+were not counted have a count of nought.
 
 Null and wordless texts have no tokens and null losses. Documents are in the
 target if one of their labels says so; rows that repeat count each. Without target
@@ -24,169 +24,210 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.plans.scratch import durable
 
-VOCABULARY = 65_535
+#: The least number of words that smoothing reckons with; larger vocabularies are reckoned with as they are.
 CLASSES = 1024
 PRIOR = 500.0
-HELD = 400_000
+HELD = 1_000_000
+SHARE = 1024
 
 
 def _hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    everywhere, target = Counter(), Counter()
+_START = _hash("")  # stands before the first word
 
-    def emit() -> pa.RecordBatch:
-        words = list(everywhere)
-        out = pa.RecordBatch.from_arrays(
-            [
-                pa.array(map(_hash, words), pa.int64(), size=len(words)),
-                pa.array(everywhere.values(), pa.int64(), size=len(words)),
-                pa.array((target[w] for w in words), pa.int64(), size=len(words)),
-            ],
-            ["word", "n", "t"],
-        )
-        everywhere.clear()
-        target.clear()
-        return out
-
-    for batch in batches:
-        for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-            words = (text.as_py() or "").lower().split()
-            everywhere.update(words)
-            if wanted.as_py():
-                target.update(words)
-            if len(everywhere) >= HELD:
-                yield emit()
-    if everywhere:
-        yield emit()
-
-
-class _Ids(dict):
-    """Vocabulary numbers by word, in order of frequency; unknown words have the last number."""
 
-    def __init__(self, hashes: np.ndarray):
-        super().__init__()
-        self.unknown = len(hashes)
-        self.by_hash = dict(zip(hashes.tolist(), range(len(hashes)), strict=True))
+class _Hashes(dict):
+    """Hashes by word; forgotten when too many words are held."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= HELD:
             self.clear()
-        value = self[word] = self.by_hash.get(_hash(word), self.unknown)
+        value = self[word] = _hash(word)
         return value
 
 
-def _tokens(text: str | None, ids: dict) -> np.ndarray:
+def _tokens(text: str | None, hashes: dict) -> np.ndarray:
     words = text.lower().split() if text else []
-    return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+    return np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for two, for use inside a task."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) + b.astype(np.uint64)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
 
-def _classes(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each token and of the one before it; ``CLASSES`` stands before the first."""
-    own = np.minimum(tokens, CLASSES - 1)
-    return own, np.concatenate([[CLASSES], own[:-1]])
+class _Held:
+    """Tokens of several texts with a mark for each text."""
 
+    def __init__(self):
+        self.tokens: list[np.ndarray] = []
+        self.marks: list[int] = []
+        self.size = 0
 
-def _count_pairs(hashes: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(hashes)
-        counts = np.zeros((2, (CLASSES + 1) * CLASSES), np.int64)
-        for batch in batches:
-            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-                tokens = _tokens(text.as_py(), ids)
-                if len(tokens):
-                    own, before = _classes(tokens)
-                    cells, n = np.unique(before * CLASSES + own, return_counts=True)
-                    counts[0][cells] += n
-                    if wanted.as_py():
-                        counts[1][cells] += n
-        cells = np.flatnonzero(counts[0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cells, pa.int64()), pa.array(counts[0][cells]), pa.array(counts[1][cells])], ["cell", "n", "t"]
-        )
+    def add(self, tokens: np.ndarray, mark: int) -> None:
+        if len(tokens):
+            self.tokens.append(tokens)
+            self.marks.append(mark)
+            self.size += len(tokens)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each token, the one before it and the mark of its text; nothing is held after that."""
+        sizes = [len(t) for t in self.tokens]
+        own = np.concatenate(self.tokens)
+        before = np.empty_like(own)
+        before[1:] = own[:-1]
+        before[np.cumsum([0, *sizes[:-1]])] = _START
+        marks = np.repeat(np.array(self.marks, np.int64), sizes)
+        self.__init__()
+        return before, own, marks
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes, held = _Hashes(), _Held()
+
+    def emit() -> pa.RecordBatch:
+        a, b, wanted = held.take()
+        _, first, which = np.unique(_mixed(a, b), return_index=True, return_inverse=True)
+        n = np.bincount(which)
+        t = np.bincount(which, weights=wanted).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a[first], b[first], n, t)], ["a", "b", "n", "t"])
+
+    for batch in batches:
+        for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
+            held.add(_tokens(text.as_py(), hashes), int(wanted.as_py()))
+            if held.size >= HELD:
+                yield emit()
+    if held.size:
+        yield emit()
 
-    return run
 
+def _row_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different pairs of each row; a further one of no tokens brings its id."""
+    hashes, held, names = _Hashes(), _Held(), ["doc_id", "row", "a", "b", "n"]
 
+    def emit(kind: pa.DataType) -> pa.RecordBatch:
+        a, b, rows = held.take()
+        _, first, n = np.unique(_mixed(_mixed(a, b), rows), return_index=True, return_counts=True)
+        columns = [pa.array(x, pa.int64()) for x in (rows[first], a[first], b[first], n)]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(first), kind), *columns], names)
+
+    for batch in batches:
+        rows = batch.column(2)
+        none = pa.array(np.zeros(len(rows), np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), rows, rows, none, none], names)
+        for text, row in zip(batch.column(1), rows, strict=True):
+            held.add(_tokens(text.as_py(), hashes), row.as_py())
+            if held.size >= HELD:
+                yield emit(batch.column(0).type)
+        if held.size:
+            yield emit(batch.column(0).type)
+
+
+@dataclass
 class Model:
-    """Log-probabilities of one corpus: class after class, and word within the last class."""
+    """One corpus: the names of its counts and how many tokens it has."""
+
+    pair: str
+    tokens: int
+
+    def loss(self, words: int) -> Column:
+        """The negative log-probability of a pair, from its count, that of its second word and that of pairs with its first."""
+        base = (F.col(f"own_{self.pair}") + 1) / F.lit(float(self.tokens + max(words, CLASSES)))
+        return -F.log((F.col(self.pair) + PRIOR * base) / (F.col(f"before_{self.pair}") + PRIOR))
+
 
-    def __init__(self, pairs: np.ndarray, rest: np.ndarray):
-        # ``pairs`` counts classes after classes; ``rest`` counts words of the last class, the unknown word last.
-        classes = pairs.sum(axis=0)
-        base = (classes + 1) / (classes.sum() + CLASSES)
-        self.pairs = np.log((pairs + PRIOR * base) / (pairs.sum(axis=1, keepdims=True) + PRIOR)).astype(np.float32).ravel()
-        self.rest = np.log((rest + 1) / (rest.sum() + len(rest))).astype(np.float32)
+class Counts:
+    """The counted pairs ``a, b, n, t`` of documents, everywhere and in the target; its length is the number of words."""
 
-    def loss(self, tokens: np.ndarray, own: np.ndarray, before: np.ndarray) -> float:
-        rare = tokens[own == CLASSES - 1] - (CLASSES - 1)
-        total = self.pairs[before * CLASSES + own].sum(dtype=np.float64) + self.rest[rare].sum(dtype=np.float64)
-        return float(-total / len(tokens))
+    def __init__(self, docs: DataFrame, pairs: DataFrame, words: int):
+        self.docs, self.pairs, self.words = docs, pairs, words
 
+    def __len__(self) -> int:
+        return self.words
 
-def train(docs: DataFrame, targets: DataFrame) -> tuple[np.ndarray, Model, Model]:
-    """The shared vocabulary and the models of the documents named in ``targets(doc_id)`` and of all documents."""
+
+def _spread_join(large: DataFrame, lookup: DataFrame, keys: list[str], hot: DataFrame, by: str, how: str) -> DataFrame:
+    """Join by shuffle at every size; rows of the ``hot`` keys go to ``slices`` tasks by a hash of ``by``.
+
+    At most ``SHARE`` keys are hot, so their table is small whatever the corpus.
+    """
+    slices = F.coalesce("slices", F.lit(1))
+    few = F.broadcast(hot)
+    left = large.join(few, keys, "left").withColumn("slot", F.xxhash64(*keys, F.pmod(F.xxhash64(by), slices).cast("int")))
+    right = lookup.join(few, keys, "left").withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    right = right.withColumn("slot", F.xxhash64(*keys, "slice")).drop(*keys, "slice", "slices")
+    return left.drop("slices").join(right.hint("merge"), "slot", how).drop("slot")
+
+
+def train(docs: DataFrame, targets: DataFrame) -> tuple[Counts, Model, Model]:
+    """The counts and the models of the documents named in ``targets(doc_id)`` and of all documents."""
     named = targets.select(F.col("doc_id").alias("_of")).distinct().withColumn("wanted", F.lit(True))
     # The named documents grow with the corpus: they are never broadcast, at any size.
     flagged = docs.select("doc_id", "text").join(named.hint("merge"), F.col("doc_id") == F.col("_of"), "left").select(
         "text", F.coalesce("wanted", F.lit(False)).alias("wanted")
     )
-    words = durable(
-        flagged.mapInArrow(_count_words, "word long, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    )
-    top = words.orderBy(F.col("n").desc(), "word").limit(VOCABULARY).toPandas()
-    whole = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    hashes = top["word"].to_numpy(np.int64)
-    cells = (
-        flagged.mapInArrow(_count_pairs(hashes), "cell long, n long, t long")
-        .groupBy("cell").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toPandas()  # at most one row per pair of classes
+    pairs = durable(
+        flagged.mapInArrow(_count_pairs, "a long, b long, n long, t long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     )
-    models = []
-    for column, total in (("t", whole[1]), ("n", whole[0])):
-        pairs = np.zeros((CLASSES + 1) * CLASSES)
-        pairs[cells["cell"].to_numpy(np.int64)] = cells[column].to_numpy(float)
-        known = top[column].to_numpy(float)
-        rest = np.append(known[CLASSES - 1 :], total - known.sum())
-        models.append(Model(pairs.reshape(CLASSES + 1, CLASSES), rest))
-    return hashes, *models
-
-
-def score(docs: DataFrame, hashes: np.ndarray, target: Model, background: Model) -> DataFrame:
-    """``doc_id, n_tokens, target_loss, background_loss, difference`` from whole texts, where they are scanned."""
-    kind = dict(docs.dtypes)["doc_id"]
+    words = pairs.groupBy("b").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    whole = words.agg(F.count("b"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    return Counts(docs, pairs, whole[0]), Model("t", whole[2]), Model("n", whole[1])
+
+
+def _losses(pairs: DataFrame, words: int, target: Model, background: Model) -> DataFrame:
+    """``a, b, n`` and both losses of every pair."""
+    step = background.tokens / SHARE
+
+    def sums(key: str, name: str) -> DataFrame:
+        return pairs.groupBy(key).agg(F.sum("n").alias(f"{name}_n"), F.sum("t").alias(f"{name}_t"))
+
+    def hot(frame: DataFrame, key: str, n: str) -> DataFrame:
+        return frame.filter(F.col(n) > step).select(key, F.ceil(F.col(n) / step).cast("int").alias("slices"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(hashes)
-        for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                tokens = _tokens(text.as_py(), ids)
-                if not len(tokens):
-                    rows.append((0, None, None, None))
-                    continue
-                own, before = _classes(tokens)
-                a, b = (m.loss(tokens, own, before) for m in (target, background))
-                rows.append((len(tokens), a, b, a - b))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-            kinds = [pa.int64(), *[pa.float64()] * 3]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
-                ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, difference double"
+    own, before = sums("b", "own"), sums("a", "before")
+    known = _spread_join(pairs, own, ["b"], hot(own, "b", "own_n"), "a", "inner")
+    known = _spread_join(known, before, ["a"], hot(before, "a", "before_n"), "b", "inner")
+    return known.select("a", "b", "n", target.loss(words).alias("in_target"), background.loss(words).alias("in_all"))
+
+
+def score(docs: DataFrame, counts: Counts, target: Model, background: Model) -> DataFrame:
+    """``doc_id, n_tokens, target_loss, background_loss, difference`` from whole texts."""
+    kind = dict(docs.dtypes)["doc_id"]
+    pairs = counts.pairs
+    if not docs.sameSemantics(counts.docs):
+        others = docs.select("text", F.lit(False).alias("wanted")).mapInArrow(_count_pairs, "a long, b long, n long, t long")
+        nought = others.select("a", "b", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("t"))
+        pairs = pairs.unionByName(nought).groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    step = background.tokens / SHARE
+    hot = pairs.filter(F.col("n") > step).select("a", "b", F.ceil(F.col("n") / step).cast("int").alias("slices"))
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(
+        _row_pairs, f"doc_id {kind}, row long, a long, b long, n long"
+    )
+    # One number stands for the two words from here on.
+    losses = _losses(pairs, counts.words, target, background).select(F.xxhash64("a", "b").alias("pair"), "in_target", "in_all")
+    hot = hot.select(F.xxhash64("a", "b").alias("pair"), "slices")
+    asked = rows.select("doc_id", "row", F.xxhash64("a", "b").alias("pair"), F.col("n").cast("int").alias("n"))
+    found = _spread_join(asked, losses, ["pair"], hot, "row", "left")
+    sums = found.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.sum("n").alias("n_tokens"),
+        (F.sum(F.col("n") * F.col("in_target")) / F.sum("n")).alias("target_loss"),
+        (F.sum(F.col("n") * F.col("in_all")) / F.sum("n")).alias("background_loss"),
     )
+    return sums.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("difference"))

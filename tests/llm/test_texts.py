@@ -240,6 +240,25 @@ def test_cross_entropy(spark):
     assert found[0]["background_loss"] == pytest.approx(loss / len(words), rel=1e-4)
 
 
+def test_cross_entropy_keeps_rare_words_and_their_pairs(spark):
+    """Beyond the commonest 70,000 words the order of rare words still tells the target."""
+    common = [" ".join(f"c{i}" for i in range(n, n + 1000)) for n in range(0, 70_000, 1000)]
+    good, bad = ["ra rb rc rd"] * 3, ["rd rc rb ra"] * 3
+    docs = documents(spark, good + bad + common * 7)
+    targets = spark.range(3).select(F.col("id").alias("doc_id"))
+    found = {r["doc_id"]: r for r in X.score(docs, *X.train(docs, targets)).filter("doc_id < 6").collect()}
+    assert found[0]["difference"] < found[3]["difference"] - 0.01
+
+
+def test_cross_entropy_of_texts_not_counted(spark):
+    docs = documents(spark, ["sun moon", "buy pills"])
+    model = X.train(docs, docs.filter("doc_id = 0"))
+    found = X.score(documents(spark, ["moon new"]), *model).first()
+    base = [(1 + 1) / (4 + X.CLASSES), 1 / (4 + X.CLASSES)]
+    loss = -np.log((X.PRIOR * base[0]) / (2 + X.PRIOR)) - np.log(X.PRIOR * base[1] / X.PRIOR)
+    assert found["background_loss"] == pytest.approx(loss / 2)
+
+
 def test_cross_entropy_edges(spark):
     none = spark.createDataFrame([], "doc_id long")
     model = X.train(nothing(spark), none)
