@@ -71,7 +71,7 @@ def stream_polite(spark: SparkSession, folder: str) -> DataFrame:
         F.unix_micros("ts").alias("arrival_us"),
         F.lit(60.0).alias("crawl_delay"),
     )
-    return jobs.run_to_files(polite.polite_stream(arrivals), "stream-polite")
+    return polite.polite_batches(arrivals, "stream-polite")
 
 
 QUERIES = {

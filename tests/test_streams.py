@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +94,46 @@ def test_polite_state_crosses_batches_and_lapses(spark, files):
     expected = lapsing(arrivals, delays, 3600 * SECOND)
     assert [(r.start_us, r.request_number, r.delay_us) for r in found] == expected
     assert found[100].request_number == 1
+
+
+def test_polite_batches_cut_a_domain_and_keep_its_state(spark, files):
+    rows = stream(spark, files).select(
+        F.when(F.col("n") >= 0, "one").alias("domain"), F.col("n").alias("request_id"), "arrival_us", "crawl_delay"
+    )
+    found = polite.polite_batches(rows, "t-polite-batches").orderBy("request_id").collect()
+    arrivals = [n * 3 * SECOND + (7200 * SECOND if n >= 100 else 0) for n in range(200)]
+    delays = [(5 if n % 2 == 0 else 1) * SECOND for n in range(200)]
+    assert [(r.start_us, r.request_number, r.delay_us) for r in found] == lapsing(arrivals, delays, 3600 * SECOND)
+
+
+def test_polite_batch_in_chunks_equals_the_sequential_loop(spark):
+    r, rows, expected = random.Random(5), [], {}
+    for domain in ("a", "b", None):
+        arrivals = list(itertools.accumulate(r.choice([0, 0, 1, 900, 3599, 3600, 9000]) * SECOND for _ in range(150)))
+        delays = [r.choice([1, 30, 4000]) for _ in arrivals]
+        both = lapsing(arrivals, [d * SECOND for d in delays], 3600 * SECOND)
+        rows += [(domain, n, a, float(d)) for n, (a, d) in enumerate(zip(arrivals, delays))]
+        expected |= {(domain, n): x for n, x in enumerate(both)}
+    given = spark.createDataFrame(rows, "domain string, request_id long, arrival_us long, crawl_delay double")
+    state, found = spark.createDataFrame([], polite.HELD), {}
+    for part in (F.col("request_id") < 60, F.col("request_id") >= 60):
+        out, state = polite.advance_batch(given.filter(part), state, chunks=7)
+        found |= {(x.domain, x.request_id): (x.start_us, x.request_number, x.delay_us) for x in out.collect()}
+    assert found == expected
+
+
+def test_polite_state_is_cleared_by_time(spark, tmp_path, monkeypatch):
+    """A domain not seen for its lifetime leaves the state; the others stay."""
+    kept = []
+    real = polite.advance_batch
+
+    def watched(batch, state, *rest):
+        kept.append(sorted(x.domain for x in state.collect()))
+        return real(batch, state, *rest)
+
+    monkeypatch.setattr(polite, "advance_batch", watched)
+    for domain, at in (("a", 0), ("b", 10), ("c", 9000), ("d", 9001)):
+        spark.createDataFrame([(domain, 1, at * SECOND, 1.0)], "domain string, request_id long, arrival_us long, crawl_delay double").coalesce(1).write.mode("append").parquet(str(tmp_path))
+    rows = spark.readStream.schema("domain string, request_id long, arrival_us long, crawl_delay double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    assert polite.polite_batches(rows, "t-polite-state").count() == 4
+    assert kept == [[], ["a"], ["a", "b"], ["c"]]
