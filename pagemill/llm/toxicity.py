@@ -10,8 +10,8 @@ its kind, and the squared change of the sum is a penalty: a mention of a group
 must not move the score.
 
 The model is fitted on a bounded sample of the labelled rows, ``per_label`` of
-each label, least hash of the id first; 2 * ``per_label`` texts' features reach
-the driver, and the model, at most ``2 ** BITS`` weights, goes to the executors.
+each label, least hash of the id first; 2 * ``per_label`` texts' features and all
+swaps in these texts reach the driver, and the model, at most ``2 ** BITS`` weights, goes to the executors.
 Rows are scored where they are scanned, without a shuffle.
 
 Null and empty texts get the score of no words. Rows without a label or with
@@ -41,8 +41,6 @@ REJECT = 0.7
 #: Rare features are lifted no more than this.
 MOST_SCALE = 20.0
 CACHE_WORDS = 1 << 19
-#: Swaps tried for each mention, and mentions used of one text.
-SWAPS, MENTIONS = 3, 20
 _EDGES = string.punctuation + "«»„“”’¿¡…"
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
@@ -84,20 +82,21 @@ def text_features(words: set[str], known: dict) -> np.ndarray:
 
 
 def swapped_sentences(text: str, groups: dict[str, tuple[str, ...]]) -> list[tuple[set[str], set[str]]]:
-    """Word sets of sentences that name a group, and of their copies with the term swapped."""
-    found = []
+    """Word sets of sentences that name a group, and of their copies with the term swapped for each other of its kind.
+
+    A sentence that is repeated, or that names a group repeatedly, counts once for each term.
+    """
+    found, seen = [], set()
     for sentence in _SENTENCE.findall(text):
         words = sentence.split()
-        for i, word in enumerate(words):
-            kind = groups.get(word.strip(_EDGES))
-            if kind is None:
+        bare = [word.strip(_EDGES) for word in words]
+        for term in dict.fromkeys(b for b in bare if b in groups):
+            if (key := (" ".join(words), term)) in seen:
                 continue
-            at = kind.index(word.strip(_EDGES))
-            for step in range(1, min(SWAPS, len(kind) - 1) + 1):
-                other = kind[(at + step) % len(kind)]
-                found.append((set(words), {*words[:i], other, *words[i + 1 :]}))
-            if len(found) >= MENTIONS:
-                return found
+            seen.add(key)
+            for other in groups[term]:
+                if other != term:
+                    found.append((set(words), {other if b == term else w for w, b in zip(words, bare, strict=True)}))
     return found
 
 

@@ -204,6 +204,14 @@ def test_swaps_do_not_move_the_score(spark):
     assert gap(50.0) < 0.2 * gap(0.0)
 
 
+def test_every_mention_is_swapped_for_every_other_term():
+    groups = {term: kind for kind in T.IDENTITY_TERMS for term in kind}
+    text = " ".join(f"w{i} the muslims run." for i in range(30)) + " w0 the muslims run. women and women."
+    found = T.swapped_sentences(text, groups)
+    assert len(found) == 30 * 8 + 1
+    assert {"w29", "the", "sikhs", "run"} in [b for _, b in found] and found[-1] == ({"women", "and"}, {"men", "and"})
+
+
 def test_toxicity_edges(spark):
     docs, labels, _ = labelled(spark)
     assert T.with_score(nothing(spark), T.train(docs, labels.limit(0))).count() == 0
