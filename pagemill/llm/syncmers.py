@@ -6,10 +6,11 @@ depends on its own words alone, so an edit elsewhere moves no anchor. Words are
 taken after lower-casing; with fewer than k words, the whole sequence is the
 only anchor; without words there is none.
 
-Anchors carry their position, for positional matching. The fingerprint keeps the
-``keep`` smallest distinct anchor hashes of the whole document (a bottom-k
-sketch), written as hex. Likeness estimates the overlap of two anchor sets from
-two fingerprints: the share of common hashes among the smallest of the union.
+The fingerprint keeps the ``keep`` smallest distinct anchor hashes of the whole
+document (a bottom-k sketch), written as hex. Likeness is taken from all anchors:
+the share of common ones among the distinct anchor hashes of both documents, so a
+short common passage shows however long the documents are. Anchors carry their
+position, but likeness does not ask where they stand: positional matching is absent.
 Two documents without anchors are alike (1); one with and one without are not (0).
 
 Null texts count as empty. Equal texts have equal fingerprints. Repeated ids and
@@ -64,9 +65,14 @@ def anchors(text: Column, k: int = K_WORDS, s: int = S_WORDS) -> Column:
     return F.transform(F.array(words_of(F.lower(text))), of_words)[0]
 
 
-def sketch(found: Column, keep: int = KEEP) -> Column:
-    """The ``keep`` smallest distinct anchor hashes, ascending."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda a: a["hash"]))), 1, keep)
+def hashes_of(found: Column) -> Column:
+    """The distinct hashes of all anchors."""
+    return F.array_distinct(F.transform(found, lambda a: a["hash"]))
+
+
+def sketch(hashes: Column, keep: int = KEEP) -> Column:
+    """The ``keep`` smallest of distinct hashes, ascending."""
+    return F.slice(F.array_sort(hashes), 1, keep)
 
 
 def written(values: Column) -> Column:
@@ -75,17 +81,20 @@ def written(values: Column) -> Column:
     return F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v.bitwiseXOR(flip)), 16, "0")), "")
 
 
-def likeness(left: Column, right: Column, keep: int = KEEP) -> Column:
-    """Share of common hashes among the ``keep`` smallest of two sketches' union, 0 to 1."""
-    union = F.slice(F.array_sort(F.array_union(left, right)), 1, keep)
-    both = F.size(F.array_intersect(F.array_intersect(union, left), right))
-    return F.when(F.size(union) == 0, 1.0).otherwise(both / F.size(union))
+def likeness(left: Column, right: Column) -> Column:
+    """Share of common hashes among all of two arrays of distinct ones, 0 to 1."""
+
+    def of_common(common: Column) -> Column:
+        union = F.size(left) + F.size(right) - common
+        return F.when(union == 0, 1.0).otherwise(common / union)
+
+    return F.transform(F.array(F.size(F.array_intersect(left, right))), of_common)[0]
 
 
 def fingerprints(docs: DataFrame, k: int = K_WORDS, s: int = S_WORDS, keep: int = KEEP) -> DataFrame:
     """``doc_id, fingerprint, anchors`` of every document."""
     found = docs.select("doc_id", anchors(text_of(), k, s).alias("anchors"))
-    return found.select("doc_id", written(sketch(F.col("anchors"), keep)).alias("fingerprint"), "anchors")
+    return found.select("doc_id", written(sketch(hashes_of(F.col("anchors")), keep)).alias("fingerprint"), "anchors")
 
 
 def _chunked(docs: DataFrame) -> DataFrame:
@@ -132,33 +141,33 @@ def compare_edited(docs: DataFrame, k: int = K_WORDS, s: int = S_WORDS, keep: in
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     inside = Window.partitionBy("chunk").orderBy(*order)
 
-    def sketched(text: Column) -> Column:
-        return sketch(anchors(text, k, s), keep)
+    def hashed(text: Column) -> Column:
+        return hashes_of(anchors(text, k, s))
 
-    heads = _heads(cut).withColumn("head_sketch", sketched(F.col("head")))
+    heads = _heads(cut).withColumn("head_hashes", hashed(F.col("head")))
     n_chars = F.length("text")
     moved = F.floor(n_chars / 4).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n_chars - moved), F.col("next").substr(F.lit(1), moved))
     told = (
         cut.repartition("chunk")
-        .withColumn("own", sketched(F.col("text")))
+        .withColumn("own", hashed(F.col("text")))
         .withColumn("next", F.lead("text").over(inside))
         .withColumn("after", F.lead("own").over(inside))
         .join(F.broadcast(heads), "chunk")  # at most MOST_CHUNKS rows
         .withColumn("next", F.coalesce("next", "head"))
         .select(
             "doc_id", n_chars.cast("long").alias("n_chars"), edited.alias("edited"), "own",
-            F.coalesce("after", "head_sketch").alias("after"),
+            F.coalesce("after", "head_hashes").alias("after"),
         )
         .select(
             "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            "own", sketched(F.col("edited")).alias("other"), "after",
+            "own", hashed(F.col("edited")).alias("other"), "after",
         )
     )
     return told.select(
         "doc_id", "n_chars", "edited_sha256",
-        written(F.col("own")).alias("fingerprint"),
-        written(F.col("other")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("other"), keep).alias("near_edited"),
-        likeness(F.col("own"), F.col("after"), keep).alias("near_next"),
+        written(sketch(F.col("own"), keep)).alias("fingerprint"),
+        written(sketch(F.col("other"), keep)).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("other")).alias("near_edited"),
+        likeness(F.col("own"), F.col("after")).alias("near_next"),
     )

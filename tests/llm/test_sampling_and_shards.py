@@ -123,6 +123,16 @@ def test_edited_texts(spark):
     assert all((rows[i]["fingerprint"] == rows[i]["edited_fingerprint"]) <= (rows[i]["near_edited"] == 1) for i in rows)
 
 
+def test_likeness_is_of_all_anchors(spark):
+    """A short passage of long texts counts for what it is."""
+    passage = " ".join(f"p{i}" for i in range(50))
+    texts = [" ".join([*[f"{n}x{i}" for i in range(2000)], passage, *[f"{n}y{i}" for i in range(2000)]]) for n in "ab"]
+    df = documents(spark, texts)
+    a, b = ({x["hash"] for x in r["anchors"]} for r in Y.fingerprints(df).orderBy("doc_id").collect())
+    rows = Y.compare_edited(df).collect()
+    assert len(a & b) > 10 and all(r["near_next"] == pytest.approx(len(a & b) / len(a | b)) for r in rows)
+
+
 def test_edited_awkward(spark):
     rows = Y.compare_edited(clashing(awkward(spark))).collect()
     assert len(rows) == 9
