@@ -10,7 +10,9 @@ a bracketed or spelled at or dot) to plain characters, and every character writt
 keeps the stretch of source it stands for. The plain detectors run on what was
 written, and a hit is mapped back to the source from the start of its first
 character to the end of its last. Hits that read the same in the source, or that
-meet a plain span of the same kind, are left out.
+meet a plain span of the same kind, are left out. An address whose at or dot is a
+bare word has to end in a label that hosts end in, without words of prose around
+the at; bracketed signs need no such proof.
 
 Null texts count as empty. Repeated ids and rows are scanned each by itself. An
 empty table gives an empty result. Further columns stay in ``redact``.
@@ -21,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -61,6 +63,22 @@ _RULES: tuple[tuple[re.Pattern, Callable[[re.Match], str]], ...] = (
     (re.compile(rf"(?i)\bplus\s(?=(?:{_DIGIT})\b|[0-9])"), lambda m: "+"),
     (re.compile(rf"(?i)\b({_DIGIT})\b(?:[ ,]{{1,2}}(?=(?:{_DIGIT}|[0-9]+)\b))?"), lambda m: DIGIT_WORDS[m[1].lower()]),
 )
+# Last labels that a spelled address may end in. Country codes that are everyday words are left out.
+_LAST_LABELS = frozenset(
+    "com org net edu gov mil int info biz io ai dev app co uk de fr es eu ch nl pl ru cn jp br ca au nz se dk fi cz ie pt ar mx cl"
+    .split()
+)
+# Words that stand before "at" or after it in prose and name neither a mailbox nor a host.
+_PROSE = frozenset(
+    """a an the this that these those my your his her its our their me you him us them it i he she we they who what which
+    is are was were be been being am not and or but if so then there here to of in on by for with from as all any some one two
+    look looks looked looking meet meets met meeting arrive arrives arrived stay stays stayed work works worked working stand
+    stands stood sit sits sat lives lived shopped buy bought sold called laugh laughed smile smiled hosted
+    located available found visit visited end start least most best first last once home noon night work school
+    der die das den dem des ein eine einen einem einer ist sind war waren und oder nicht uns wir sie er es ihr ich du im am zu
+    le la les un une des du est sont et ou pas nous vous ils elle je tu au aux ce cette
+    el los las unos unas y o no nos son está están era que en lo su sus al del""".split()
+)
 # Words and brackets at which a rule may apply; a rule's match starts with them or with the blanks before them.
 _TOKEN = re.compile(r"\w+|[\[({<]")
 _OPENS = frozenset("[({<")
@@ -163,18 +181,47 @@ def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
         start = sources[k][1] + place - places[k] - 1
         return start, start + 1
 
+    def spelled(start: int, end: int) -> bool:
+        """Whether a bare word stands for an at or a dot in this part of what was written."""
+        first, last = bisect_left(places, start), bisect_left(places, end)
+        return any(written[places[k]] in "@." and text[slice(*sources[k])].strip().isalpha() for k in range(first, last))
+
+    ends = {kind: [s[1] for s in plain if s[2] == kind] for kind in KINDS}
+    starts = {kind: [s[0] for s in plain if s[2] == kind] for kind in KINDS}
     found: list[Span] = []
     for start, end, kind in plain_spans(written):
+        if kind == "email":
+            if spelled(start, end):
+                end = spelled_address(written, start, end)
+            elif not written[start:end].rpartition(".")[2].isalpha():
+                continue
+        if start == end:
+            continue
         span = (source(start)[0], source(end - 1)[1], kind)
         if text[span[0] : span[1]] == written[start:end]:
             continue
-        if kind == "email" and not written[start:end].rpartition(".")[2].isalpha():
-            continue
-        if not any(k == kind and s < span[1] and span[0] < e for s, e, k in [*plain, *found]):
+        # Plain spans of a kind stand in order and apart: only the first that ends later can meet this one.
+        k = bisect_right(ends[kind], span[0])
+        if k == len(ends[kind]) or starts[kind][k] >= span[1]:
             found.append(span)
     return found
 
 
+def spelled_address(written: str, start: int, end: int) -> int:
+    """Where an address with a spelled at or dot ends, or ``start`` if it reads like prose.
+
+    It ends with the last label that hosts end in; neither its host nor what
+    stands before the at may be a word of prose.
+    """
+    local, _, host = written[start:end].partition("@")
+    labels = host.split(".")
+    last = max((i for i, label in enumerate(labels) if i and label.lower() in _LAST_LABELS), default=0)
+    near = [local.rpartition(".")[2], *labels[:last]]
+    if not last or any(word.lower() in _PROSE for word in near):
+        return start
+    return start + len(local) + 1 + len(".".join(labels[: last + 1]))
+
+
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
     """Plain spans, and all spans."""
     plain = plain_spans(text)

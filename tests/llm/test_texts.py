@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -85,6 +86,39 @@ def test_plain_characters_are_all_known():
     assert changed == set(P._PLAIN)
 
 
+PROSE = (
+    "he is at home.Then we left", "look at the.end of it", "meet at example dot we go", "Stand at the point on the map",
+    "Sie ist at uns punkt genau", "She works at a point that nobody knows", "they looked at it.So did we",
+    "we arrived at noon dot and left", "the train stops at every point of the line", "contact us at any point",
+    "il est at la point du jour", "nous sommes at un point de vente", "ella está at el punto de encuentro",
+    "wir sind at dem punkt de facto", "he was at school.Com was her name", "good at maths.Not at art", "one at a time.Two at most",
+    "point at the dot com", "all at once.The end", "laugh at me dot com", "at dot at dot at", "(at) the dot", "x at y", "dot dot dot",
+    "plus one at the point", "ein punkt. Zwei punkt", "sept point huit", "uno punto dos", "be at the point in time",
+)
+
+
+@pytest.mark.parametrize("text", PROSE)
+def test_prose_is_left_alone(text):
+    assert P.find_spans(text) == ([], [])
+
+
+@pytest.mark.parametrize("text,part", [
+    ("write john at example dot com.Thanks", "john at example dot com"),
+    ("anna punkt maier at firma punkt de schreibt", "anna punkt maier at firma punkt de"),
+    ("jean [at] exemple point fr", "jean [at] exemple point fr"),
+    ("the box is info at shop dot co dot uk today", "info at shop dot co dot uk"),
+])
+def test_spelled_addresses_end_with_their_host(text, part):
+    assert [(text[a:b], k) for a, b, k in P.find_spans(text)[1]] == [(part, "email")]
+
+
+def test_many_disguised_identifiers_take_linear_time():
+    text = "john at example dot com, x@y.zz, " * 50_000
+    begin = time.perf_counter()
+    assert len(P.find_spans(text)[1]) == 100_000
+    assert time.perf_counter() - begin < 20
+
+
 @pytest.mark.parametrize("text", ["meet me at the dot on the map", "one two three", "we met at noon. dot com boom", "α and β at γ"])
 def test_ordinary_text_is_left_alone(text):
     assert P.find_spans(text) == ([], [])
