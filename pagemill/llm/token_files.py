@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.frames import fresh
+from pagemill.llm.vector_packing import byte_of_character
 
 END = 0
 SHARD_BYTES = 1 << 30
@@ -47,29 +49,17 @@ _PIECE = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]++| ?[{_DIGITS}]++| ?[^{_LETTERS}{_DIGITS}{_BLANKS}]++"
     rf"|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+"
 )
-
-
-class _Pieces(dict):
-    """Ids of pieces as the tokenizer gives them, remembered for up to ``KNOWN_PIECES`` short ones."""
-
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= PIECE_CHARS:
-            if len(self) >= KNOWN_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+_SPELLED = {byte: char for char, byte in byte_of_character().items()}
 
 
 class TokenIds:
     """Ids of a text as little-endian 32-bit numbers, all from the tokenizer of the file.
 
     A byte-level vocabulary merges inside pieces only, so a piece seen before needs
-    no second call. Texts with characters outside the listed classes, or that spell
-    an added token, go to the tokenizer whole, as do all texts of other vocabularies.
+    no second call, and a new one goes straight to the tokenizer's model; up to about
+    ``KNOWN_PIECES`` short ones are remembered. Texts with characters outside the
+    listed classes, or that spell an added token, go to the tokenizer whole, as do
+    all texts of other vocabularies.
     """
 
     def __init__(self, path: str):
@@ -80,19 +70,39 @@ class TokenIds:
         cut = given.get("pre_tokenizer") or {}
         self.by_piece = (
             given.get("normalizer") is None
+            and given["model"].get("type") == "BPE"
             and not given["model"].get("dropout")
             and cut.get("type") == "ByteLevel"
             and cut.get("use_regex", True)
             and not cut.get("add_prefix_space")
         )
         self.added = re.compile("|".join(re.escape(t["content"]) for t in given["added_tokens"]) or r"(?!)")
-        self.ids_of = _Pieces(self.tokenizer).__getitem__
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        if self.by_piece and not _OTHERS.search(text) and not self.added.search(text):
-            return b"".join(map(self.ids_of, _PIECE.findall(text)))
+        if not self.by_piece or _OTHERS.search(text) or self.added.search(text):
+            return self._whole(text)
+        pieces = _PIECE.findall(text)
+        if len(self.known) > KNOWN_PIECES:
+            self.known.clear()
+        new = set(pieces).difference(self.known)  # a dict is looked up in, its view would be walked
+        if new:
+            self._learn(new)
+        ids = b"".join(map(self.known.__getitem__, pieces))
+        for piece in new:
+            if len(piece) > PIECE_CHARS:
+                del self.known[piece]
+        return ids
+
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn(self, pieces: set[str]) -> None:
+        for piece in pieces:
+            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(_SPELLED))
+            self.known[piece] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
 
 @lru_cache(maxsize=1)
 def token_ids(path: str) -> TokenIds:
@@ -175,8 +185,8 @@ def write_tokens(
         .option("parquet.page.size", str(page_bytes))
         .option("parquet.page.row.count.limit", "4096")
         # A row may be a very long document: sizes are looked at every few rows.
-        .option("parquet.block.size.row.check.min", "10")
-        .option("parquet.block.size.row.check.max", "1000")
+        .option("parquet.page.size.row.check.min", "10")
+        .option("parquet.page.size.row.check.max", "1000")
         .parquet(f"{path}/rows")
     )
     totals = _rows(spark, path).groupBy("shard").agg(F.sum("n_tokens").alias("ids"))

@@ -48,7 +48,7 @@ PIECES = (
 )
 
 
-def _byte_of_character() -> dict[str, int]:
+def byte_of_character() -> dict[str, int]:
     """How byte-level vocabularies spell bytes: printable ones as themselves, the others as characters from U+0100 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in set(printable)]
@@ -81,7 +81,7 @@ class Encoder:
         if plain:
             import tiktoken
 
-            byte_of, added = _byte_of_character(), {t["content"] for t in given["added_tokens"]}
+            byte_of, added = byte_of_character(), {t["content"] for t in given["added_tokens"]}
             ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in model["vocab"].items() if t not in added}
             self.fast = tiktoken.Encoding("same", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
