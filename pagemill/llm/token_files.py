@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.frames import fresh
-from pagemill.llm.vector_packing import byte_of_character
+from pagemill.llm.vector_packing import _byte_of_character
 
 END = 0
 SHARD_BYTES = 1 << 30
@@ -49,7 +49,7 @@ _PIECE = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]++| ?[{_DIGITS}]++| ?[^{_LETTERS}{_DIGITS}{_BLANKS}]++"
     rf"|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+"
 )
-_SPELLED = {byte: char for char, byte in byte_of_character().items()}
+_SPELLED = {byte: char for char, byte in _byte_of_character().items()}
 
 
 class TokenIds:
