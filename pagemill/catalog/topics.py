@@ -21,6 +21,13 @@ SAMPLE_TOPICS = {
     "spanish": ["los", "las", "por", "una", "en"],
     "pairs": ["of the", "de la", "und der", "in that"],
 }
+# Terms that share words: the scan decides which of them a text has.
+MIXED_TOPICS = {
+    "articles": ["de la", "la", "de", "que de la", "la que"],
+    "joined": ["of the", "the", "in that", "that the of", "and", "and the", "of"],
+    "german": ["der und", "und der", "und", "die", "und der die"],
+    "apart": ["los", "las", "with"],
+}
 SAMPLE_PATTERNS = {
     "french": ["/fr/", "/fr"],
     "english": ["/en/", "page="],
@@ -94,6 +101,23 @@ def page_topics(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def topic_matches_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits of a dictionary whose terms overlap, as a scan from the left finds them."""
+    return T.match_keywords(_documents(spark, folder), "doc_id", MIXED_TOPICS).select(
+        "doc_id", "topic", "keyword", "hits", F.col("first_pos").cast("long").alias("first_pos")
+    )
+
+
+def page_topics_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same dictionary in the one-expression form, on page rows."""
+    pages = E.extract(D.pages(spark, folder), "title", "description", "keywords", "body_text")
+    found = unnest(with_topics(pages, MIXED_TOPICS), "topics", "page_id", item="t")
+    return found.select(
+        "page_id", (F.col("place") + 1).alias("rank"), F.col("t.topic").alias("topic"),
+        D.r6("t.confidence").alias("confidence"), F.array_join("t.keywords", "|").alias("keywords"),
+    )
+
+
 def url_topics(spark: SparkSession, folder: str) -> DataFrame:
     return T.classify_urls(D.pages(spark, folder), "page_id", SAMPLE_PATTERNS).select(
         "page_id", "topic", "confidence", "keyword"
@@ -141,7 +165,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         topic_matches, topic_scores, topic_scores_sample, topic_top, topic_top_pages, topic_keywords,
-        page_topics, url_topics, url_topics_builtin, topics_enhanced, topics_limited, topics_detected,
+        page_topics, topic_matches_mixed, page_topics_mixed, url_topics, url_topics_builtin, topics_enhanced, topics_limited, topics_detected,
     )
 }
 
@@ -182,6 +206,35 @@ best AS (SELECT * FROM (SELECT {key}, topic, term, n,
   row_number() OVER (PARTITION BY {key}, topic ORDER BY n DESC, first_pos) AS rank FROM hits) WHERE rank <= 5)"""
 
 
+def scanned_sql(source: str, key: str, topics: T.Dictionary) -> str:
+    """``hits_sql`` for terms of up to three words that overlap: one step of the scan per hit."""
+    listed = ", ".join(
+        f"('{t}', {i}, '{w}', {len(words)}, {n}, {2 * len(w.split(' ')) - 1})"
+        for i, (t, words) in enumerate(topics.items()) for n, w in enumerate(words)
+    )
+    simple = hits_sql(source, key, topics)
+    head, tail = simple.split("near AS", 1)[0], simple.split("scores AS", 1)[1]
+    return f"""RECURSIVE {head.lstrip()}
+near AS (SELECT {key}, n_words, pos, t, lead(t, 1) OVER w AS gap, lead(t, 2) OVER w AS nxt, lead(t, 3) OVER w AS gap2, lead(t, 4) OVER w AS nxt2
+  FROM tok WINDOW w AS (PARTITION BY {key} ORDER BY pos)),
+terms AS (SELECT {key}, n_words, pos, t AS term FROM near
+  UNION ALL SELECT {key}, n_words, pos, t || ' ' || nxt FROM near WHERE gap = ' '
+  UNION ALL SELECT {key}, n_words, pos, t || ' ' || nxt || ' ' || nxt2 FROM near WHERE gap = ' ' AND gap2 = ' '),
+-- The first listed term of each position.
+heads AS (SELECT DISTINCT ON ({key}, topic, pos) {key}, n_words, topic, topic_ord, k, term, pos, pos + width AS behind
+  FROM terms JOIN (VALUES {listed}) d(topic, topic_ord, term, k, nth, width) USING (term) ORDER BY {key}, topic, pos, nth),
+lists AS (SELECT {key}, topic, list(pos ORDER BY pos) AS at, list(behind ORDER BY pos) AS behinds FROM heads GROUP BY {key}, topic),
+scan({key}, topic, i, free, kept) AS (
+  SELECT {key}, topic, 1, 0::BIGINT, NULL::BIGINT FROM lists
+  UNION ALL
+  SELECT s.{key}, s.topic, s.i + 1, CASE WHEN l.at[s.i] >= s.free THEN l.behinds[s.i] ELSE s.free END,
+         CASE WHEN l.at[s.i] >= s.free THEN l.at[s.i] END
+  FROM scan s JOIN lists l ON l.{key} = s.{key} AND l.topic = s.topic WHERE s.i <= len(l.at)),
+hits AS (SELECT h.{key}, h.n_words, h.topic, h.topic_ord, h.k, h.term, count(*) AS n, min(h.pos) AS first_pos
+  FROM heads h JOIN scan s ON s.{key} = h.{key} AND s.topic = h.topic AND s.kept = h.pos GROUP BY ALL),
+scores AS{tail}"""
+
+
 _DOCS = "SELECT doc_id, text FROM documents"
 _PAGES = f"SELECT page_id, {PAGE_TEXT_SQL} AS text FROM pages"
 _SHORT_PAGES = (
@@ -220,6 +273,12 @@ SQL = {
     "page_topics": f"""WITH {hits_sql(_PAGES, 'page_id', SAMPLE_TOPICS)}
 SELECT c.page_id, CAST(any_value(c.rank) AS INT) AS rank, c.topic, round(any_value(c.confidence), 6) AS confidence,
   string_agg(b.term, '|' ORDER BY b.rank) AS keywords
+FROM chosen c JOIN best b ON c.page_id = b.page_id AND c.topic = b.topic GROUP BY c.page_id, c.topic""",
+    "topic_matches_mixed": f"WITH {scanned_sql(_DOCS, 'doc_id', MIXED_TOPICS)} "
+    "SELECT doc_id, topic, term AS keyword, n AS hits, first_pos FROM hits",
+    "page_topics_mixed": f"""WITH {scanned_sql(_PAGES, 'page_id', MIXED_TOPICS)}
+SELECT c.page_id, CAST(any_value(c.rank) AS INT) AS rank, c.topic, round(any_value(c.confidence), 6) AS confidence,
+  string_agg(b.term, '|' ORDER BY b.rank) AS keywords
 FROM chosen c JOIN best b ON c.page_id = b.page_id AND c.topic = b.topic GROUP BY c.page_id, c.topic""",
     "url_topics": f"SELECT page_id, topic, confidence, keyword FROM ({_first_pattern(SAMPLE_PATTERNS, 'pages')})",
     "url_topics_builtin": f"""

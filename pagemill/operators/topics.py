@@ -98,25 +98,58 @@ URL_PATTERNS = {
 Dictionary = Mapping[str, Sequence[str]]
 
 
-def check_dictionary(topics: Dictionary) -> None:
-    """Terms of one topic may not overlap in a text: hits are counted without overlaps."""
-    for topic, words in topics.items():
-        seen: set[str] = set()
-        for word in words:
-            parts = set(word.split(" "))
-            if parts & seen or len(parts) < len(word.split(" ")):
-                raise ValueError(f"topic {topic!r}: {word!r} shares a word with another of its terms")
-            seen |= parts
+#: Hits folded at a time when hits of a topic may overlap.
+FOLD = 512
+
+
+def overlapping(words: Sequence[str]) -> bool:
+    """Whether two of a topic's terms, or a term and itself, can meet in a text: they share a word."""
+    parts = [part for word in words for part in word.split(" ")]
+    return len(set(parts)) < len(parts)
 
 
 def dictionary_table(spark: SparkSession, topics: Dictionary) -> DataFrame:
-    check_dictionary(topics)
     rows = [
-        (topic, place, word, len(words))
+        (topic, place, word, len(words), nth, 2 * len(word.split(" ")) - 1, overlapping(words))
         for place, (topic, words) in enumerate(topics.items())
-        for word in words
+        for nth, word in enumerate(words)
     ]
-    return spark.createDataFrame(rows, "topic string, topic_ord int, term string, n_keywords int")
+    return spark.createDataFrame(
+        rows, "topic string, topic_ord int, term string, n_keywords int, nth int, width int, overlaps boolean"
+    )
+
+
+def leftmost(hits: Column) -> Column:
+    """The hits that a scan from left to right finds, of ``array<struct<pos, nth, width, term>>`` in order.
+
+    At a position the term listed first wins, and the scan goes on behind it. The
+    fold keeps its lists short: slices of ``FOLD`` hits, then one list of slices.
+    """
+
+    def take(state: Column, hit: Column, value: Column) -> Column:
+        free = hit["pos"] >= state["free"]
+        return F.struct(
+            F.when(free, hit["pos"] + hit["width"]).otherwise(state["free"]).alias("free"),
+            F.when(free, F.concat(state["kept"], value)).otherwise(state["kept"]).alias("kept"),
+        )
+
+    def over(given: Column) -> Column:
+        none = F.filter(given, lambda h: F.lit(False))
+
+        def fold(state: Column, first: Column) -> Column:
+            begin = F.struct(state["free"].alias("free"), none.alias("kept"))
+            part = F.aggregate(F.slice(given, first, F.lit(FOLD)), begin, lambda s, h: take(s, h, F.array(h)))
+            return X.let(part, lambda p: F.struct(
+                p["free"].alias("free"), F.concat(state["kept"], F.array(p["kept"])).alias("kept")
+            ))
+
+        firsts = F.when(F.size(given) > 0, F.sequence(F.lit(1), F.size(given), F.lit(FOLD))).otherwise(
+            F.array().cast("array<int>")
+        )
+        empty = F.struct(F.lit(0).alias("free"), F.filter(F.array(none), lambda k: F.lit(False)).alias("kept"))
+        return F.aggregate(firsts, empty, fold, lambda s: F.flatten(s["kept"]))
+
+    return X.let(hits, over)
 
 
 def classification_text(title: Column, description: Column, keywords: Column, body: Column) -> Column:
@@ -167,18 +200,31 @@ def match_keywords(texts: DataFrame, key: str, topics: Dictionary = TOPIC_KEYWOR
 
     Tokens are tested against the term set in the row, so only hits are exploded
     and joined to the dictionary; their counts are combined before the shuffle.
+    Where a topic's terms share words, the hits of one text and topic are put in
+    order first and scanned from the left; other topics are counted as they come.
     """
     spark = texts.sparkSession
+    mixed = [topic for topic, words in topics.items() if overlapping(words)]
     found = texts.select(
         key,
+        *([F.monotonically_increasing_id().alias("_text")] if mixed else []),
         X.count_chunks(F.col("text")).alias("n_chunks"),
         term_hits(F.col("text"), topics).alias("hits"),
     )
-    hits = unnest(found, "hits", key, "n_chunks").select(key, "n_chunks", "item.pos", "item.term")
-    return (
-        hits.join(dictionary_table(spark, topics), "term")
-        .groupBy(key, "topic", "topic_ord", "n_keywords", "n_chunks", F.col("term").alias("keyword"))
-        .agg(F.count(F.lit(1)).alias("hits"), F.min("pos").alias("first_pos"))
+    own = [key, "n_chunks"] + ["_text"] * bool(mixed)
+    hits = unnest(found, "hits", *own).select(*own, "item.pos", "item.term").join(dictionary_table(spark, topics), "term")
+    per_topic = [*own, "topic", "topic_ord", "n_keywords"]
+    apart = hits.select(*per_topic, "pos", "term")
+    if mixed:
+        scanned = hits.filter("overlaps").groupBy(*per_topic).agg(
+            F.array_sort(F.collect_list(F.struct("pos", "nth", "width", "term"))).alias("hits")
+        )
+        kept = unnest(scanned.withColumn("hits", leftmost(F.col("hits"))), "hits", *per_topic)
+        apart = hits.filter("not overlaps").select(*per_topic, "pos", "term").unionByName(
+            kept.select(*per_topic, "item.pos", "item.term")
+        )
+    return apart.groupBy(key, "topic", "topic_ord", "n_keywords", "n_chunks", F.col("term").alias("keyword")).agg(
+        F.count(F.lit(1)).alias("hits"), F.min("pos").alias("first_pos")
     )
 
 
@@ -232,9 +278,10 @@ def topics_of(
     limit: int | None = None,
 ) -> Column:
     """Selected topics of one text as ``array<struct<topic, confidence, keywords>>``."""
-    check_dictionary(topics)
+    mixed = any(map(overlapping, topics.values()))
     entries = F.array(*[
         F.struct(
+            F.lit(overlapping(words)).alias("overlaps"),
             F.lit(place).alias("ord"),
             F.lit(topic).alias("topic"),
             F.split(F.lit("\n".join(words)), "\n").alias("words"),
@@ -256,6 +303,19 @@ def topics_of(
         )
         return F.array_sort(counted)
 
+    def of_topic(entry: Column, hits: Column) -> Column:
+        own = F.filter(hits, lambda h: F.array_contains(entry["words"], h["term"]))
+        if not mixed:
+            return own
+        placed = F.transform(own, lambda h: F.struct(
+            h["pos"].alias("pos"), F.array_position(entry["words"], h["term"]).alias("nth"),
+            (2 * F.size(F.split(h["term"], " ")) - 1).alias("width"), h["term"].alias("term"),
+        ))
+        scanned = F.transform(
+            leftmost(F.array_sort(placed)), lambda h: F.struct(h["pos"].alias("pos"), h["term"].alias("term"))
+        )
+        return F.when(entry["overlaps"], scanned).otherwise(own)
+
     def judged(entry: Column, own: Column, chunks: Column) -> Column:
         ranked = frequent(own)
         score = topic_score(F.size(ranked), F.size(own), chunks, F.size(entry["words"]))
@@ -273,10 +333,7 @@ def topics_of(
     def all_topics(t: Column) -> Column:
         scored = F.transform(
             entries,
-            lambda e: X.let(
-                F.filter(t["hits"], lambda h: F.array_contains(e["words"], h["term"])),
-                lambda own: judged(e, own, t["chunks"]),
-            ),
+            lambda e: X.let(of_topic(e, t["hits"]), lambda own: judged(e, own, t["chunks"])),
         )
         kept = F.filter(scored, lambda s: s["score"] >= floor)
         ranked = F.array_sort(kept)

@@ -66,11 +66,44 @@ def test_threshold_uses_the_uncapped_score(spark):
     assert sizes == {1: 1, 2: 0}
 
 
-def test_overlapping_terms_are_refused():
-    for bad in ({"t": ["machine", "machine learning"]}, {"t": ["a b", "b c"]}, {"t": ["the the"]}):
-        with pytest.raises(ValueError):
-            T.check_dictionary(bad)
-    T.check_dictionary(T.TOPIC_KEYWORDS)
+OVERLAPS = {
+    "cities": ["new york", "york", "new york city", "city of york", "city"],
+    "order": ["b", "a b", "a", "b a b"],
+    "self": ["x y x", "x"],
+    "apart": ["data"],
+}
+MIXED_TEXTS = [
+    "", "new york city of york", "York new york", "new  york city", "a b a b b a", "b a b a b", "x y x y x y x", "x x y x",
+    "the data of new york city, a b", "new york new york city of york city " * 400, "x y " * 900,
+]
+
+
+def test_terms_that_share_words(spark):
+    """Both forms, against one alternation per topic."""
+    table = spark.createDataFrame(list(enumerate(MIXED_TEXTS)), "id int, text string")
+    rows = table.select("id", T.topics_of(F.col("text"), OVERLAPS).alias("t")).collect()
+    for r in rows:
+        assert [(t.topic, round(t.confidence, 9), list(t.keywords)) for t in r.t] == by_regex(MIXED_TEXTS[r.id], OVERLAPS)
+    counted = {(r.id, r.topic, r.keyword): r.hits for r in T.match_keywords(table, "id", OVERLAPS).collect()}
+    want = Counter()
+    for n, text in enumerate(MIXED_TEXTS):
+        for topic, words in OVERLAPS.items():
+            hits = re.findall(r"\b(?:" + "|".join(words) + r")\b", text.lower())
+            want.update((n, topic, h) for h in hits)
+    assert counted == dict(want)
+
+
+def test_repeated_keys_are_scanned_text_by_text(spark):
+    table = spark.createDataFrame([(1, "new york"), (1, "york city"), (None, "city")], "id int, text string")
+    found = {(r.id, r.keyword): r.hits for r in T.match_keywords(table, "id", OVERLAPS).collect()}
+    assert found == {(1, "new york"): 1, (1, "york"): 1, (1, "city"): 1, (None, "city"): 1}
+
+
+def test_topics_of_separate_words_are_not_scanned(spark):
+    table = spark.createDataFrame([(1, "ai data")], "id int, text string")
+    plan = T.match_keywords(table, "id", T.TOPIC_KEYWORDS)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and not any(map(T.overlapping, T.TOPIC_KEYWORDS.values()))
+
 
 
 def test_dictionary_sizes():
