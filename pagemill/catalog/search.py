@@ -9,12 +9,17 @@ from pagemill.catalog import stand_ins as D
 from pagemill.catalog import topics as TC
 from pagemill.catalog.pages import PARAGRAPH_SQL, TITLE_SQL
 from pagemill.operators import extract as E
+from pagemill.functions.stemming import STOP_WORDS, stems_sql
 from pagemill.operators import search as S
+from pagemill.operators import text_index as TI
 from pagemill.plans.pipeline import with_topics
+from pagemill.plans.scratch import scratch_path
 from pagemill.plans.unnest import keep
 from pagemill.sources.tables import read_table
 
-QUERY = "the that of and"
+ASKED = {"all": "the eding things", "any": "erly oned attions", "none": "ertions"}
+PHRASE = "ing the things"
+WEIGHED = "things attions oning erlying"
 SIMILAR_TO = "that and the of with thnt erin reand"
 
 
@@ -36,6 +41,31 @@ def fulltext_any(spark: SparkSession, folder: str) -> DataFrame:
     return keep(documents, S.matches_words("thorreou Nicht zwei", F.col("text"), any_word=True)).select("doc_id")
 
 
+def _indexed(spark: SparkSession, folder: str) -> str:
+    path = scratch_path(spark, "text-index")
+    TI.build_index(read_table(spark, folder, "documents"), "doc_id", F.col("text"), path)
+    return path
+
+
+def fulltext_boolean(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with all, any and none of some words in any of their forms, from an index."""
+    found = TI.search(spark, _indexed(spark, folder), TI.parse(spark, **ASKED))
+    return found.select(F.col("id").alias("doc_id"), F.size("found").alias("n_terms"))
+
+
+def fulltext_phrase(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts in which the stems of a phrase stand at its distances."""
+    return TI.search(spark, _indexed(spark, folder), TI.parse(spark, phrase=PHRASE)).select(F.col("id").alias("doc_id"))
+
+
+def fulltext_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles and descriptions with any of some words, rare and repeated ones first."""
+    path = scratch_path(spark, "text-index")
+    pages = E.extract(D.pages(spark, folder), "title", "description")
+    TI.build_index(pages, "page_id", F.concat_ws(" ", "title", "description"), path)
+    return TI.ranked(spark, path, TI.parse(spark, any=WEIGHED)).select(F.col("id").alias("page_id"), "score")
+
+
 def trigram(spark: SparkSession, folder: str) -> DataFrame:
     found = S.trigram_search(read_table(spark, folder, "benchmark"), "text", SIMILAR_TO, 0.1)
     return found.select("item_id", D.r6("similarity").alias("similarity"))
@@ -55,7 +85,10 @@ def dup_content(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (contains_filter, fulltext_all, fulltext_any, trigram, trigram_titles, dup_content)
+    for f in (
+        contains_filter, fulltext_all, fulltext_any, fulltext_boolean, fulltext_phrase, fulltext_ranked,
+        trigram, trigram_titles, dup_content,
+    )
 }
 
 # --- expected results ---------------------------------------------------------------------------
@@ -78,7 +111,44 @@ SELECT {key}, round(shared / (n + (SELECT count(*) FROM q) - shared), 6) AS simi
 WHERE shared / (n + (SELECT count(*) FROM q) - shared) >= {floor}"""
 
 
+def _postings_sql(source: str, **asked: str) -> str:
+    """``spots``: id, place, w of every stem that counts; ``asked``: part, place, w of the query's."""
+    words = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
+    query = ", ".join(f"('{part}', '{text}')" for part, text in asked.items())
+    stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    return f"""
+texts AS ({source}),
+spread AS (SELECT id, unnest({words}) AS word, generate_subscripts({words}, 1) AS place FROM texts),
+query AS (SELECT part, unnest({words}) AS word, generate_subscripts({words}, 1) AS place FROM (VALUES {query}) q(part, text)),
+lexicon AS (SELECT DISTINCT word FROM (SELECT word FROM spread UNION ALL SELECT word FROM query) WHERE word NOT IN ({stops})),
+{stems_sql("lexicon")},
+spots AS (SELECT id, place, w FROM spread JOIN stems USING (word)),
+asked AS (SELECT part, place, w FROM query JOIN stems USING (word)),
+held AS (SELECT id, list(DISTINCT w) AS ws FROM spots GROUP BY id)"""
+
+
+_TEXTS = "SELECT doc_id AS id, text FROM documents"
+_HEADS = f"SELECT page_id AS id, concat_ws(' ', {TITLE_SQL}, {PARAGRAPH_SQL}) AS text FROM pages"
+
+
+def _part(name: str) -> str:
+    return f"coalesce((SELECT list(DISTINCT w) FROM asked WHERE part = '{name}'), [])"
+
+
 SQL = {
+    "fulltext_boolean": f"""WITH {_postings_sql(_TEXTS, **ASKED)}
+SELECT id AS doc_id, len(list_intersect(ws, (SELECT list(DISTINCT w) FROM asked)))::INTEGER AS n_terms FROM held
+WHERE list_has_all(ws, {_part('all')}) AND list_has_any(ws, {_part('any')}) AND NOT list_has_any(ws, {_part('none')})""",
+    "fulltext_phrase": f"""WITH {_postings_sql(_TEXTS, phrase=PHRASE)},
+first AS (SELECT min(place) AS place FROM asked)
+SELECT DISTINCT id AS doc_id FROM (
+  SELECT s.id, s.place - asked.place + first.place AS start FROM spots s JOIN asked USING (w), first
+  GROUP BY ALL HAVING count(DISTINCT asked.place) = (SELECT count(*) FROM asked))""",
+    "fulltext_ranked": f"""WITH {_postings_sql(_HEADS, any=WEIGHED)},
+tf AS (SELECT id, w, count(*) AS n FROM spots WHERE w IN (SELECT w FROM asked) GROUP BY id, w),
+df AS (SELECT w, count(*) AS holding FROM tf GROUP BY w)
+SELECT id AS page_id, round(sum(ln(1 + (SELECT count(*) FROM texts) / holding) * n / (n + 1)), 6) AS score
+FROM tf JOIN df USING (w) GROUP BY id""",
     "contains_filter": f"""WITH {TC.hits_sql(TC.RICH_TEXT_SQL, 'page_id', TC.SAMPLE_TOPICS)}
 SELECT page_id, page_id % 7 = 3 AS has_k3,
   page_id IN (SELECT page_id FROM chosen WHERE topic = 'pairs') AS has_pairs FROM pages""",
