@@ -78,6 +78,18 @@ def trigram_titles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def trigram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items against the titles and descriptions of pages, by trigrams."""
+    pages = E.extract(D.pages(spark, folder), "title", "description")
+    heads = pages.select("page_id", F.explode(F.array("title", "description")).alias("head"))
+    items = S.trigram_sets(read_table(spark, folder, "benchmark"), "item_id", "text")
+    found = S.trigram_join(items, S.trigram_sets(heads, "page_id", "head"), 0.2)
+    return found.select(
+        F.col("left_first").alias("item_id"), F.col("right_text").alias("head"), F.col("right_first").alias("first_id"),
+        "pairs", D.r6("similarity").alias("similarity"),
+    )
+
+
 def dup_content(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents")
     return S.duplicate_content(documents, "doc_id", F.sha2("text", 256))
@@ -87,7 +99,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         contains_filter, fulltext_all, fulltext_any, fulltext_boolean, fulltext_phrase, fulltext_ranked,
-        trigram, trigram_titles, dup_content,
+        trigram, trigram_titles, trigram_join, dup_content,
     )
 }
 
@@ -158,6 +170,19 @@ WHERE list_has_all(regexp_extract_all(lower(title || ' ' || d), '[\\p{{L}}\\p{{N
 WHERE list_has_any(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), ['thorreou', 'nicht', 'zwei'])""",
     "trigram": _similar_sql("benchmark", "item_id", "text", 0.1),
     "trigram_titles": _similar_sql("pages", "page_id", TITLE_SQL, 0.15),
+    "trigram_join": f"""
+WITH texts AS (
+  SELECT 'l' AS side, text, min(item_id) AS first, count(*) AS copies FROM benchmark GROUP BY text
+  UNION ALL SELECT 'r', head, min(id), count(*) FROM (
+    SELECT page_id AS id, {PARAGRAPH_SQL} AS head FROM pages UNION ALL SELECT page_id, {TITLE_SQL} FROM pages) GROUP BY head),
+w AS (SELECT side, text, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS w FROM texts),
+g AS (SELECT DISTINCT side, text, substr('  ' || w || ' ', i, 3) AS g FROM w, range(1, 400) r(i) WHERE i <= length(w) + 1),
+n AS (SELECT side, text, count(*) AS n FROM g GROUP BY ALL),
+c AS (SELECT a.text AS l, b.text AS r, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.side = 'l' AND b.side = 'r' GROUP BY ALL)
+SELECT tl.first AS item_id, r AS head, tr.first AS first_id, tl.copies * tr.copies AS pairs, round(c / (nl.n + nr.n - c), 6) AS similarity
+FROM c JOIN n nl ON nl.side = 'l' AND nl.text = l JOIN n nr ON nr.side = 'r' AND nr.text = r
+JOIN texts tl ON tl.side = 'l' AND tl.text = l JOIN texts tr ON tr.side = 'r' AND tr.text = r
+WHERE c / (nl.n + nr.n - c) >= 0.2""",
     "dup_content": """SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_id
 FROM documents GROUP BY 1 HAVING count(*) > 1""",
 }

@@ -1,4 +1,4 @@
-"""Containment, full-text and trigram search, duplicate content. All row-local but the last."""
+"""Containment, full-text and trigram search, row by row; the trigram join and duplicate content."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
-from pagemill.plans.unnest import unnest
+from pagemill.plans.scratch import durable
+from pagemill.plans.skew import spread_join
+from pagemill.plans.unnest import keep, unnest
 
 
 def has_topic(topic: str, topics: str = "topics") -> Column:
@@ -43,6 +45,67 @@ def trigram_search(rows: DataFrame, column: str, query: str, floor: float = 0.3)
     return unnest(kept, "_kept", *rows.columns, item="similarity").drop("place")
 
 
+def trigram_sets(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """``text, copies, first, grams`` of every distinct text that has trigrams; equal texts are one row."""
+    texts = rows.groupBy(F.col(column).alias("text")).agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("first"))
+    # Unnested in the outer form, so the filter does not build the trigrams again.
+    grams = texts.withColumn("_g", F.array(X.trigrams(F.col("text"))))
+    found = unnest(grams, "_g", "text", "copies", "first", item="grams").drop("place")
+    return keep(found, F.size("grams") > 0)
+
+
+def trigram_candidates(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
+    """``a, b`` (text, grams): the pairs of two ``trigram_sets`` that are worth comparing, each once.
+
+    Grams are put in order of how many texts hold them. Two texts that are similar
+    enough share a gram among the first ``n - ceil(floor * n) + 1`` of each side's
+    ``n``, the rarest ones, so only these are posted and joined, between texts of
+    fitting sizes. The first posted gram that a pair shares is the one that yields it.
+    """
+    held = (
+        left.select(F.explode("grams").alias("gram")).unionByName(right.select(F.explode("grams").alias("gram")))
+        .groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    )
+
+    def posted(side: DataFrame, name: str) -> DataFrame:
+        ranked = (
+            spread_join(side.select("text", F.explode("grams").alias("gram")), held, ["gram"], "text")
+            .groupBy("text").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("by_n"))
+        )
+        size = F.size("by_n")
+        # A hair below the bound, so that rounding can't shorten a prefix.
+        first = size - F.ceil(size * floor - 1e-9).cast("int") + 1
+        row = F.struct("text", F.transform("by_n", lambda g: g["gram"]).alias("grams"), first.alias("first"))
+        return durable(ranked.select(row.alias(name), F.explode(F.slice("by_n", F.lit(1), first)).alias("g"))
+                       .select(F.col("g.gram").alias("gram"), name))
+
+    a, b = posted(left, "a"), posted(right, "b")
+    candidates = spread_join(a, b, ["gram"], "a.text", how="inner")
+    n_a, n_b = F.size("a.grams"), F.size("b.grams")
+    shares = F.array_intersect(F.slice("a.grams", F.lit(1), F.col("a.first")), F.slice("b.grams", F.lit(1), F.col("b.first")))
+    fitting = candidates.filter((n_a >= n_b * floor - 1e-9) & (n_b >= n_a * floor - 1e-9) & (F.get(shares, F.lit(0)) == F.col("gram")))
+    return fitting.select("a", "b")
+
+
+def trigram_join(left: DataFrame, right: DataFrame, floor: float = 0.3) -> DataFrame:
+    """Pairs of texts of two ``trigram_sets`` whose similarity reaches ``floor``.
+
+    ``left_text, right_text, left_first, right_first, pairs, similarity``; ``pairs`` counts the
+    pairs of rows that a pair of texts stands for.
+    """
+    left, right = durable(left), durable(right)
+    n_a, n_b = F.size("a.grams"), F.size("b.grams")
+    common = F.size(F.array_intersect("a.grams", "b.grams"))
+    judged = trigram_candidates(left, right, floor).select(
+        F.col("a.text").alias("left_text"), F.col("b.text").alias("right_text"), (common / (n_a + n_b - common)).alias("similarity")
+    ).filter(F.col("similarity") >= floor)
+    by_left = left.select(F.col("text").alias("left_text"), F.col("first").alias("left_first"), F.col("copies").alias("_l"))
+    by_right = right.select(F.col("text").alias("right_text"), F.col("first").alias("right_first"), F.col("copies").alias("_r"))
+    return judged.join(by_left, "left_text").join(by_right, "right_text").select(
+        "left_text", "right_text", "left_first", "right_first", (F.col("_l") * F.col("_r")).alias("pairs"), "similarity"
+    )
+
+
 def duplicate_content(pages: DataFrame, key: str, content_hash: Column) -> DataFrame:
     """Hashes seen more than once, with copies and first id; a huge group is combined map-side."""
     return (
