@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.catalog import stand_ins as D
 from pagemill.catalog.pages import HOST_SQL, TITLE_SQL
@@ -14,6 +17,7 @@ from pagemill.operators import results as R
 from pagemill.plans import pipeline
 from pagemill.plans.scratch import scratch_path
 from pagemill.sources import sinks
+from pagemill.sources.generations import Store
 
 AS_OF = "2024-01-31 00:00:00"
 KEEP_DAYS = 10
@@ -160,6 +164,50 @@ def history_purge(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+STORED = T.StructType().add("crawl_id", "string").add("domain", "string").add("title", "string").add("status", "string").add("created_at", "timestamp")
+CHANGED_AT_US = D.T0_US + 2 * 86_400_000_000
+
+
+def _generations(spark: SparkSession, folder: str) -> Store:
+    """A store after an append (1), status updates (2), deletes (3) and a purge (4)."""
+    store = Store(spark, scratch_path(spark, "generations"), STORED)
+    stamp = F.timestamp_micros(F.lit(D.T0_US) + F.col("page_id") * 3_600_000_000)
+    rows = E.extract(D.pages(spark, folder), "domain", "title").select(
+        "page_id", F.col("page_id").cast("string").alias("crawl_id"), "domain", "title",
+        F.when(F.col("page_id") % 5 == 0, "pending").otherwise("completed").alias("status"), stamp.alias("created_at"),
+    )
+    store.append(rows)
+    store.upsert(rows.filter((F.col("status") == "pending") & (F.col("page_id") < 40)).withColumn("status", F.lit("failed")))
+    store.delete(rows.filter(F.col("page_id").between(60, 75)))
+    store.purge(F.timestamp_micros(F.lit(CHANGED_AT_US)), 1)
+    return store
+
+
+def store_generations(spark: SparkSession, folder: str) -> DataFrame:
+    """Every generation of a store that was updated, deleted from and purged, as readers of each see it."""
+    store = _generations(spark, folder)
+    seen = [
+        store.read(store.generation(n)).select(F.lit(n).alias("generation"), "crawl_id", "title", "status")
+        for n in range(1, store.current().number + 1)
+    ]
+    return reduce(DataFrame.unionByName, seen)
+
+
+def store_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Three pages of a store, each behind the last row of the one before, one page of a host, and one row by its id."""
+    store = _generations(spark, folder)
+    pages, after = [], None
+    for n in range(3):
+        page = store.page(12, after).select(F.lit(f"page {n}").alias("part"), "crawl_id", "created_at")
+        last = page.orderBy("created_at", F.desc("crawl_id")).first()
+        after = (last["created_at"], last["crawl_id"]) if last else after
+        pages.append(page)
+    host = store.page(5, where=F.col("domain") == "m.ththth.example.net")
+    pages += [d.select(F.lit(part).alias("part"), "crawl_id", "created_at") for part, d in (("host", host), ("one", store.look_up("41")))]
+    found = reduce(DataFrame.unionByName, pages)
+    return found.select("part", "crawl_id", F.unix_micros("created_at").alias("created_us"))
+
+
 def nested_json(spark: SparkSession, folder: str) -> DataFrame:
     """Links to JSON text and back."""
     pages = E.extract(D.pages(spark, folder), "links").select("page_id", "links", sinks.encoded("links").alias("text"))
@@ -173,7 +221,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         status_current, result_view, result_by_id, result_list, result_list_by_domain, result_list_by_status,
-        result_delete, history_retention, history_deleted, batch_totals, sink_roundtrip, store_serves, history_purge, nested_json,
+        result_delete, history_retention, history_deleted, batch_totals, sink_roundtrip, store_serves, store_generations, store_pages, history_purge, nested_json,
     )
 }
 
@@ -252,3 +300,17 @@ SELECT status, error_message, count(*) AS n FROM h WHERE NOT (old AND status IN
 UNION ALL SELECT 'deleted', NULL, count(*) FROM h WHERE old AND status IN ('completed', 'failed')"""
 SQL["nested_json"] = """SELECT page_id, true AS same, CAST(len(regexp_extract_all(html, '<a href="[^"]+"')) AS INT) AS n_links
 FROM pages"""
+_GENERATIONS = f"""
+s1 AS (SELECT page_id, CAST(page_id AS VARCHAR) AS crawl_id, {HOST_SQL} AS domain, {TITLE_SQL} AS title,
+  CASE WHEN page_id % 5 = 0 THEN 'pending' ELSE 'completed' END AS status, {D.T0_US} + page_id * 3600000000 AS created_us FROM pages),
+s2 AS (SELECT * REPLACE (CASE WHEN page_id % 5 = 0 AND page_id < 40 THEN 'failed' ELSE status END AS status) FROM s1),
+s3 AS (SELECT * FROM s2 WHERE page_id NOT BETWEEN 60 AND 75),
+s4 AS (SELECT * FROM s3 WHERE NOT (status IN ('completed', 'failed') AND created_us < {CHANGED_AT_US} - 86400000000))"""
+SQL["store_generations"] = f"WITH {_GENERATIONS} " + " UNION ALL ".join(
+    f"SELECT {n} AS generation, crawl_id, title, status FROM s{n}" for n in range(1, 5)
+)
+SQL["store_pages"] = f"""WITH {_GENERATIONS},
+n AS (SELECT *, row_number() OVER (ORDER BY created_us DESC, crawl_id) - 1 AS nth FROM s4)
+SELECT 'page ' || (nth // 12) AS part, crawl_id, created_us FROM n WHERE nth < 36
+UNION ALL (SELECT 'host', crawl_id, created_us FROM s4 WHERE domain = 'm.ththth.example.net' ORDER BY created_us DESC, crawl_id LIMIT 5)
+UNION ALL SELECT 'one', crawl_id, created_us FROM s4 WHERE crawl_id = '41'"""

@@ -92,10 +92,10 @@ def without_deleted(stored: DataFrame, deleted_keys: DataFrame, key: str = "craw
     return stored.join(deleted_keys.select(key), key, "left_anti")
 
 
-def expired(as_of: Column, days: int = HISTORY_DAYS) -> Column:
+def expired(as_of: Column, days: int = HISTORY_DAYS, at: str = "crawl_timestamp") -> Column:
     """Settled history older than ``days``; other statuses are kept for good."""
     return F.coalesce(
-        (F.col("crawl_timestamp") < as_of - F.make_dt_interval(F.lit(days)))
+        (F.col(at) < as_of - F.make_dt_interval(F.lit(days)))
         & F.col("status").isin(*SETTLED),
         F.lit(False),
     )
