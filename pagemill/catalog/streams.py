@@ -11,8 +11,10 @@ from pagemill.catalog.pages import SQL as PAGES
 from pagemill.catalog.requests import _EVENT_STATES
 from pagemill.catalog.robots import _FRESH, _TARGET, _VERDICT
 from pagemill.functions import urls as U
+from pagemill.operators import rollups
+from pagemill.operators.queue import STATUS_RANK
 from pagemill.sources.tables import stream_table
-from pagemill.streaming import fresh, jobs, polite
+from pagemill.streaming import fresh, jobs, machine, polite
 
 LATE = "1 minute"
 EVENT_US = f"({D.T0_US} + page_id * 600000000 + 43200000000)"
@@ -39,12 +41,31 @@ def stream_status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    counts = jobs.run_to_files(
-        jobs.metric_stream(_events(spark, folder), "status", "domain", late=LATE), "stream-metrics"
+    counts = jobs.run_updates(
+        jobs.metric_stream(_events(spark, folder), "status", "domain", late=LATE), "stream-metrics",
+        "window_start", "status", "domain",
     )
     return counts.withColumn("window_start", F.unix_micros("window_start"))
 
 
+def stream_machine(spark: SparkSession, folder: str) -> DataFrame:
+    """Status changes that may follow the status held, and those that may not."""
+    return jobs.run_to_files(machine.checked_status_stream(_events(spark, folder)), "stream-machine")
+
+
+def stream_counters(spark: SparkSession, folder: str) -> DataFrame:
+    """Counters kept by a stream, after three batches of a table and a replay of one of them are added."""
+    path = jobs.keep_counters(_events(spark, folder), "stream-counters")
+    table = D.events(spark, folder)
+    for batch in (101, 102, 103, 102):
+        rollups.keep_batch(table.filter(F.col("event_id") % 3 == batch % 3), path, batch)
+    kept = rollups.kept_totals(spark, path, "domain", "status")
+    return kept.select(
+        "domain", "status", "fetches", "le_0_1", "le_0_5", "ms_sum", "ms_count", F.unix_micros("first_at").alias("first_us"),
+        F.unix_micros("last_at").alias("last_us"),
+    )
+
+
 def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Looked-up results: the first per user and status, and the first after each lifetime of an hour."""
     looked_up = _events(spark, folder).select(F.concat_ws("-", "crawl_id", "status").alias("crawl_id"), "event_at")
@@ -76,20 +97,39 @@ def stream_polite(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (stream_extract, stream_status, stream_metrics, stream_dedup, stream_robots, stream_polite)
+    for f in (stream_extract, stream_status, stream_machine, stream_metrics, stream_counters, stream_dedup, stream_robots, stream_polite)
 }
 
 # --- expected results ---------------------------------------------------------------------------
 
+_RANK_SQL = "CASE status " + " ".join(f"WHEN '{s}' THEN {r}" for s, r in STATUS_RANK.items()) + " ELSE -1 END"
+_LEGAL_SQL = ", ".join(f"'{a}>{b}'" for a, following in machine.FOLLOWS.items() for b in following)
+
 SQL = {
     "stream_extract": f"""WITH {TC.hits_sql(TC._PAGES, 'page_id', TC.SAMPLE_TOPICS)}, core AS ({PAGES['page_core']}),
 c AS (SELECT page_id, string_agg(topic, '|' ORDER BY rank) AS names FROM chosen GROUP BY page_id)
 SELECT page_id, title, language, word_count, content_hash, coalesce(names, '') AS topics FROM core LEFT JOIN c USING (page_id)""",
     "stream_status": f"WITH {_EVENT_STATES} SELECT crawl_id, status, epoch_us(updated_at) AS updated_us FROM st",
-    # Windows the final watermark has passed; later ones stay open.
-    "stream_metrics": f"""WITH e AS (SELECT status, domain, epoch_us(event_at) // 15000000 * 15000000 AS window_start FROM ({D.EVENTS_SQL}))
-SELECT window_start, status, domain, count(*) AS events FROM e
-WHERE window_start + 15000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 60000000 FROM events) GROUP BY ALL""",
+    "stream_metrics": f"""SELECT epoch_us(event_at) // 15000000 * 15000000 AS window_start, status, domain, count(*) AS events
+FROM ({D.EVENTS_SQL}) GROUP BY ALL""",
+    "stream_machine": f"""WITH RECURSIVE e AS (
+  SELECT crawl_id, status, epoch_us(event_at) AS us, row_number() OVER (
+    PARTITION BY crawl_id ORDER BY event_at, {_RANK_SQL}) AS n FROM ({D.EVENTS_SQL})),
+run(crawl_id, n, held, held_us, us, status, from_status, legal) AS (
+  SELECT DISTINCT crawl_id, 0::BIGINT, NULL::VARCHAR, 0::BIGINT, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, false FROM e
+  UNION ALL
+  SELECT crawl_id, n, CASE WHEN ok THEN status ELSE alive END, CASE WHEN ok THEN us ELSE held_us END, us, status, alive, ok FROM (
+    SELECT *, coalesce(alive, '') || '>' || status IN ({_LEGAL_SQL}) AS ok FROM (
+      SELECT e.crawl_id, e.n, e.us, e.status, r.held_us,
+        CASE WHEN e.us < r.held_us + CASE WHEN r.held = 'completed' THEN {machine.LINGER_US} ELSE {machine.LIFETIME_US} END THEN r.held END AS alive
+      FROM run r JOIN e ON e.crawl_id = r.crawl_id AND e.n = r.n + 1)))
+SELECT crawl_id, us AS event_us, status, from_status, legal FROM run WHERE n > 0""",
+    # The stream's batch and the three others hold every event once each.
+    "stream_counters": f"""SELECT domain, status, CAST(2 * count(*) AS BIGINT) AS fetches,
+  CAST(2 * count(*) FILTER (WHERE response_time_ms <= 100) AS BIGINT) AS le_0_1,
+  CAST(2 * count(*) FILTER (WHERE response_time_ms <= 500) AS BIGINT) AS le_0_5, CAST(2 * sum(response_time_ms) AS BIGINT) AS ms_sum,
+  CAST(2 * count(response_time_ms) AS BIGINT) AS ms_count, epoch_us(min(event_at)) AS first_us, epoch_us(max(event_at)) AS last_us
+FROM ({D.EVENTS_SQL}) GROUP BY domain, status""",
     "stream_dedup": f"""WITH RECURSIVE e AS (SELECT crawl_id || '-' || status AS crawl_id, epoch_us(event_at) AS us FROM ({D.EVENTS_SQL})),
 kept(crawl_id, us) AS (SELECT crawl_id, min(us) FROM e GROUP BY crawl_id
   UNION ALL SELECT k.crawl_id, min(e.us) FROM kept k JOIN e ON e.crawl_id = k.crawl_id AND e.us >= k.us + 3600000000 GROUP BY k.crawl_id, k.us)

@@ -12,6 +12,7 @@ from pagemill import schemas as S
 from pagemill.operators import extract as E
 from pagemill.operators.metrics import or_unknown
 from pagemill.operators.queue import latest
+from pagemill.operators.rollups import keep_batch
 from pagemill.operators.topics import TOPIC_KEYWORDS, Dictionary
 from pagemill.operators.gates import accepted, gate_responses
 from pagemill.plans.pipeline import with_topics, with_verdict
@@ -64,6 +65,19 @@ def robots_batches(requests: DataFrame, snapshots: Callable[[], DataFrame], labe
     return run_batches(requests, label, check, schema, "append").drop("batch_id")
 
 
+def keep_counters(fetches: DataFrame, label: str) -> str:
+    """Reduce every micro-batch of a stream of fetches to its sums; the path of the kept batches."""
+    path = scratch_path(fetches.sparkSession, label)
+    query = (
+        fetches.writeStream.option("checkpointLocation", f"{path}/state")
+        .foreachBatch(lambda batch, number: keep_batch(batch, f"{path}/sums", number))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return f"{path}/sums"
+
+
 def run_to_files(stream: DataFrame, label: str) -> DataFrame:
     """Run an append-mode stream over what is available and read its output back."""
     spark = stream.sparkSession
@@ -105,10 +119,14 @@ def run_batches(
     return spark.read.schema(full).parquet(f"{path}/rows")
 
 
-def run_updates(stream: DataFrame, label: str, key: str) -> DataFrame:
-    """Run an update-mode stream; each batch is a folder, the newest batch of a key holds."""
+def run_updates(stream: DataFrame, label: str, *key: str) -> DataFrame:
+    """Run an update-mode stream; each batch is a folder, the newest batch of a key holds.
+
+    A windowed count comes out whole this way when the input ends: every window that
+    changed is written by its batch, also those that the watermark has not passed.
+    """
     rows = run_batches(stream, label, lambda batch: batch, stream.schema, "update")
-    values = [c for c in stream.columns if c != key]
-    return rows.groupBy(key).agg(
+    values = [c for c in stream.columns if c not in key]
+    return rows.groupBy(*key).agg(
         F.max_by(F.struct(*values), "batch_id").alias("_row")
-    ).select(key, "_row.*")
+    ).select(*key, "_row.*")
