@@ -17,8 +17,8 @@ from pagemill.plans.scratch import scratch_path
 from pagemill.plans.unnest import keep
 from pagemill.sources.tables import read_table
 
-ASKED = {"all": "the eding things", "any": "erly oned attions", "none": "ertions"}
-PHRASE = "ing the things"
+ASKED = {"all": "the attions", "any": "erin eriner ders dening", "none": "things"}
+PHRASE = "attions to thanedbles"
 WEIGHED = "things attions oning erlying"
 SIMILAR_TO = "that and the of with thnt erin reand"
 
@@ -43,27 +43,26 @@ def fulltext_any(spark: SparkSession, folder: str) -> DataFrame:
 
 def _indexed(spark: SparkSession, folder: str) -> str:
     path = scratch_path(spark, "text-index")
-    TI.build_index(read_table(spark, folder, "documents"), "doc_id", F.col("text"), path)
+    pages = E.extract(D.pages(spark, folder), "title", "description")
+    TI.build_index(pages, "page_id", F.concat_ws(" ", "title", "description"), path)
     return path
 
 
 def fulltext_boolean(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts with all, any and none of some words in any of their forms, from an index."""
+    """Pages with all, any and none of some words in any of their forms, from an index of titles and descriptions."""
     found = TI.search(spark, _indexed(spark, folder), TI.parse(spark, **ASKED))
-    return found.select(F.col("id").alias("doc_id"), F.size("found").alias("n_terms"))
+    return found.select(F.col("id").alias("page_id"), F.size("found").alias("n_terms"))
 
 
 def fulltext_phrase(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts in which the stems of a phrase stand at its distances."""
-    return TI.search(spark, _indexed(spark, folder), TI.parse(spark, phrase=PHRASE)).select(F.col("id").alias("doc_id"))
+    """Pages in which the stems of a phrase stand at its distances."""
+    return TI.search(spark, _indexed(spark, folder), TI.parse(spark, phrase=PHRASE)).select(F.col("id").alias("page_id"))
 
 
 def fulltext_ranked(spark: SparkSession, folder: str) -> DataFrame:
-    """Titles and descriptions with any of some words, rare and repeated ones first."""
-    path = scratch_path(spark, "text-index")
-    pages = E.extract(D.pages(spark, folder), "title", "description")
-    TI.build_index(pages, "page_id", F.concat_ws(" ", "title", "description"), path)
-    return TI.ranked(spark, path, TI.parse(spark, any=WEIGHED)).select(F.col("id").alias("page_id"), "score")
+    """Pages with any of some words, rare and repeated ones first."""
+    found = TI.ranked(spark, _indexed(spark, folder), TI.parse(spark, any=WEIGHED))
+    return found.select(F.col("id").alias("page_id"), "score")
 
 
 def trigram(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,7 +138,6 @@ asked AS (SELECT part, place, w FROM query JOIN stems USING (word)),
 held AS (SELECT id, list(DISTINCT w) AS ws FROM spots GROUP BY id)"""
 
 
-_TEXTS = "SELECT doc_id AS id, text FROM documents"
 _HEADS = f"SELECT page_id AS id, concat_ws(' ', {TITLE_SQL}, {PARAGRAPH_SQL}) AS text FROM pages"
 
 
@@ -148,12 +146,12 @@ def _part(name: str) -> str:
 
 
 SQL = {
-    "fulltext_boolean": f"""WITH {_postings_sql(_TEXTS, **ASKED)}
-SELECT id AS doc_id, len(list_intersect(ws, (SELECT list(DISTINCT w) FROM asked)))::INTEGER AS n_terms FROM held
+    "fulltext_boolean": f"""WITH {_postings_sql(_HEADS, **ASKED)}
+SELECT id AS page_id, len(list_intersect(ws, (SELECT list(DISTINCT w) FROM asked)))::INTEGER AS n_terms FROM held
 WHERE list_has_all(ws, {_part('all')}) AND list_has_any(ws, {_part('any')}) AND NOT list_has_any(ws, {_part('none')})""",
-    "fulltext_phrase": f"""WITH {_postings_sql(_TEXTS, phrase=PHRASE)},
+    "fulltext_phrase": f"""WITH {_postings_sql(_HEADS, phrase=PHRASE)},
 first AS (SELECT min(place) AS place FROM asked)
-SELECT DISTINCT id AS doc_id FROM (
+SELECT DISTINCT id AS page_id FROM (
   SELECT s.id, s.place - asked.place + first.place AS start FROM spots s JOIN asked USING (w), first
   GROUP BY ALL HAVING count(DISTINCT asked.place) = (SELECT count(*) FROM asked))""",
     "fulltext_ranked": f"""WITH {_postings_sql(_HEADS, any=WEIGHED)},
@@ -175,7 +173,7 @@ WITH texts AS (
   SELECT 'l' AS side, text, min(item_id) AS first, count(*) AS copies FROM benchmark GROUP BY text
   UNION ALL SELECT 'r', head, min(id), count(*) FROM (
     SELECT page_id AS id, {PARAGRAPH_SQL} AS head FROM pages UNION ALL SELECT page_id, {TITLE_SQL} FROM pages) GROUP BY head),
-w AS (SELECT side, text, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS w FROM texts),
+w AS (SELECT side, text, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM texts),
 g AS (SELECT DISTINCT side, text, substr('  ' || w || ' ', i, 3) AS g FROM w, range(1, 400) r(i) WHERE i <= length(w) + 1),
 n AS (SELECT side, text, count(*) AS n FROM g GROUP BY ALL),
 c AS (SELECT a.text AS l, b.text AS r, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.side = 'l' AND b.side = 'r' GROUP BY ALL)

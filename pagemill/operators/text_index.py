@@ -1,11 +1,12 @@
 """A full-text index on files: postings by stem, searched without reading the texts.
 
-``build_index`` writes a row per (term, id) with the term's positions. Terms are
-stems of words that are not stop words; positions count all words. Rows are stored
-by a hash of the term, sorted by term, so a search reads the folders of its terms,
-and there the row groups that hold them. A bucket that a common term fills is
-written by as many tasks as its size asks for. A search groups what it read by id;
-no group is larger than its terms.
+``build_index`` writes a row per (word, id) with the word's positions, which count
+all words, and a lexicon of the words' stems; stop words are left out. A word is
+stemmed once, however often it occurs. Both tables are stored by a hash, of the word
+and of the stem, and sorted by it: a search reads the forms of its stems, then the
+folders of these words, and there the row groups that hold them. A bucket that a
+common word fills is written by as many tasks as its size asks for. A search groups
+what it read by id; no group is larger than its terms.
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ def words_at(rows: DataFrame, key: str, text: Column) -> DataFrame:
     return found.withColumn("place", F.col("place") + 1)
 
 
-def terms_at(words: DataFrame) -> DataFrame:
-    """Words that count, with ``term``, their stem."""
-    return words.filter(~F.col("word").isin(STOP_WORDS)).withColumn("term", stem("word"))
+def counted(words: DataFrame) -> DataFrame:
+    return words.filter(~F.col("word").isin(STOP_WORDS))
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -39,17 +39,18 @@ def bucket_of(term: Column, buckets: int) -> Column:
 
 def build_index(rows: DataFrame, key: str, text: Column, path: str, buckets: int = BUCKETS) -> None:
     """Index ``text`` of every row under ``key``, which is unique; rows without one are left out."""
+
+    def write(table: DataFrame, by: str, name: str) -> None:
+        (
+            table.withColumn("bucket", bucket_of(F.col(by), buckets)).hint("rebalance", "bucket")
+            .sortWithinPartitions("bucket", by).write.partitionBy("bucket").parquet(f"{path}/{name}")
+        )
+
     keyed = rows.filter(F.col(key).isNotNull())
-    postings = (
-        terms_at(words_at(keyed, key, text))
-        .groupBy("term", F.col(key).alias("id"))
-        .agg(F.array_sort(F.collect_list("place")).alias("places"))
-        .withColumn("bucket", bucket_of(F.col("term"), buckets))
-    )
-    (
-        postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
-        .write.partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
-    )
+    words = counted(words_at(keyed, key, text))
+    write(words.groupBy("word", F.col(key).alias("id")).agg(F.array_sort(F.collect_list("place")).alias("places")), "word", "postings")
+    known = rows.sparkSession.read.schema("word string").parquet(f"{path}/postings").distinct()
+    write(known.withColumn("term", stem("word")), "term", "lexicon")
     told = keyed.agg(F.countDistinct(key).alias("texts"), F.max(key).alias("id")).withColumn("buckets", F.lit(buckets))
     told.write.parquet(f"{path}/told")
 
@@ -71,25 +72,35 @@ class Query:
 def parse(spark: SparkSession, **parts: str) -> Query:
     """A query from the words of its parts, stop words left out; a phrase keeps their distances."""
     asked = spark.createDataFrame(list(parts.items()), "part string, words string")
-    found = terms_at(words_at(asked, "part", F.col("words"))).orderBy("part", "place").collect()
+    words = counted(words_at(asked, "part", F.col("words"))).withColumn("term", stem("word"))
+    found = words.orderBy("part", "place").collect()
     told: dict[str, list] = {part: [] for part in parts}
     for r in found:
         told[r["part"]].append((r["place"], r["term"]) if r["part"] == "phrase" else r["term"])
     return Query(**{part: tuple(terms) for part, terms in told.items()})
 
 
+def _of(spark: SparkSession, path: str, schema: str, column: str, values: list[str], buckets: int) -> DataFrame:
+    """The rows of a table whose ``column`` is among ``values``; other folders are not opened."""
+    named = spark.createDataFrame([(v,) for v in values], "v string")
+    homes = [r[0] for r in named.select(bucket_of(F.col("v"), buckets)).distinct().collect()]
+    # The schema is given, since a table without rows has no file to tell it.
+    rows = spark.read.schema(f"{schema}, bucket int").parquet(path)
+    return rows.filter(F.col("bucket").isin(homes) & F.col(column).isin(values)).drop("bucket")
+
+
 def postings_of(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
-    """``term, id, places`` of the given terms; other terms' folders are not opened."""
+    """``term, id, places`` of the given stems."""
     told = spark.read.parquet(f"{path}/told")
-    # The schema is given, since an index without postings has no file to tell it.
-    schema = f"term string, id {dict(told.dtypes)['id']}, places array<int>, bucket int"
-    rows = spark.read.schema(schema).parquet(f"{path}/postings")
-    if not terms:
-        return rows.filter(F.lit(False)).drop("bucket")
     buckets = told.first()["buckets"]
-    named = spark.createDataFrame([(t,) for t in terms], "term string")
-    homes = [r[0] for r in named.select(bucket_of(F.col("term"), buckets)).distinct().collect()]
-    return rows.filter(F.col("bucket").isin(homes) & F.col("term").isin(terms)).drop("bucket")
+    # Words of one stem differ by the endings that the stemmer knows, so they are few.
+    forms = _of(spark, f"{path}/lexicon", "word string, term string", "term", terms, buckets).collect()
+    schema = f"word string, id {dict(told.dtypes)['id']}, places array<int>"
+    rows = _of(spark, f"{path}/postings", schema, "word", [f["word"] for f in forms], buckets)
+    stems = spark.createDataFrame([(f["word"], f["term"]) for f in forms], "word string, term string")
+    return rows.join(F.broadcast(stems), "word").groupBy("term", "id").agg(
+        F.array_sort(F.flatten(F.collect_list("places"))).alias("places")
+    )
 
 
 def search(spark: SparkSession, path: str, query: Query) -> DataFrame:
