@@ -80,9 +80,12 @@ def trigram_titles(spark: SparkSession, folder: str) -> DataFrame:
 def trigram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items against the titles and descriptions of pages, by trigrams."""
     pages = E.extract(D.pages(spark, folder), "title", "description")
-    heads = pages.select("page_id", F.explode(F.array("title", "description")).alias("head"))
+    # A title and a description of one page need keys of their own.
+    heads = pages.select("page_id", F.posexplode(F.array("title", "description")).alias("nth", "head")).withColumn(
+        "head_id", 2 * F.col("page_id") + F.col("nth")
+    )
     items = S.trigram_sets(read_table(spark, folder, "benchmark"), "item_id", "text")
-    found = S.trigram_join(items, S.trigram_sets(heads, "page_id", "head"), 0.2)
+    found = S.trigram_join(items, S.trigram_sets(heads, "head_id", "head"), 0.2)
     return found.select(
         F.col("left_first").alias("item_id"), F.col("right_text").alias("head"), F.col("right_first").alias("first_id"),
         "pairs", D.r6("similarity").alias("similarity"),
@@ -172,7 +175,7 @@ WHERE list_has_any(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), ['thorre
 WITH texts AS (
   SELECT 'l' AS side, text, min(item_id) AS first, count(*) AS copies FROM benchmark GROUP BY text
   UNION ALL SELECT 'r', head, min(id), count(*) FROM (
-    SELECT page_id AS id, {PARAGRAPH_SQL} AS head FROM pages UNION ALL SELECT page_id, {TITLE_SQL} FROM pages) GROUP BY head),
+    SELECT 2 * page_id + 1 AS id, {PARAGRAPH_SQL} AS head FROM pages UNION ALL SELECT 2 * page_id, {TITLE_SQL} FROM pages) GROUP BY head),
 w AS (SELECT side, text, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM texts),
 g AS (SELECT DISTINCT side, text, substr('  ' || w || ' ', i, 3) AS g FROM w, range(1, 400) r(i) WHERE i <= length(w) + 1),
 n AS (SELECT side, text, count(*) AS n FROM g GROUP BY ALL),

@@ -46,7 +46,10 @@ def trigram_search(rows: DataFrame, column: str, query: str, floor: float = 0.3)
 
 
 def trigram_sets(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """``text, copies, first, grams`` of every distinct text that has trigrams; equal texts are one row."""
+    """``text, copies, first, grams`` of every distinct text that has trigrams; equal texts are one row.
+
+    ``key`` is unique, or no two texts share their least key: ``first`` names the text.
+    """
     texts = rows.groupBy(F.col(column).alias("text")).agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("first"))
     # Unnested in the outer form, so the filter does not build the trigrams again.
     grams = texts.withColumn("_g", F.array(X.trigrams(F.col("text"))))
@@ -55,55 +58,54 @@ def trigram_sets(rows: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def trigram_candidates(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
-    """``a, b`` (text, grams): the pairs of two ``trigram_sets`` that are worth comparing, each once.
+    """``a, b``: the texts of two ``trigram_sets``, by their first keys, that are worth comparing, each pair once.
 
     Grams are put in order of how many texts hold them. Two texts that are similar
     enough share a gram among the first ``n - ceil(floor * n) + 1`` of each side's
-    ``n``, the rarest ones, so only these are posted and joined, between texts of
-    fitting sizes. The first posted gram that a pair shares is the one that yields it.
+    ``n``, the rarest ones, so only these are posted: a gram, a key, a size, a place.
+    A shared gram also tells how many more can be shared behind it, which leaves out
+    texts of unfitting sizes and pairs that meet too late in their order.
     """
     held = (
         left.select(F.explode("grams").alias("gram")).unionByName(right.select(F.explode("grams").alias("gram")))
-        .groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("gram").agg(F.count(F.lit(1)).alias("holding"))
     )
 
     def posted(side: DataFrame, name: str) -> DataFrame:
         ranked = (
-            spread_join(side.select("text", F.explode("grams").alias("gram")), held, ["gram"], "text")
-            .groupBy("text").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("by_n"))
+            spread_join(side.select("first", F.explode("grams").alias("gram")), held, ["gram"], "first")
+            .groupBy("first").agg(F.array_sort(F.collect_list(F.struct("holding", "gram"))).alias("by_rarity"))
         )
-        size = F.size("by_n")
+        size = F.size("by_rarity")
         # A hair below the bound, so that rounding can't shorten a prefix.
-        first = size - F.ceil(size * floor - 1e-9).cast("int") + 1
-        row = F.struct("text", F.transform("by_n", lambda g: g["gram"]).alias("grams"), first.alias("first"))
-        return durable(ranked.select(row.alias(name), F.explode(F.slice("by_n", F.lit(1), first)).alias("g"))
-                       .select(F.col("g.gram").alias("gram"), name))
+        prefix = F.slice("by_rarity", F.lit(1), size - F.ceil(size * floor - 1e-9).cast("int") + 1)
+        rows = ranked.select(F.col("first").alias(name), size.alias(f"n_{name}"), F.posexplode(prefix).alias(f"at_{name}", "g"))
+        return durable(rows.select(F.col("g.gram").alias("gram"), name, f"n_{name}", f"at_{name}"))
 
-    a, b = posted(left, "a"), posted(right, "b")
-    candidates = spread_join(a, b, ["gram"], "a.text", how="inner")
-    n_a, n_b = F.size("a.grams"), F.size("b.grams")
-    shares = F.array_intersect(F.slice("a.grams", F.lit(1), F.col("a.first")), F.slice("b.grams", F.lit(1), F.col("b.first")))
-    fitting = candidates.filter((n_a >= n_b * floor - 1e-9) & (n_b >= n_a * floor - 1e-9) & (F.get(shares, F.lit(0)) == F.col("gram")))
-    return fitting.select("a", "b")
+    met = spread_join(posted(left, "a"), posted(right, "b"), ["gram"], "a", how="inner")
+    least = (F.col("n_a") + F.col("n_b")) * (floor / (1 + floor)) - 1e-9
+    possible = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    fitting = (F.col("n_a") >= F.col("n_b") * floor - 1e-9) & (F.col("n_b") >= F.col("n_a") * floor - 1e-9)
+    # The first gram a pair shares passes this bound if the pair is similar: what is shared stands at it or behind it.
+    return met.filter(fitting & (possible >= least)).select("a", "b").distinct()
 
 
 def trigram_join(left: DataFrame, right: DataFrame, floor: float = 0.3) -> DataFrame:
     """Pairs of texts of two ``trigram_sets`` whose similarity reaches ``floor``.
 
     ``left_text, right_text, left_first, right_first, pairs, similarity``; ``pairs`` counts the
-    pairs of rows that a pair of texts stands for.
+    pairs of rows that a pair of texts stands for. Grams meet once per candidate pair.
     """
     left, right = durable(left), durable(right)
-    n_a, n_b = F.size("a.grams"), F.size("b.grams")
-    common = F.size(F.array_intersect("a.grams", "b.grams"))
-    judged = trigram_candidates(left, right, floor).select(
-        F.col("a.text").alias("left_text"), F.col("b.text").alias("right_text"), (common / (n_a + n_b - common)).alias("similarity")
+    by_left = left.select(F.col("first").alias("a"), F.struct("text", "copies", "grams").alias("l"))
+    by_right = right.select(F.col("first").alias("b"), F.struct("text", "copies", "grams").alias("r"))
+    pairs = trigram_candidates(left, right, floor).join(by_left, "a").join(by_right, "b")
+    common = F.size(F.array_intersect("l.grams", "r.grams"))
+    similarity = common / (F.size("l.grams") + F.size("r.grams") - common)
+    return pairs.select(
+        F.col("l.text").alias("left_text"), F.col("r.text").alias("right_text"), F.col("a").alias("left_first"),
+        F.col("b").alias("right_first"), (F.col("l.copies") * F.col("r.copies")).alias("pairs"), similarity.alias("similarity"),
     ).filter(F.col("similarity") >= floor)
-    by_left = left.select(F.col("text").alias("left_text"), F.col("first").alias("left_first"), F.col("copies").alias("_l"))
-    by_right = right.select(F.col("text").alias("right_text"), F.col("first").alias("right_first"), F.col("copies").alias("_r"))
-    return judged.join(by_left, "left_text").join(by_right, "right_text").select(
-        "left_text", "right_text", "left_first", "right_first", (F.col("_l") * F.col("_r")).alias("pairs"), "similarity"
-    )
 
 
 def duplicate_content(pages: DataFrame, key: str, content_hash: Column) -> DataFrame:
