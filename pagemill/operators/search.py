@@ -13,6 +13,10 @@ from pagemill.plans.skew import spread_join
 from pagemill.plans.unnest import keep, unnest
 
 
+#: Grams of a side that every task may hold, some tens of MB.
+SMALL_GRAMS = 500_000
+
+
 def has_topic(topic: str, topics: str = "topics") -> Column:
     return F.exists(topics, lambda t: t["topic"] == topic)
 
@@ -90,22 +94,47 @@ def trigram_candidates(left: DataFrame, right: DataFrame, floor: float) -> DataF
     return met.filter(fitting & (possible >= least)).select("a", "b").distinct()
 
 
+def _by_count(small: DataFrame, large: DataFrame) -> DataFrame:
+    """``a, b, common`` of all pairs that share grams; ``small`` is of a checked size and goes to every task.
+
+    All grams of a text of ``large`` stand in one task, so what it shares is added up
+    before anything is shuffled.
+    """
+    here = F.broadcast(small.select(F.col("first").alias("a"), F.explode("grams").alias("gram")))
+    rows = large.select(F.col("first").alias("b"), F.explode("grams").alias("gram"))
+    return rows.join(here, "gram").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+
+
 def trigram_join(left: DataFrame, right: DataFrame, floor: float = 0.3) -> DataFrame:
     """Pairs of texts of two ``trigram_sets`` whose similarity reaches ``floor``.
 
     ``left_text, right_text, left_first, right_first, pairs, similarity``; ``pairs`` counts the
-    pairs of rows that a pair of texts stands for. Grams meet once per candidate pair.
+    pairs of rows that a pair of texts stands for. A side of at most ``SMALL_GRAMS``
+    grams is sent to every task and shared grams are counted; between larger sides the
+    candidates are chosen by their rarest grams and compared.
     """
     left, right = durable(left), durable(right)
-    by_left = left.select(F.col("first").alias("a"), F.struct("text", "copies", "grams").alias("l"))
-    by_right = right.select(F.col("first").alias("b"), F.struct("text", "copies", "grams").alias("r"))
-    pairs = trigram_candidates(left, right, floor).join(by_left, "a").join(by_right, "b")
-    common = F.size(F.array_intersect("l.grams", "r.grams"))
-    similarity = common / (F.size("l.grams") + F.size("r.grams") - common)
-    return pairs.select(
-        F.col("l.text").alias("left_text"), F.col("r.text").alias("right_text"), F.col("a").alias("left_first"),
-        F.col("b").alias("right_first"), (F.col("l.copies") * F.col("r.copies")).alias("pairs"), similarity.alias("similarity"),
-    ).filter(F.col("similarity") >= floor)
+    size = F.coalesce(F.sum(F.size("grams")), F.lit(0))
+    if left.agg(size).first()[0] <= SMALL_GRAMS:
+        pairs = _by_count(left, right)
+    elif right.agg(size).first()[0] <= SMALL_GRAMS:
+        pairs = _by_count(right, left).withColumnsRenamed({"a": "b", "b": "a"})
+    else:
+        grams = trigram_candidates(left, right, floor)
+        for key, side in (("a", left), ("b", right)):
+            grams = grams.join(side.select(F.col("first").alias(key), F.col("grams").alias(f"grams_{key}")), key)
+        pairs = grams.select("a", "b", F.size(F.array_intersect("grams_a", "grams_b")).alias("common"))
+    sized = pairs
+    for key, side in (("a", left), ("b", right)):
+        sized = sized.join(side.select(F.col("first").alias(key), F.size("grams").alias(f"n_{key}")), key)
+    similarity = F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
+    found = sized.withColumn("similarity", similarity).filter(F.col("similarity") >= floor)
+    by_left = left.select(F.col("first").alias("a"), F.col("text").alias("left_text"), F.col("copies").alias("_l"))
+    by_right = right.select(F.col("first").alias("b"), F.col("text").alias("right_text"), F.col("copies").alias("_r"))
+    return found.join(by_left, "a").join(by_right, "b").select(
+        "left_text", "right_text", F.col("a").alias("left_first"), F.col("b").alias("right_first"),
+        (F.col("_l") * F.col("_r")).alias("pairs"), "similarity",
+    )
 
 
 def duplicate_content(pages: DataFrame, key: str, content_hash: Column) -> DataFrame:
