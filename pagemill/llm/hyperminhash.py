@@ -175,9 +175,19 @@ def _promising(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links among candidate pairs ``a, b``: by size, then by estimate, then on full sets."""
+def _sets(nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``doc_id, shingles``: the full sets of the documents named, kept for every step that needs them.
+
+    Texts move once; repeated rows go where they arrive, before sets are made of them.
+    """
     kind = dict(docs.dtypes)["doc_id"]
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(nodes, "doc_id", "left_semi")
+    return durable(texts.dropDuplicates(["doc_id"]).mapInArrow(set_rows(k), f"doc_id {kind}, shingles array<long>"))
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links among candidate pairs ``a, b``: by size, then by estimate, then on full sets."""
+    kind = dict(nodes.dtypes)["doc_id"]
     known = nodes.select("doc_id", F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))
     first = known.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
     second = known.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
@@ -186,9 +196,6 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perc
         .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     )
     likely = durable(sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_promising(percent), f"a {kind}, b {kind}"))
-    needed = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(needed, "doc_id", "left_semi")
-    sets = durable(texts.mapInArrow(set_rows(k), f"doc_id {kind}, shingles array<long>").dropDuplicates(["doc_id"]))
     joined = (
         likely.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
         .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
@@ -244,14 +251,14 @@ def _linked(percent: int):
     return run
 
 
-def _across(bands: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _across(bands: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members of one band that are in different components.
 
     Those outside the band's largest component are compared with all others of the
     band, on full sets, in blocks of ``BLOCK_SHINGLES`` a side; only links come out.
     A band of two members has been settled already.
     """
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = dict(nodes.dtypes)["doc_id"]
     mixed = (
         bands.groupBy("band")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
@@ -268,9 +275,6 @@ def _across(bands: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent
             F.ceil((F.col("all") - F.col("top.held")) / BLOCK_SHINGLES).cast("int").alias("outs"),
         )
     )
-    needed = inside.select("doc_id").distinct()
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(needed, "doc_id", "left_semi")
-    sets = texts.mapInArrow(set_rows(k), f"doc_id {kind}, shingles array<long>").dropDuplicates(["doc_id"])
     placed = inside.select("doc_id", "band", "component").join(largest, "band")
 
     def block(own: str, other: str, turn: int) -> list[Column]:
@@ -281,12 +285,11 @@ def _across(bands: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent
     outside = placed.filter(F.col("component") != F.col("most")).select("doc_id", "band", "component", i.alias("i"), j.alias("j"))
     j, i = block("ins", "outs", 2)
     members = placed.select("doc_id", "band", "component", j.alias("j"), i.alias("i"))
-    with_sets = durable(sets)
     key = ["band", "i", "j"]
     columns = [*key, "doc_id", "component", "shingles"]
     # Named anew, or the two sides would share their columns.
     left, right = (
-        side.join(with_sets, "doc_id").select(*[F.col(c).alias(c) for c in columns]) for side in (outside, members)
+        side.join(sets, "doc_id").select(*[F.col(c).alias(c) for c in columns]) for side in (outside, members)
     )
     return durable(
         left.groupBy(*key).cogroup(right.groupBy(*key))
@@ -315,9 +318,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     shared = bands.groupBy("band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     met = durable(bands.join(shared, "band"))
     stars = met.filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    links = _confirmed(stars, nodes, docs, k, percent)
+    sets = _sets(met.select("doc_id").distinct(), docs, k)
+    links = _confirmed(stars, nodes, sets, percent)
     found = durable(components(links))
-    rest = _across(_labelled(met.drop("a"), found), nodes, docs, k, percent)
+    rest = _across(_labelled(met.drop("a"), found), nodes, sets, percent)
     found = durable(components(links.unionByName(rest)))
     ids = classes.join(found, "node", "left").select(
         "k1", "k2", "n_shingles", F.coalesce("component", "node").alias("component_id")
