@@ -6,11 +6,11 @@ depends on its own words alone, so an edit elsewhere moves no anchor. Words are
 taken after lower-casing; with fewer than k words, the whole sequence is the
 only anchor; without words there is none.
 
-The fingerprint keeps the ``keep`` smallest distinct anchor hashes of the whole
-document (a bottom-k sketch), written as hex. Likeness is taken from all anchors:
-the share of common ones among the distinct anchor hashes of both documents, so a
-short common passage shows however long the documents are. Anchors carry their
-position, but likeness does not ask where they stand: positional matching is absent.
+The fingerprint holds every anchor in order, as its hash of 32 bits and its
+distance in words from the anchor before it; written, each takes nine hex digits.
+Likeness matches anchors by position: an anchor agrees if the other fingerprint
+has the same one at the same distance behind the same anchor, wherever the passage
+stands. It is the share of agreeing places among all different ones of the two.
 Two documents without anchors are alike (1); one with and one without are not (0).
 
 Null texts count as empty. Equal texts have equal fingerprints. Repeated ids and
@@ -21,18 +21,19 @@ Further columns are ignored.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.frames import text_of, words_of
-from pagemill.plans.scratch import durable
 
 K_WORDS = 3
 S_WORDS = 1
-KEEP = 128
 CHUNK_BYTES = 64 << 20
-MOST_CHUNKS = 4096
-
+#: Hex digits of a written anchor: eight of its hash, the first of its distance.
+DIGITS = 9
+HASH = 0xFFFFFFFF
 
 
 def anchors(text: Column, k: int = K_WORDS, s: int = S_WORDS) -> Column:
@@ -65,24 +66,40 @@ def anchors(text: Column, k: int = K_WORDS, s: int = S_WORDS) -> Column:
     return F.transform(F.array(words_of(F.lower(text))), of_words)[0]
 
 
-def hashes_of(found: Column) -> Column:
-    """The distinct hashes of all anchors."""
-    return F.array_distinct(F.transform(found, lambda a: a["hash"]))
+def fingerprint(found: Column) -> Column:
+    """``array<bigint>`` of all anchors in order: the distance from the one before, then 32 bits of the hash.
+
+    Neighbours stand at most ``k - s`` words apart, which has to fit one hex digit.
+    """
+
+    def of_anchors(a: Column) -> Column:
+        def entry(x: Column, i: Column) -> Column:
+            before = F.when(i == 0, 0).otherwise(F.get(a, i - 1)["position"])
+            return F.shiftleft((x["position"] - before).cast("long"), 32).bitwiseOR(x["hash"].bitwiseAND(F.lit(HASH)))
+
+        return F.transform(a, entry)
 
+    return F.transform(F.array(found), of_anchors)[0]
 
-def sketch(hashes: Column, keep: int = KEEP) -> Column:
-    """The ``keep`` smallest of distinct hashes, ascending."""
-    return F.slice(F.array_sort(hashes), 1, keep)
 
+def written(entries: Column) -> Column:
+    """A fingerprint as text."""
+    return F.lower(F.array_join(F.transform(entries, lambda e: F.lpad(F.hex(e), DIGITS, "0")), ""))
 
-def written(values: Column) -> Column:
-    """A sketch as text: 16 hex digits per hash. The sign bit is flipped, so text order is number order."""
-    flip = F.lit(-(1 << 63))
-    return F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v.bitwiseXOR(flip)), 16, "0")), "")
+
+def places(entries: Column) -> Column:
+    """The different places of a fingerprint: an anchor, its distance from the one before, and that one's hash."""
+
+    def of_entries(e: Column) -> Column:
+        return F.transform(
+            e, lambda x, i: F.when(i == 0, x).otherwise(F.xxhash64(F.get(e, i - 1).bitwiseAND(F.lit(HASH)), x))
+        )
+
+    return F.array_distinct(F.transform(F.array(entries), of_entries)[0])
 
 
 def likeness(left: Column, right: Column) -> Column:
-    """Share of common hashes among all of two arrays of distinct ones, 0 to 1."""
+    """Share of common places among all of two fingerprints' ``places``, 0 to 1."""
 
     def of_common(common: Column) -> Column:
         union = F.size(left) + F.size(right) - common
@@ -91,83 +108,96 @@ def likeness(left: Column, right: Column) -> Column:
     return F.transform(F.array(F.size(F.array_intersect(left, right))), of_common)[0]
 
 
-def fingerprints(docs: DataFrame, k: int = K_WORDS, s: int = S_WORDS, keep: int = KEEP) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = K_WORDS, s: int = S_WORDS) -> DataFrame:
     """``doc_id, fingerprint, anchors`` of every document."""
     found = docs.select("doc_id", anchors(text_of(), k, s).alias("anchors"))
-    return found.select("doc_id", written(sketch(hashes_of(F.col("anchors")), keep)).alias("fingerprint"), "anchors")
+    return found.select("doc_id", written(fingerprint(F.col("anchors"))).alias("fingerprint"), "anchors")
 
 
 def _chunked(docs: DataFrame) -> DataFrame:
     """Documents with ``chunk``, a function of the id alone that cuts the order of ids into even ranges.
 
-    The bounds are quantiles of the ids, at most ``MOST_CHUNKS`` numbers; ids that are null come first.
+    The bounds are one id per ``CHUNK_BYTES`` of text, eight bytes in some ten millions
+    of them, from one cut of the ids alone. A row finds its range in two steps, each over
+    about as many bounds as the root of their number. Null ids come first.
     """
     spark = docs.sparkSession
     total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total["bytes"] or 0) // CHUNK_BYTES))
-    n = max(1, min(n, MOST_CHUNKS, total["n"]))
-    bounds = []
-    if n > 1:
-        cuts = [i / n for i in range(1, n)]
-        bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", cuts, 10 * n)).first()[0] or []))
-    known = F.array(*[F.lit(b).cast("long") for b in bounds]).cast("array<bigint>")
-    place = F.size(F.filter(known, lambda b: b < F.col("doc_id")))
-    return docs.withColumn("chunk", F.when(F.col("doc_id").isNull(), 0).otherwise(place + 1))
-
-
-def _heads(cut: DataFrame) -> DataFrame:
-    """``chunk, head``: the text that follows the last document of a chunk. Chunks form a ring, the last leads to the first."""
-    firsts = cut.groupBy("chunk").agg(F.min("doc_id").alias("first")).withColumnRenamed("chunk", "of")
-    own = (F.col("chunk") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first"))
-    texts = (
-        cut.join(F.broadcast(firsts), own)  # at most MOST_CHUNKS rows
-        .withColumn("nth", F.row_number().over(Window.partitionBy("chunk").orderBy(F.xxhash64("text"))))
-        .filter("nth = 1")
-    )
+    n = max(1, min(n, total["n"]))
+    cut = docs.select("doc_id").repartitionByRange(n, "doc_id").groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("least"))
+    bounds = sorted(r["least"] for r in cut.collect() if r["least"] is not None)
+    if not bounds:
+        return docs.withColumn("chunk", F.lit(0))
+    step = isqrt(len(bounds))
+    ranges = [(g + 1, bounds[i : i + step]) for g, i in enumerate(range(0, len(bounds), step))]
+    tops = F.array(*[F.lit(inner[0]).cast("long") for _, inner in ranges])
+    inner = spark.createDataFrame(ranges, "range int, inner array<long>")
+    reached = F.size(F.filter(tops, lambda b: b <= F.col("doc_id")))
+    placed = docs.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(reached)).join(F.broadcast(inner), "range", "left")
+    within = F.size(F.filter("inner", lambda b: b <= F.col("doc_id")))
+    chunk = F.when(F.col("range") < 1, 0).otherwise((F.col("range") - 1) * step + within)
+    return placed.withColumn("chunk", chunk).drop("range", "inner")
+
+
+def _followed(cut: DataFrame) -> DataFrame:
+    """The documents, and the first of each chunk once more as the ``tail`` of the chunk before it.
+
+    Chunks form a ring, the last leads to the first. One narrow row per chunk is
+    broadcast; the texts travel with the others.
+    """
+    order = F.struct("doc_id", F.xxhash64("text").alias("digest"))
+    firsts = cut.groupBy("chunk").agg(F.min(order).alias("first"))
     ring = Window.orderBy("chunk")
     everything = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follows = F.coalesce(F.lead("text").over(ring), F.first("text").over(everything))
-    return durable(texts.select("chunk", follows.alias("head")))
+    before = F.coalesce(F.lag("chunk").over(ring), F.last("chunk").over(everything))
+    firsts = firsts.select(F.col("chunk").alias("of"), "first", before.alias("before"))
+    heads = F.when(order.eqNullSafe(F.col("first")), F.array(F.struct(F.col("before").alias("chunk"), F.lit(1).alias("tail"))))
+    own = F.array(F.struct(F.col("chunk"), F.lit(0).alias("tail")))
+    none = F.filter(own, lambda _: F.lit(False))
+    return (
+        cut.join(F.broadcast(firsts), F.col("chunk") == F.col("of"))
+        .select("doc_id", "text", F.explode(F.concat(own, F.coalesce(heads, none))).alias("place"))
+        .select("doc_id", "text", "place.chunk", "place.tail")
+    )
 
 
-def compare_edited(docs: DataFrame, k: int = K_WORDS, s: int = S_WORDS, keep: int = KEEP) -> DataFrame:
+def compare_edited(docs: DataFrame, k: int = K_WORDS, s: int = S_WORDS) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness to it and to the next document.
 
     The edited text has its last quarter of characters replaced by the first ones
-    of the next document. Texts move once, to their place in the order of ids;
-    the first document of each chunk, one row per chunk, closes the chunk before.
+    of the next document. Texts move once, to their place in the order of ids.
     """
-    cut = _chunked(docs.select("doc_id", text_of().alias("text")))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    inside = Window.partitionBy("chunk").orderBy(*order)
+    if not 0 <= k - s < 16:
+        raise ValueError("anchors may stand at most 15 words apart")
+    inside = Window.partitionBy("chunk").orderBy("tail", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
-    def hashed(text: Column) -> Column:
-        return hashes_of(anchors(text, k, s))
+    def entries(text: Column) -> Column:
+        return fingerprint(anchors(text, k, s))
 
-    heads = _heads(cut).withColumn("head_hashes", hashed(F.col("head")))
     n_chars = F.length("text")
     moved = F.floor(n_chars / 4).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n_chars - moved), F.col("next").substr(F.lit(1), moved))
     told = (
-        cut.repartition("chunk")
-        .withColumn("own", hashed(F.col("text")))
+        _followed(_chunked(docs.select("doc_id", text_of().alias("text"))))
+        .repartition("chunk")
+        .withColumn("own", entries(F.col("text")))
         .withColumn("next", F.lead("text").over(inside))
         .withColumn("after", F.lead("own").over(inside))
-        .join(F.broadcast(heads), "chunk")  # at most MOST_CHUNKS rows
-        .withColumn("next", F.coalesce("next", "head"))
+        .filter("tail = 0")
+        .select("doc_id", n_chars.cast("long").alias("n_chars"), edited.alias("edited"), "own", "after")
         .select(
-            "doc_id", n_chars.cast("long").alias("n_chars"), edited.alias("edited"), "own",
-            F.coalesce("after", "head_hashes").alias("after"),
+            "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+            "own", entries(F.col("edited")).alias("other"), "after",
         )
         .select(
-            "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            "own", hashed(F.col("edited")).alias("other"), "after",
+            "doc_id", "n_chars", "edited_sha256",
+            written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"),
+            *[places(F.col(c)).alias(c) for c in ("own", "other", "after")],
         )
     )
     return told.select(
-        "doc_id", "n_chars", "edited_sha256",
-        written(sketch(F.col("own"), keep)).alias("fingerprint"),
-        written(sketch(F.col("other"), keep)).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("own"), F.col("other")).alias("near_edited"),
         likeness(F.col("own"), F.col("after")).alias("near_next"),
     )

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import random
+import re
 import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pagemill.llm import kd_shards as D
@@ -123,14 +126,71 @@ def test_edited_texts(spark):
     assert all((rows[i]["fingerprint"] == rows[i]["edited_fingerprint"]) <= (rows[i]["near_edited"] == 1) for i in rows)
 
 
-def test_likeness_is_of_all_anchors(spark):
-    """A short passage of long texts counts for what it is."""
-    passage = " ".join(f"p{i}" for i in range(50))
-    texts = [" ".join([*[f"{n}x{i}" for i in range(2000)], passage, *[f"{n}y{i}" for i in range(2000)]]) for n in "ab"]
-    df = documents(spark, texts)
-    a, b = ({x["hash"] for x in r["anchors"]} for r in Y.fingerprints(df).orderBy("doc_id").collect())
-    rows = Y.compare_edited(df).collect()
-    assert len(a & b) > 10 and all(r["near_next"] == pytest.approx(len(a & b) / len(a | b)) for r in rows)
+def plain_fingerprint(text, k=3):
+    """Entries ``(distance, hash)`` of every closed syncmer of one-word substrings, from hashes taken one by one."""
+
+    def chained(values, seed=42):
+        for v in values:
+            seed = xxhash.xxh64_intdigest((v & (1 << 64) - 1).to_bytes(8, "little"), seed)
+        return seed
+
+    words = [w for w in re.split("[ \t-\r]+", text.lower()) if w]
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    signed = [x - (1 << 64) if x >> 63 else x for x in h]
+    if len(h) < k:
+        return None if h else []
+    found, last = [], 0
+    for i in range(len(h) - k + 1):
+        if min(signed[i : i + k]) in (signed[i], signed[i + k - 1]):
+            found.append((i - last, chained(h[i : i + k]) & 0xFFFFFFFF))
+            last = i
+    return found
+
+
+def plain_likeness(left, right):
+    a, b = ({(None if i == 0 else f[i - 1][1], *f[i]) for i in range(len(f))} for f in (left, right))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_every_column_against_a_plain_version(spark):
+    """Fingerprints, edits and both likenesses, over chunks of every size."""
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(40)}" for _ in range(r.choice([3, 4, 17, 200]))) for _ in range(60)] + ["", None]
+    texts[7] = texts[6]
+    ids = r.sample(range(-500, 5000), len(texts))
+    rows = {x["doc_id"]: x for x in Y.compare_edited(documents(spark, texts, ids)).collect()}
+    text = dict(zip(ids, (t or "" for t in texts), strict=True))
+    order = sorted(ids)
+    for i, after in zip(order, [*order[1:], order[0]], strict=True):
+        moved = len(text[i]) // 4
+        edited = text[i][: len(text[i]) - moved] + text[after][:moved]
+        own, other, following = (plain_fingerprint(t) for t in (text[i], edited, text[after]))
+        assert rows[i]["fingerprint"] == "".join(f"{d:x}{h:08x}" for d, h in own)
+        if other is not None:
+            assert rows[i]["edited_fingerprint"] == "".join(f"{d:x}{h:08x}" for d, h in other)
+            assert rows[i]["near_edited"] == pytest.approx(plain_likeness(own, other))
+        assert rows[i]["near_next"] == pytest.approx(plain_likeness(own, following))
+
+
+def test_likeness_matches_positions(spark):
+    """A short passage of long texts counts where it stands as one; the same words apart from each other don't."""
+    passage = [f"p{i}" for i in range(50)]
+    texts = [" ".join([*[f"{n}x{i}" for i in range(2000)], *passage, *[f"{n}y{i}" for i in range(2000)]]) for n in "ab"]
+    rows = Y.compare_edited(documents(spark, texts)).collect()
+    common = plain_likeness(*map(plain_fingerprint, texts))
+    assert common > 0 and all(r["near_next"] == pytest.approx(common) for r in rows)
+    # Every anchor of three words is common, yet they never follow one another alike.
+    triples = [" ".join(passage[i : i + 3]) for i in range(0, 48, 3)]
+    apart = [" ".join(f"{t} {n}{i} {n}{i}z {n}{i}y" for i, t in enumerate(triples)) for n in "ab"]
+    assert all(r["near_next"] < 0.02 for r in Y.compare_edited(documents(spark, apart)).collect())
+
+
+@pytest.mark.parametrize("chunk_bytes", [1, 200, 1 << 30])
+def test_chunks_change_nothing(spark, monkeypatch, chunk_bytes):
+    df = documents(spark, [f"a{i} b{i} c{i % 5} d{i % 3} e f" for i in range(50)], ids=[i * i - 40 for i in range(50)])
+    whole = sorted(map(tuple, Y.compare_edited(df).collect()))
+    monkeypatch.setattr(Y, "CHUNK_BYTES", chunk_bytes)
+    assert sorted(map(tuple, Y.compare_edited(df).collect())) == whole and len(whole) == 50
 
 
 def test_edited_awkward(spark):
