@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 import corpus_pipeline as C
 from pagemill.llm import catalog, hyperminhash, systematic_mix, toxicity
-from tests.llm.helpers import documents
+from tests.llm.helpers import clashing, documents
 from tests.llm.test_near_duplicates import plain as plain_components
 from tests.llm.test_sampling_and_shards import filled
 from tests.llm.test_texts import plain_spans, tokens
@@ -70,6 +70,25 @@ def test_one_document_of_each_group_stays(stages):
     assert sorted(r["doc_id"] for r in stages[2]) == wanted
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark, folder):
+    """Whatever the partitioning, and with columns of clashing names, the same rows stay."""
+    base = " ".join(f"a{i}" for i in range(60))
+    other = " ".join(f"b{i}" for i in range(60))
+    texts = [base, other, other + " x", base, "alone at last", "alone at last", base, base]
+    ids = [10, 10, 11, 9, 7, 7, None, None]
+    docs = clashing(documents(spark, texts, ids, sources=[*"abcdefgh"])).withColumn("notes", F.create_map(F.lit("k"), F.lit(1)))
+    found = []
+    for parts in (1, 2, 7):
+        kept = C.drop_near_duplicates(spark, docs.repartition(parts, "text", "source"), folder)
+        assert kept.columns == docs.columns
+        found.append(sorted(((r["doc_id"], r["text"], r["source"]) for r in kept.collect()), key=repr))
+    assert found[0] == found[1] == found[2]
+    # 9 stands for both copies of the first text, 10 for its other text, 7 leaves one row; rows without an id stay.
+    assert [(i, t) for i, t, _ in found[0]] == sorted(
+        [(9, base), (10, other), (7, "alone at last"), (None, base), (None, base)], key=repr
+    )
+
+
 def test_identifiers_are_replaced(stages):
     before = {r["doc_id"]: r["text"] for r in stages[2]}
     for r in stages[3]:
