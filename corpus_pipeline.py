@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.llm import hyperminhash, pii, systematic_mix, toxicity, vector_packing
 from pagemill.llm.catalog import tokenizer_path
-from pagemill.llm.frames import fresh, table
+from pagemill.llm.frames import fresh, table, text_of
 from pagemill.plans.scratch import scratch_path
 
 #: Some stages have no SQL form; tests hold the whole run against a plain one.
@@ -28,13 +29,30 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of every group of near duplicates: 80 % of shingles of five words.
+    """Keep one document of every group of near duplicates, the one with the least id: 80 % of shingles of five words.
 
-    Rows of one id are one document and leave one row; rows without an id can't be told apart and stay.
+    A document is an id with a text: rows of one id whose texts differ are judged
+    each by its own text, the least digest first among equal ids. Rows equal in both
+    (a null text counts as empty) leave one row, the least by a hash of its hashable columns. Rows without an id
+    can't be told apart and stay.
     """
-    kept = hyperminhash.near_duplicates(docs, k=5, percent=80).filter("kept").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    written = F.col("doc_id").cast("string")
+    name, rest = fresh("node"), [f.name for f in docs.schema.fields if not _holds_map(f.dataType)]
+    # Ids by length, then by digits: the order of numbers from 0. The digest tells the texts of one id apart.
+    node = F.concat(F.lpad(F.length(written).cast("string"), 10, "0"), written, F.lit("/"), F.hex(F.xxhash64(text_of())))
+    named = docs.withColumn(name, node)
+    kept = (
+        hyperminhash.near_duplicates(named.select(F.col(name).alias("doc_id"), "text"), k=5, percent=80)
+        .filter("kept").select(F.col("doc_id").alias(name)).distinct()
+    )
+    one = F.min_by(F.struct(*docs.columns), F.xxhash64(*rest)).alias("_row")
+    chosen = named.join(kept, name, "left_semi").groupBy(name).agg(one).select("_row.*")
+    return chosen.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    """Whether a column has a map anywhere inside, which can't be hashed."""
+    return "map<" in kind.simpleString()
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
