@@ -16,6 +16,7 @@ from pagemill import schemas as S
 from pagemill.functions import markup as M
 from pagemill.functions import text as X
 from pagemill.functions import urls as U
+from pagemill.functions.dates import lenient_date
 
 # Where each field is looked for, in order of preference.
 TITLE_ATTRS = [("property", "og:title"), ("name", "twitter:title"), ("itemprop", "name")]
@@ -151,11 +152,11 @@ def author(limits: S.Limits = S.NO_LIMITS) -> Column:
 
 
 def parse_date(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """Timestamp from an ISO or written date; null when no known form fits."""
+    """Timestamp from an ISO date, a form of the list or a date in free form; null when the text names none."""
 
     def parse(t: Column) -> Column:
         iso = F.when(t.rlike(r"^[0-9]{4}(?:-[0-9]{1,2}){0,2}(?:$|[T ])"), t.try_cast("timestamp"))
-        return F.coalesce(iso, *[F.try_to_timestamp(t, F.lit(f)) for f in formats])
+        return F.coalesce(iso, *[F.try_to_timestamp(t, F.lit(f)) for f in formats], lenient_date(t))
 
     return X.let(F.regexp_replace(text, WEEKDAY, ""), parse)
 
