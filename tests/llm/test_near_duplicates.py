@@ -81,3 +81,19 @@ def test_components_of_chains_and_stars(spark):
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {found[i] for i in range(100, 141)} == {100} and {found[i] for i in range(7, 60)} == {7}
     assert 3 not in found
+
+
+@pytest.mark.parametrize("m", [1, 2, 5, 10, 50])
+def test_recall_at_the_bound(m):
+    """Pairs of sets of exactly 80 %: they meet in a band, and the estimate drops none of them."""
+    r = np.random.default_rng(m)
+    width, missed, sketches = H.ROWS, 0, []
+    for _ in range(300):
+        own = r.integers(0, 1 << 64, 10 * m, np.uint64)  # 8m in common, m more on each side
+        a, b = (H.registers(np.sort(part)) for part in (own[: 9 * m], np.concatenate([own[: 8 * m], own[9 * m :]])))
+        missed += not (a.reshape(-1, width) == b.reshape(-1, width)).all(axis=1).any()
+        sketches.append((a, b))
+    left, right = (np.array(side) for side in zip(*sketches, strict=True))
+    sizes = np.full(300, 9.0 * m)
+    error = np.sqrt(0.8 * 0.2 / np.minimum(H.BUCKETS, sizes))
+    assert missed == 0 and (H.estimate(left, right, sizes, sizes) >= 0.8 - H.STANDARD_ERRORS * error).all()
