@@ -275,7 +275,7 @@ def test_cross_entropy(spark):
     total = sum(counts.values())
     words, loss = good[0].split(), 0.0
     for a, b in zip([None, *words], words, strict=False):
-        base = (counts[b] + 1) / (total + X.CLASSES)
+        base = (counts[b] + 1) / (total + len(counts) + 1)
         context = sum(n for (x, _), n in pairs.items() if x == a)
         loss -= np.log((pairs[a, b] + X.PRIOR * base) / (context + X.PRIOR))
     assert set(order) == set(counts)
@@ -296,11 +296,57 @@ def test_cross_entropy_of_texts_not_counted(spark):
     docs = documents(spark, ["sun moon", "buy pills"])
     model = X.train(docs, docs.filter("doc_id = 0"))
     found = X.score(documents(spark, ["moon new"]), *model).first()
-    base = [(1 + 1) / (4 + X.CLASSES), 1 / (4 + X.CLASSES)]
+    base = [(1 + 1) / (4 + 5), 1 / (4 + 5)]
     loss = -np.log((X.PRIOR * base[0]) / (2 + X.PRIOR)) - np.log(X.PRIOR * base[1] / X.PRIOR)
     assert found["background_loss"] == pytest.approx(loss / 2)
 
 
+def _plain_losses(texts, counted, words, marked):
+    """Mean losses under the counts of the marked ones of ``counted``."""
+    own, before, pairs = Counter(), Counter(), Counter()
+    for text, mark in zip(counted, marked, strict=True):
+        if mark:
+            tokens = (text or "").lower().split()
+            own.update(tokens)
+            before.update([None, *tokens][: len(tokens)])
+            pairs.update(zip([None, *tokens], tokens, strict=False))
+    total, out = sum(own.values()), []
+    for text in texts:
+        tokens = (text or "").lower().split()
+        loss = sum(
+            np.log(before[a] + X.PRIOR) - np.log(pairs[a, b] + X.PRIOR * (own[b] + 1) / (total + words + 1))
+            for a, b in zip([None, *tokens], tokens, strict=False)
+        )
+        out.append(loss / len(tokens) if tokens else None)
+    return out
+
+
+@pytest.mark.parametrize("held, per_bucket", [(300, 200), (X.HELD, X.BUCKET)])
+def test_all_losses_equal_plain_ones(spark, held, per_bucket):
+    """One word makes up half of all tokens, and one pair a quarter; chunks and buckets are many or one."""
+    r = random.Random(4)
+    texts = [" ".join("hot" if r.random() < 0.5 else f"W{int(r.paretovariate(0.7)) % 3000}" for _ in range(r.randrange(60))) for _ in range(198)]
+    texts += [None, " \t"]
+    docs, targets = documents(spark, texts), spark.range(0, 200, 3).select(F.col("id").alias("doc_id"))
+    model = X.train(docs, targets, held=held)
+    words = len({w for t in texts for w in (t or "").lower().split()})
+    assert len(model[0]) == words
+    wanted = [i % 3 == 0 for i in range(200)]
+    fresh = ["hot hot W1 never", "never seen", "W1", ""]
+    for asked, asked_docs in ((texts, docs), (fresh, documents(spark, fresh))):
+        found = {r["doc_id"]: r for r in X.score(asked_docs, *model, per_bucket=per_bucket).collect()}
+        assert len(found) == len(asked)
+        expected = zip(_plain_losses(asked, texts, words, wanted), _plain_losses(asked, texts, words, [True] * 200), strict=True)
+        for i, (near, far) in enumerate(expected):
+            assert found[i]["n_tokens"] == len((asked[i] or "").split())
+            if near is None:
+                assert found[i]["target_loss"] is None and found[i]["background_loss"] is None and found[i]["difference"] is None
+            else:
+                assert found[i]["target_loss"] == pytest.approx(near, rel=1e-9)
+                assert found[i]["background_loss"] == pytest.approx(far, rel=1e-9)
+                assert found[i]["difference"] == pytest.approx(near - far, rel=1e-6, abs=1e-9)
+
+
 def test_cross_entropy_edges(spark):
     none = spark.createDataFrame([], "doc_id long")
     model = X.train(nothing(spark), none)
