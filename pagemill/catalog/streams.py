@@ -14,7 +14,7 @@ from pagemill.functions import urls as U
 from pagemill.operators import rollups
 from pagemill.operators.queue import STATUS_RANK
 from pagemill.sources.tables import stream_table
-from pagemill.streaming import fresh, jobs, machine, polite
+from pagemill.streaming import copies, fresh, jobs, machine, polite
 
 LATE = "1 minute"
 EVENT_US = f"({D.T0_US} + page_id * 600000000 + 43200000000)"
@@ -85,6 +85,15 @@ def stream_robots(spark: SparkSession, folder: str) -> DataFrame:
     return checked.select("request_id", "domain", "allowed")
 
 
+def stream_robots_fresh(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests and robots copies as two streams: the newest copy valid at each request."""
+    pages = stream_table(spark, folder, "pages").withColumn("domain", U.netloc_key(F.col("url")))
+    requests = pages.select(F.col("page_id").alias("request_id"), "domain", F.timestamp_micros(F.expr(EVENT_US)).alias("event_at"))
+    held = pages.select("domain", F.timestamp_micros(F.expr(D.SNAPSHOT_US)).alias("fetched_at"))
+    found = copies.run_to_end(requests, held, "stream-robots-fresh")
+    return found.select("request_id", "domain", F.unix_micros("event_at").alias("arrival_us"), "snapshot_us")
+
+
 def stream_polite(spark: SparkSession, folder: str) -> DataFrame:
     arrivals = stream_table(spark, folder, "events").select(
         F.col("event_type").alias("domain"),
@@ -97,7 +106,7 @@ def stream_polite(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (stream_extract, stream_status, stream_machine, stream_metrics, stream_counters, stream_dedup, stream_robots, stream_polite)
+    for f in (stream_extract, stream_status, stream_machine, stream_metrics, stream_counters, stream_dedup, stream_robots, stream_robots_fresh, stream_polite)
 }
 
 # --- expected results ---------------------------------------------------------------------------
@@ -139,6 +148,7 @@ c AS (SELECT fresh.*, {_TARGET} AS target, {D.AGENT} AS agent,
   CASE WHEN snapshot_us IS NOT NULL THEN ((snapshot_us - {D.T0_US}) // 600000000) % 5 END AS k
   FROM fresh JOIN pages ON request_id = page_id)
 SELECT request_id, domain, {_VERDICT} AS allowed FROM c""",
+    "stream_robots_fresh": f"WITH {_FRESH.replace(D.REQUEST_US, EVENT_US)} SELECT * FROM fresh",
     # One delay for all, so a lapse restarts the numbering but moves no start.
     "stream_polite": """
 WITH a AS (SELECT event_type AS domain, event_id AS request_id, epoch_us(ts) AS arrival_us,
