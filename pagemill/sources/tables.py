@@ -28,13 +28,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def stream_table(
     spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """The same table as a file stream; the schema comes from the stored footer, not from a scan."""
+    """The same table, a file or a folder of files, as a stream; the schema comes from the stored footer, not from a scan."""
     pin_utc(spark)
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return with_zoned_times(reader.parquet(folder))
+    # As a pattern, since a plain path of a stream has to be a folder.
+    return with_zoned_times(reader.parquet(f"{folder}/{name}.parque[t]"))
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
