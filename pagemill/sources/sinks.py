@@ -2,6 +2,10 @@
 
 Nothing is updated in place: status is the newest event, and a deleted result is
 a key in the ``deleted`` folder until ``compact`` writes a generation without it.
+
+A write of few dates has a folder per date. A write of many dates has folders of
+several days beside these, in which the date is a column that files are sorted by, so
+the number of folders follows the rows (``spans``). Readers see both alike.
 """
 
 from __future__ import annotations
@@ -14,8 +18,10 @@ from pagemill import schemas as S
 from pagemill.operators.queue import current_status
 from pagemill.operators.results import HISTORY_DAYS, expired, retention_count, without_deleted
 from pagemill.plans.scratch import path_exists
+from pagemill.sources import spans
 
 PARTITION = "on_date"
+SPAN = "from_date"
 STATUS_EVENT = T.StructType([
     T.StructField("crawl_id", T.StringType()),
     T.StructField("status", T.StringType()),
@@ -33,10 +39,29 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     ])
 
 
+def _write(dated: DataFrame, path: str, mode: str = "append") -> None:
+    """Write rows that have their date. Rebalancing by folder keeps files large and splits a dominant date."""
+    days = spans.days_of(dated, PARTITION)
+    if days == 1:
+        dated.hint("rebalance", PARTITION).write.mode(mode).partitionBy(PARTITION).parquet(path)
+        return
+    spanned = dated.withColumn(SPAN, spans.span_start(PARTITION, days)).hint("rebalance", SPAN)
+    spanned.sortWithinPartitions(SPAN, PARTITION).write.mode(mode).partitionBy(SPAN).parquet(_spanned(path))
+
+
+def _spanned(path: str) -> str:
+    return f"{path}_spans"
+
+
+def _write_new(dated: DataFrame, path: str) -> None:
+    spark = dated.sparkSession
+    if path_exists(spark, path) or path_exists(spark, _spanned(path)):
+        raise ValueError(f"{path} has been written before")
+    _write(dated, path, "errorifexists")
+
+
 def _append(df: DataFrame, path: str, at: str) -> None:
-    # Rebalancing by date keeps files large and splits a dominant date.
-    dated = df.withColumn(PARTITION, F.to_date(at)).hint("rebalance", PARTITION)
-    dated.write.mode("append").partitionBy(PARTITION).parquet(path)
+    _write(df.withColumn(PARTITION, F.to_date(at)), path)
 
 
 def append_metadata(pages: DataFrame, store: str) -> None:
@@ -61,7 +86,10 @@ def delete_results(keys: DataFrame, store: str) -> None:
 
 def _dated(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
     full = T.StructType(schema.fields + [T.StructField(PARTITION, T.DateType())])
-    return spark.read.schema(full).parquet(path)
+    if not path_exists(spark, _spanned(path)):
+        return spark.read.schema(full).parquet(path)
+    spanned = spark.read.schema(T.StructType(full.fields + [T.StructField(SPAN, T.DateType())])).parquet(_spanned(path)).drop(SPAN)
+    return spanned.unionByName(spark.read.schema(full).parquet(path)) if path_exists(spark, path) else spanned
 
 
 def read_metadata(spark: SparkSession, store: str, deletes: bool = True) -> DataFrame:
@@ -83,8 +111,7 @@ def read_history(spark: SparkSession, store: str) -> DataFrame:
 
 def compact(spark: SparkSession, store: str, into: str) -> None:
     """Write a fresh metadata generation without deleted results into a new store folder."""
-    rows = read_metadata(spark, store).hint("rebalance", PARTITION)
-    rows.write.mode("errorifexists").partitionBy(PARTITION).parquet(f"{into}/metadata")
+    _write_new(read_metadata(spark, store), f"{into}/metadata")
 
 
 def purge_history(
@@ -92,8 +119,7 @@ def purge_history(
 ) -> DataFrame:
     """Write a history generation without settled rows older than ``days``; returns how many went."""
     history = read_history(spark, store)
-    kept = history.filter(~expired(as_of, days)).hint("rebalance", PARTITION)
-    kept.write.mode("errorifexists").partitionBy(PARTITION).parquet(f"{into}/history")
+    _write_new(history.filter(~expired(as_of, days)), f"{into}/history")
     return retention_count(history, as_of, days)
 
 

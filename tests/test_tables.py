@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagemill import schemas as S
@@ -185,3 +186,23 @@ def test_store(spark, tmp_path):
     assert {r.crawl_id for r in sinks.read_metadata(spark, fresh, deletes=False).collect()} == {"0", "2", "3"}
     pruned = sinks.read_metadata(spark, store, deletes=False).filter(F.col(sinks.PARTITION) == "2024-02-01")
     assert "PartitionFilters: [isnotnull" in pruned._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_store_of_many_dates_has_few_folders(spark, tmp_path):
+    store, fresh = str(tmp_path / "store"), str(tmp_path / "fresh")
+    rows = spark.range(700).select(
+        F.col("id").cast("string").alias("crawl_id"), F.lit("completed").alias("status"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.when(F.col("id") != 5, F.col("id")) * 86_400).alias("crawl_timestamp"),
+    )
+    sinks.append_history(rows, store)
+    sinks.append_history(rows.limit(2).withColumn("crawl_id", F.concat(F.lit("x"), "crawl_id")), store)
+    assert len(list((tmp_path / "store" / "history_spans").glob("from_date=*"))) <= 65
+    held = sinks.read_history(spark, store)
+    assert held.count() == 702 and held.columns[-1] == sinks.PARTITION
+    assert held.filter(F.to_date("crawl_timestamp") != F.col(sinks.PARTITION)).count() == 0
+    assert {r.crawl_id for r in held.filter(F.col(sinks.PARTITION).isNull()).collect()} == {"5"}
+    as_of = F.timestamp_seconds(F.lit(1_700_000_000 + 300 * 86_400))
+    assert sinks.purge_history(spark, store, fresh, as_of, 1).first()[0] == 298 + 2
+    assert sinks.read_history(spark, fresh).count() == 402
+    with pytest.raises(ValueError):
+        sinks.purge_history(spark, store, fresh, as_of, 1)
