@@ -98,3 +98,27 @@ def test_pages_by_seek_key_read_the_newest_dates(spark):
     rare = s.page(3, where=F.col("crawl_id").endswith("-00007")).collect()
     assert [r["crawl_id"] for r in rare] == ["11-00007", "10-00007", "09-00007"]
     assert s.page(5, (DAY - timedelta(days=3), "")).count() == 0
+
+
+def test_folders_follow_the_rows_not_the_dates(spark):
+    s = store(spark)
+    made = rows(spark, 900, 2)
+    first = s.append(made)
+    assert len(first.entries) <= 64 and sum(e.rows for e in first.entries) == 1800
+    s.append(rows(spark, 3, 1, "x").withColumn("crawl_id", F.concat(F.lit("x"), "crawl_id")))
+    deleted = s.delete(keys(spark, "500-00001", "899-00000"))
+    assert len(set(first.entries) - set(deleted.entries)) == 2
+    updated = s.upsert(spark.createDataFrame([("501-00000", "failed", DAY + timedelta(days=400))], SCHEMA))
+    want = {r["crawl_id"]: (r["created_at"], r["status"]) for r in s.read(updated).collect()}
+    assert len(want) == 1800 + 3 - 2 and want["501-00000"] == (DAY + timedelta(days=400), "failed")
+    order = sorted(((at, k) for k, (at, _) in want.items()), key=lambda r: (-r[0].timestamp(), r[1]))
+    page = s.page(400)
+    assert [(r["created_at"], r["crawl_id"]) for r in page.collect()] == order[:400]
+    assert len(page.inputFiles()) < 40
+    for n in (0, 700, 1000, 1790):
+        assert [(r["created_at"], r["crawl_id"]) for r in s.page(25, order[n]).collect()] == order[n + 1 : n + 26]
+    one = (DAY + timedelta(days=7)).date()
+    assert {r["created_at"].date() for r in s.read(updated, [one]).collect()} == {one}
+    purged = s.purge(F.lit(DAY + timedelta(days=700)), 1)
+    left = {k for k, (at, status) in want.items() if status not in ("completed", "failed") or at >= DAY + timedelta(days=699)}
+    assert {r["crawl_id"] for r in s.read(purged).collect()} == left
