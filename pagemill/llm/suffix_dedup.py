@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.bcr import least_owner_values
-from pagemill.plans.scratch import durable
+from pagemill.plans.scratch import durable, written
 
 WIDTH = 50
 K = 16
@@ -309,16 +309,15 @@ def _mask_rows(width: int):
 
         block: list[tuple] = []
         for batch in batches:
-            settled = []
-            for a, d, tag, start, windows, piece, mask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if piece is None:
-                    settled.append((d, tag, start, mask))
-                    continue
+            yield pa.RecordBatch.from_arrays(
+                batch.filter(batch.column(5).is_null()).select([1, 2, 3, 6]).columns, ["doc_id", "tag", "start", "mask"]
+            )
+            open_rows = batch.filter(batch.column(5).is_valid())
+            for a, d, tag, start, windows, piece in zip(*(c.to_pylist() for c in open_rows.columns[:6]), strict=True):
                 if len(block) >= BLOCK and block[-1][0] != a:
                     yield emit(_settle(block, width))
                     block = []
                 block.append((a, d, tag, start, windows, piece))
-            yield emit(settled)
         yield emit(_settle(block, width))
 
     return run
@@ -330,19 +329,21 @@ def _cut_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, copy, cuts in zip(*(c for c in batch.columns[1:]), strict=True):
-                data, cuts = text.as_py() or b"", cuts.as_py() or []
+            bounds, held = batch.column(3).offsets.to_numpy(), batch.column(3).values
+            tags, starts, masks = (held.field(c).to_numpy(zero_copy_only=False) for c in ("tag", "start", "mask"))
+            for i, (text, copy) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                data = text.as_py() or b""
                 if copy.as_py() and len(data) >= width:
                     gone = np.ones(len(data), bool)
                 else:
-                    tag = zlib.crc32(data)
-                    edge = np.zeros(len(data) + 1, np.int64)
-                    for c in cuts:
-                        if c["tag"] == tag:
-                            at = c["start"] + np.flatnonzero([c["mask"] >> i & 1 for i in range(STRETCH)])
-                            np.add.at(edge, at, 1)
-                            np.add.at(edge, at + width, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
+                    own = slice(bounds[i], bounds[i + 1])
+                    ours = tags[own] == zlib.crc32(data)
+                    at = starts[own][ours][:, None] + np.arange(STRETCH)
+                    begins = np.zeros(len(data), np.int8)
+                    begins[at[(masks[own][ours][:, None] & _BITS) != 0]] = 1
+                    edge = begins.copy()
+                    edge[width:] -= begins[: max(len(data) - width, 0)]
+                    gone = np.cumsum(edge, dtype=np.int64) > 0
                 left = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 spans = int((gone & ~np.append(False, gone[:-1])[: len(gone)]).sum())
                 rows.append((len(data), int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), left))
@@ -373,8 +374,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, hot: int = H
 
     anchors = named.mapInArrow(_anchor_rows(width, k), "anchor long, doc_id long, docs long, alone boolean")
     place = F.when(F.col("alone"), F.xxhash64("anchor", "doc_id")).otherwise(F.col("anchor"))
-    shared = durable(
-        anchors.repartition(place).sortWithinPartitions("anchor").mapInArrow(_shared_rows(hot), "doc_id long, anchor long")
+    # What meets here is wide on disk and read once: it goes before the next step begins, and so do the pieces.
+    shared = written(
+        anchors.repartition(place).sortWithinPartitions("anchor").mapInArrow(_shared_rows(hot), "doc_id long, anchor long"),
+        "shared-anchors",
     )
     hot_anchors = durable(shared.filter(F.col("doc_id").isNull()).select("anchor", F.lit(True).alias("hot")).distinct())
     if hot_anchors.count() <= MOST_BROADCAST:
@@ -384,7 +387,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, hot: int = H
         F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot")
     )
 
-    # The same exchange of texts serves the pieces and, in the end, the removal.
     text = named.repartition("doc_id")
     own = text.join(copies.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left").select(
         "doc_id", "text", F.coalesce(F.sha2("text", 256) == F.col("copied"), F.lit(False)).alias("copy")
@@ -393,8 +395,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, hot: int = H
         _piece_rows(width, k), _PIECES
     )
     meet = F.coalesce("anchor", F.xxhash64("doc_id", "tag", "start"))
-    masks = pieces.repartition(meet).sortWithinPartitions("anchor").mapInArrow(
-        _mask_rows(width), "doc_id long, tag long, start long, mask long"
+    masks = written(
+        pieces.repartition(meet).sortWithinPartitions("anchor").mapInArrow(
+            _mask_rows(width), "doc_id long, tag long, start long, mask long"
+        ),
+        "masks",
     )
     cuts = masks.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "mask")).alias("cuts"))
     ready = own.join(cuts, "doc_id", "left").select("doc_id", "text", "copy", "cuts")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from pagemill.catalog import stand_ins as D
@@ -88,3 +90,19 @@ def test_look_up_and_listing_read_little(spark, tmp_path):
     assert "TakeOrderedAndProject" in page and page.count("LeftSemi") == 2 and "FullOuter" in page
     narrow = [line for line in page.splitlines() if "FileScan" in line and "title" not in line and "retry_count" not in line]
     assert len(narrow) >= 2  # ids and times of both sides
+
+
+def test_written_rows_leave_no_shuffle_files(spark):
+    from pagemill.plans import scratch
+
+    def held():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    before, setting = held(), spark.conf.get(scratch.CLEANUP)
+    rows = scratch.written(spark.range(1000).repartition(4, "id"), "t-written")
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before
+    assert rows.count() == 1000 and spark.conf.get(scratch.CLEANUP) == setting
