@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagemill.operators import rollups
 from pagemill.plans.scratch import scratch_path
-from pagemill.streaming import jobs, machine
+from pagemill.streaming import fresh, jobs, machine
 
 SECOND = 1_000_000
 BASE = 10_000_000 * SECOND
@@ -106,3 +106,24 @@ def test_kept_counters_equal_one_scan_after_a_replay(spark):
     assert set(by_domain) == {"a", "b", "unknown"} and sum(by_domain.values()) == 600
     rollups.keep_batch(spark.createDataFrame([], FETCHES), path, 1)
     assert rollups.kept_totals(spark, path).first()["fetches"] == 400
+
+
+def test_fresh_results_share_the_state_of_their_bucket(spark, tmp_path):
+    r = random.Random(3)
+    made = [[(r.choice([None, *(f"k{i}" for i in range(300))]), "x", part * 3000 + r.randrange(6000)) for _ in range(900)] for part in range(3)]
+    for events in made:
+        put(spark, str(tmp_path / "in"), events)
+    rows = fresh.fresh_result_stream(stream(spark, str(tmp_path / "in")).select("crawl_id", "event_at"), late="4 hours", buckets=8)
+    found = jobs.run_to_files(rows, "t-fresh").collect()
+    want, kept = set(), {}
+    for events in made:
+        for at, name in sorted((at, name or "") for name, _, at in events):
+            if name not in kept or at >= kept[name] + 3600:
+                kept[name] = at
+                want.add((name, at))
+    assert {(f["crawl_id"] or "", int(f["event_at"].timestamp()) - BASE // SECOND) for f in found} == want and len(found) == len(want)
+    query = fresh.fresh_result_stream(
+        stream(spark, str(tmp_path / "in")).select("crawl_id", "event_at"), late="4 hours", buckets=8
+    ).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) < 300
