@@ -195,34 +195,62 @@ def term_hits(text: Column, topics: Dictionary) -> Column:
     return X.let(F.regexp_extract_all(F.lower(text), F.lit(X.WORD_OR_GAP), F.lit(0)), over)
 
 
+def scanned_hits(hits: Column, topics: Dictionary) -> Column:
+    """``array<struct<pos, term, _topic>>`` of topics whose terms share words: what a scan from the left finds of each."""
+    entries = F.array(*[
+        F.struct(F.lit(topic).alias("topic"), F.split(F.lit("\n".join(words)), "\n").alias("words"))
+        for topic, words in topics.items()
+    ])
+
+    def of_topic(entry: Column, given: Column, terms: Column) -> Column:
+        # Membership is settled once per distinct term of the text.
+        own = X.let(F.array_intersect(entry["words"], terms), lambda held: F.filter(given, lambda h: F.array_contains(held, h["term"])))
+        placed = F.transform(own, lambda h: F.struct(
+            h["pos"].alias("pos"), F.array_position(entry["words"], h["term"]).alias("nth"),
+            (2 * F.size(F.split(h["term"], " ")) - 1).alias("width"), h["term"].alias("term"),
+        ))
+        return F.transform(
+            leftmost(F.array_sort(placed)),
+            lambda h: F.struct(h["pos"].alias("pos"), h["term"].alias("term"), entry["topic"].alias("_topic")),
+        )
+
+    def over(given: Column) -> Column:
+        terms = F.array_distinct(F.transform(given, lambda h: h["term"]))
+        return X.let(terms, lambda t: F.flatten(F.transform(entries, lambda e: of_topic(e, given, t))))
+
+    return X.let(hits, over)
+
+
 def match_keywords(texts: DataFrame, key: str, topics: Dictionary = TOPIC_KEYWORDS) -> DataFrame:
     """(key, topic, keyword) with hits, first position and the text's chunk count.
 
     Tokens are tested against the term set in the row, so only hits are exploded
     and joined to the dictionary; their counts are combined before the shuffle.
     Where a topic's terms share words, the hits of one text and topic are put in
-    order first and scanned from the left; other topics are counted as they come.
+    order in the row and scanned from the left; other topics are counted as they come.
+    The dictionary, whose terms stand in the plan anyway, goes to every task: hits meet
+    by key alone.
     """
-    spark = texts.sparkSession
-    mixed = [topic for topic, words in topics.items() if overlapping(words)]
+    table = dictionary_table(texts.sparkSession, topics)
+    mixed = {topic: words for topic, words in topics.items() if overlapping(words)}
+    hits = term_hits(F.col("text"), topics)
     found = texts.select(
-        key,
-        *([F.monotonically_increasing_id().alias("_text")] if mixed else []),
-        X.count_chunks(F.col("text")).alias("n_chunks"),
-        term_hits(F.col("text"), topics).alias("hits"),
+        key, X.count_chunks(F.col("text")).alias("n_chunks"),
+        (X.let(hits, lambda h: F.struct(h.alias("all"), scanned_hits(h, mixed).alias("scanned"))) if mixed else F.struct(hits.alias("all"))).alias("_hits"),
     )
-    own = [key, "n_chunks"] + ["_text"] * bool(mixed)
-    hits = unnest(found, "hits", *own).select(*own, "item.pos", "item.term").join(dictionary_table(spark, topics), "term")
-    per_topic = [*own, "topic", "topic_ord", "n_keywords"]
-    apart = hits.select(*per_topic, "pos", "term")
     if mixed:
-        scanned = hits.filter("overlaps").groupBy(*per_topic).agg(
-            F.array_sort(F.collect_list(F.struct("pos", "nth", "width", "term"))).alias("hits")
-        )
-        kept = unnest(scanned.withColumn("hits", leftmost(F.col("hits"))), "hits", *per_topic)
-        apart = hits.filter("not overlaps").select(*per_topic, "pos", "term").unionByName(
-            kept.select(*per_topic, "item.pos", "item.term")
+        # One array, exploded once: hits as they come, and those a scan has placed in a topic.
+        entry = F.transform("_hits.all", lambda h: F.struct(h["pos"].alias("pos"), h["term"].alias("term"), F.lit(None).cast("string").alias("_topic")))
+        found = found.select(key, "n_chunks", F.concat(entry, "_hits.scanned").alias("hits"))
+        table = table.withColumn("_topic", F.when(F.col("overlaps"), F.col("topic")))
+        held = unnest(found, "hits", key, "n_chunks").select(key, "n_chunks", "item.pos", "item.term", "item._topic")
+        apart = held.alias("h").join(
+            F.broadcast(table.withColumnRenamed("term", "_term").withColumnRenamed("_topic", "_of")).alias("t"),
+            (F.col("term") == F.col("_term")) & F.col("_topic").eqNullSafe(F.col("_of")),
         )
+    else:
+        found = found.select(key, "n_chunks", F.col("_hits.all").alias("hits"))
+        apart = unnest(found, "hits", key, "n_chunks").select(key, "n_chunks", "item.pos", "item.term").join(F.broadcast(table), "term")
     return apart.groupBy(key, "topic", "topic_ord", "n_keywords", "n_chunks", F.col("term").alias("keyword")).agg(
         F.count(F.lit(1)).alias("hits"), F.min("pos").alias("first_pos")
     )

@@ -151,3 +151,10 @@ def test_text_assembly(spark):
         T.classification_text(F.lit("t"), F.lit("d"), F.array().cast("array<string>"), F.lit("")),
     ).first()
     assert tuple(row) == ("a b body", "t d")
+
+
+def test_terms_that_share_words_are_scanned_without_gathering_their_hits(spark):
+    table = spark.createDataFrame(list(enumerate(MIXED_TEXTS)), "id int, text string")
+    plan = T.match_keywords(table, "id", OVERLAPS)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "MapInArrow" not in plan
+    assert plan.count("hashpartitioning") == 1
