@@ -81,19 +81,22 @@ class TokenIds:
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        if not self.by_piece or _OTHERS.search(text) or self.added.search(text):
+        if not self.by_piece or (not text.isascii() and _OTHERS.search(text)) or self.added.search(text):
             return self._whole(text)
         pieces = _PIECE.findall(text)
         if len(self.known) > KNOWN_PIECES:
             self.known.clear()
-        new = set(pieces).difference(self.known)  # a dict is looked up in, its view would be walked
-        if new:
+        ids = list(map(self.known.get, pieces))  # one look-up per piece; most are known
+        if None in ids:
+            new = {piece for piece, known in zip(pieces, ids, strict=True) if known is None}
             self._learn(new)
-        ids = b"".join(map(self.known.__getitem__, pieces))
-        for piece in new:
-            if len(piece) > PIECE_CHARS:
-                del self.known[piece]
-        return ids
+            ids = list(map(self.known.__getitem__, pieces)) if len(new) > len(ids) // 4 else [
+                self.known[piece] if known is None else known for piece, known in zip(pieces, ids, strict=True)
+            ]
+            for piece in new:
+                if len(piece) > PIECE_CHARS:
+                    del self.known[piece]
+        return b"".join(ids)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -179,3 +179,28 @@ def test_awkward_rows_in_a_manifest(spark):
     assert M.manifest(nothing(spark), COLUMNS).count() == 0
     alone = M.manifest(documents(spark, ["x"]), COLUMNS).collect()
     assert alone[0]["root"] == alone[0]["subroot"] == alone[0]["leaf"] and alone[0]["proof"] == b""
+
+
+def test_known_pieces_are_looked_up_once_and_long_ones_forgotten():
+    import public_tokenizers
+
+    from pagemill.llm import token_files
+
+    class Counted(dict):
+        again = 0
+
+        def __getitem__(self, key):
+            self.again += 1
+            return super().__getitem__(key)
+
+    ids = token_files.TokenIds(public_tokenizers.path("byte_bpe_50k.json"))
+    ids.known = Counted()
+    texts = ["", "one two  two\n\nthree 's 12", "x" * 200 + " one", "two one é", "中 one", "<|endoftext|> one"]
+    for text in texts * 2:
+        assert ids.encode(text) == ids._whole(text)
+    assert ids.known and max(map(len, ids.known)) <= token_files.PIECE_CHARS
+    ids.known.again = 0
+    ids.encode("one two two one")
+    first, ids.known.again = ids.known.again, 0
+    ids.encode("one two two one")
+    assert first <= 4 and ids.known.again == 0
