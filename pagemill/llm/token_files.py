@@ -23,9 +23,11 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ from pagemill.llm.vector_packing import _byte_of_character
 
 END = 0
 SHARD_BYTES = 1 << 30
-BATCH_IDS = 1 << 22
+BLOCK_BYTES = 1 << 22  # at most as many ids
 KNOWN_PIECES = 400_000
 PIECE_CHARS = 48
 
@@ -49,7 +51,10 @@ _PIECE = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]++| ?[{_DIGITS}]++| ?[^{_LETTERS}{_DIGITS}{_BLANKS}]++"
     rf"|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+"
 )
+# A blank between a blank and a space, or at the end behind a blank: a cut before it would part a run of blanks.
+_INSIDE_BLANKS = re.compile(rf"[{_BLANKS}] (?:[{_BLANKS}]|\Z)")
 _SPELLED = {byte: char for char, byte in _byte_of_character().items()}
+_SPACE = _SPELLED[ord(" ")]
 
 
 class TokenIds:
@@ -57,7 +62,9 @@ class TokenIds:
 
     A byte-level vocabulary merges inside pieces only, so a piece seen before needs
     no second call, and a new one goes straight to the tokenizer's model; up to about
-    ``KNOWN_PIECES`` short ones are remembered. Texts with characters outside the
+    ``KNOWN_PIECES`` short ones are remembered. A piece starts at
+    every space that is first or last of a run of blanks, so texts without other
+    spaces are cut there first. Texts with characters outside the
     listed classes, or that spell an added token, go to the tokenizer whole, as do
     all texts of other vocabularies.
     """
@@ -79,32 +86,87 @@ class TokenIds:
         self.added = re.compile("|".join(re.escape(t["content"]) for t in given["added_tokens"]) or r"(?!)")
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
+        return self.encode_block([text])[0].tobytes()
+
+    def encode_block(self, texts: list[str], end: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each text's followed by ``end``, and where each text's begin and end.
+
+        Texts are cut before spaces, each different chunk is cut into pieces once, and each different piece is looked up once.
+        """
+        kinds = [self._kind(text) for text in texts]
+        spaced = pc.split_pattern(pa.array([t for t, kind in zip(texts, kinds, strict=True) if kind == "spaced"], pa.string()), " ")
+        chunks = spaced.values.dictionary_encode()
+        codes, cuts = chunks.indices.to_numpy().copy(), spaced.offsets.to_numpy()
+        heads = _strings(chunks.take(pa.array(cuts[:-1])).cast(pa.string()))  # no space before these
+        units = [" " + chunk for chunk in _strings(chunks.dictionary)]
+        codes[cuts[:-1]] = len(units) + np.arange(len(heads))
+        units += heads
+        units += [t for t, kind in zip(texts, kinds, strict=True) if kind == "pieces"]
+        whole = [self._whole(t) for t, kind in zip(texts, kinds, strict=True) if kind == "whole"]
+        of_kind = {
+            "spaced": (codes[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)),
+            "pieces": ([i] for i in range(len(units) - kinds.count("pieces"), len(units))),
+            "whole": ([i] for i in range(len(units), len(units) + len(whole))),
+        }
+        ids, bounds = _appended(*self._units(units), [*whole, np.array(end, "<u4").tobytes()])
+        last = [len(bounds) - 2]
+        lists = [next(of_kind[kind]) for kind in kinds]
+        sizes = np.fromiter((len(found) + 1 for found in lists), np.int64, len(lists))
+        ids, bounds = _strung(ids, bounds, np.concatenate([part for found in lists for part in (found, last)] or [[]]).astype(np.int64))
+        return ids, bounds[np.append(0, np.cumsum(sizes))]
+
+    def _kind(self, text: str) -> str:
         if not self.by_piece or (not text.isascii() and _OTHERS.search(text)) or self.added.search(text):
-            return self._whole(text)
-        pieces = _PIECE.findall(text)
-        if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
-        ids = list(map(self.known.get, pieces))  # one look-up per piece; most are known
-        if None in ids:
-            new = {piece for piece, known in zip(pieces, ids, strict=True) if known is None}
-            self._learn(new)
-            ids = list(map(self.known.__getitem__, pieces)) if len(new) > len(ids) // 4 else [
-                self.known[piece] if known is None else known for piece, known in zip(pieces, ids, strict=True)
-            ]
-            for piece in new:
-                if len(piece) > PIECE_CHARS:
-                    del self.known[piece]
-        return b"".join(ids)
+            return "whole"
+        return "pieces" if _INSIDE_BLANKS.search(text) else "spaced"
+
+    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that are encoded by piece, and where each text's begin."""
+        cut = list(map(_PIECE.findall, units))
+        pieces = pa.array(chain.from_iterable(cut), pa.string()).dictionary_encode()
+        names = _strings(pieces.dictionary)
+        if len(self.known) > KNOWN_PIECES // 2:
+            self.older, self.known = self.known, {}  # what is still in use moves over
+        found = list(map(self.known.get, names))  # one look-up per different piece
+        for i, ids in enumerate(found):
+            if ids is None:
+                found[i] = ids = self.older.get(names[i]) or self._learned(names[i])
+                if len(names[i]) <= PIECE_CHARS:
+                    self.known[names[i]] = ids
+        ids, bounds = _appended(np.empty(0, "<u4"), np.zeros(1, np.int64), found)
+        ids, bounds = _strung(ids, bounds, pieces.indices.to_numpy())
+        return ids, bounds[np.append(0, np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut))))]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
-        for piece in pieces:
-            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(_SPELLED))
-            self.known[piece] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+    def _learned(self, piece: str) -> bytes:
+        plain = piece.isascii() and piece.isprintable()  # only the space is spelled otherwise
+        spelled = piece.replace(" ", _SPACE) if plain else piece.encode().decode("latin-1").translate(_SPELLED)
+        tokens = self.model.tokenize(spelled)
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+
+def _strings(column: pa.StringArray) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()  # without a scalar for each, as to_pylist has
+
+
+def _appended(ids: np.ndarray, bounds: np.ndarray, more: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids, one after another with their bounds, and ``more`` of them."""
+    sizes = np.fromiter(map(len, more), np.int64, len(more)) // 4
+    return np.append(ids, np.frombuffer(b"".join(more), "<u4")), np.append(bounds, bounds[-1] + np.cumsum(sizes))
+
+
+def _strung(ids: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``which``, in that order and as often as named."""
+    begins = bounds[which]
+    sizes = bounds[which + 1] - begins
+    ends = np.cumsum(sizes)
+    at = np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    return ids[at], np.append(0, ends)
 
 
 @lru_cache(maxsize=1)
@@ -114,36 +176,31 @@ def token_ids(path: str) -> TokenIds:
 
 
 def _encoder(path: str, end: int):
-    last = np.array([end], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = token_ids(path).encode
+        encode = token_ids(path).encode_block
         shard, at = TaskContext.get().partitionId(), 0
 
-        def emit(batch: pa.RecordBatch, begin: int, lists: list[bytes]) -> pa.RecordBatch:
+        def emit(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
             nonlocal at
-            part = batch.slice(begin, len(lists))
-            sizes = np.array([len(x) // 4 for x in lists], np.int64)
-            ends = np.cumsum(sizes)
-            values = np.frombuffer(b"".join(lists), "<i4")
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
+            ids, bounds = encode(texts, (end,))
             columns = [
                 part.column(0), part.column(2),
-                pa.array(np.full(len(lists), shard, np.int32)), pa.array(at + ends - sizes), pa.array(sizes),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                pa.array(np.full(len(texts), shard, np.int32)), pa.array(at + bounds[:-1]), pa.array(np.diff(bounds)),
+                pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view("<i4"))),
             ]
-            at += int(ends[-1])
+            at += int(bounds[-1])
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "kept", "shard", "at", "n_tokens", "tokens"])
 
         for batch in batches:
-            lists: list[bytes] = []
+            texts: list[str] = []
             held = begin = 0
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             for i, text in enumerate(batch.column(1)):
-                lists.append(encode(text.as_py() or "") + last)
-                held += len(lists[-1]) // 4
-                if held >= BATCH_IDS or i == batch.num_rows - 1:
-                    yield emit(batch, begin, lists)
-                    lists, held, begin = [], 0, i + 1
+                texts.append(text.as_py() or "")
+                held += sizes[i]
+                if held >= BLOCK_BYTES or i == batch.num_rows - 1:
+                    yield emit(batch.slice(begin, len(texts)), texts)
+                    texts, held, begin = [], 0, i + 1
 
     return run
 

@@ -204,3 +204,38 @@ def test_known_pieces_are_looked_up_once_and_long_ones_forgotten():
     first, ids.known.again = ids.known.again, 0
     ids.encode("one two two one")
     assert first <= 4 and ids.known.again == 0
+
+
+def test_a_block_of_texts_asks_for_each_piece_once():
+    import public_tokenizers
+
+    from pagemill.llm import token_files
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+    ids = token_files.TokenIds(public_tokenizers.path("byte_bpe_50k.json"))
+    blanks = ["a  b", "a   b", "a\n b", "a \nb", "a \n b", "a\n \n b", " a", "  a", "a ", "a  ", "a\n ", " ", "  ", " 's it's", "a\xa0 b", "a \xa0 b", "a 中 b"]
+    texts = ["", *blanks, "<|endoftext|> a", *[f"{x} {y}" for x in blanks for y in blanks], "x" * 200 + " y" * 50]
+    found, bounds = ids.encode_block(texts, (7,))
+    for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert found[a:b].tobytes() == ids._whole(text) + b"\x07\0\0\0", repr(text)
+    assert bounds[0] == 0 and bounds[-1] == len(found)
+    assert [len(x) for x in ids.encode_block([])] == [0, 1]
+
+    ids.known, words = Counted(), [f"w{i}" for i in range(50)]
+    ids.encode_block([" ".join(words * 20)] * 30)
+    assert Counted.asked <= 110  # 30,000 words, 100 different pieces and the first one without a space
+
+
+def test_pieces_in_use_outlast_a_full_memory(monkeypatch):
+    monkeypatch.setattr(K, "KNOWN_PIECES", 20)
+    ids = K.TokenIds(tokenizer_path())
+    for i in range(40):
+        text = f"kept word {i} " + " ".join(f"other{i}x{j}" for j in range(3))
+        assert ids.encode(text) == np.array(plain_ids(text)[:-1], "<u4").tobytes()
+        assert " word" in ids.known and len(ids.known) + len(ids.older) <= 60
