@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,9 @@ K = 16
 STRETCH = 31
 SLICE = 1 << 20
 BLOCK = 4096
+#: Bytes of pieces that are settled together, and pieces whose bytes are put together at once.
+PIECE_BYTES = 32 << 20
+PARTS = 20_000
 HOT = 500_000
 #: Hot anchors, 16 bytes each, that may be broadcast.
 MOST_BROADCAST = 500_000
@@ -101,8 +105,10 @@ def stretches(data: np.ndarray, ends: np.ndarray, width: int, k: int) -> Iterato
     for lo in range(0, max(last, 0), SLICE):
         hi = min(lo + SLICE, last)
         anchor = _least_of(_substring_hashes(data[lo : hi + width - 1], k), width - k + 1)
-        document = np.searchsorted(ends, np.arange(lo, hi), side="right")
-        inside = np.arange(lo, hi) + width <= ends[document]
+        first, past = np.searchsorted(ends, [lo, hi - 1], side="right") + (0, 1)
+        sizes = np.diff(np.append(lo, np.minimum(ends[first:past], hi)))
+        document = np.repeat(np.arange(first, past), sizes)
+        inside = np.arange(lo + width, hi + width) <= np.repeat(ends[first:past], sizes)
         change = (anchor[1:] != anchor[:-1]) | (document[1:] != document[:-1]) | (inside[1:] != inside[:-1])
         start = np.concatenate([[0], np.flatnonzero(change) + 1])
         count = np.diff(np.append(start, hi - lo))
@@ -194,55 +200,94 @@ def _shared_rows(hot: int):
     return run
 
 
+_MASKS = ["doc_id", "tag", "start", "mask"]
 _PIECES = "anchor long, doc_id long, tag long, start long, windows int, piece binary, mask long"
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _parts(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The substrings of ``data`` that begin at ``at``."""
+    bounds = np.append(0, np.cumsum(sizes))
+    out = np.empty(bounds[-1], np.uint8)
+    for lo in range(0, len(at), PARTS):
+        hi = min(lo + PARTS, len(at))
+        out[bounds[lo] : bounds[hi]] = data[np.repeat(at[lo:hi] - bounds[lo:hi], sizes[lo:hi]) + np.arange(bounds[lo], bounds[hi])]
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(out)])
+
+
+def _least_by(codes: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The least value of each code below ``n``."""
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, codes, values)
+    return least
+
+
 def _piece_rows(width: int, k: int):
-    """``doc_id, text, anchors, hot`` to pieces, or masks where the batch settles them."""
+    """``doc_id, text, anchors, hot`` to pieces, or masks where the batch settles them.
+
+    Shared anchors are shared by all documents that have them, so a batch has one list of them. Equal pieces have
+    equal anchors. Pieces are made and settled by about ``PIECE_BYTES`` at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([
-            ("anchor", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()),
-            ("windows", pa.int32()), ("piece", pa.binary()), ("mask", pa.int64()),
-        ])
+        names = ["anchor", "doc_id", "tag", "start", "windows", "piece", "mask"]
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            flat, data, ends = _joined(texts)
+            _, data, ends = _joined(texts)
             begins = np.append(0, ends[:-1])
-            ids = batch.column(0).to_pylist()
-            tags = [zlib.crc32(t or b"") for t in texts]
-            wanted = [np.sort(np.array(a, np.int64)) for a in batch.column(2).to_pylist()]
-            hot = [set(h or ()) for h in batch.column(3).to_pylist()]
-            rows: list[tuple] = []
-            seen: dict[tuple[int, bytes], int] = {}  # the earliest document of each piece
-            for start, count, anchor, document in stretches(data, ends, width, k):
-                bounds = np.flatnonzero(np.append(True, document[1:] != document[:-1]))
-                for lo, hi in zip(bounds, np.append(bounds[1:], len(document)), strict=True):
-                    d = int(document[lo])
-                    keep = np.flatnonzero(np.isin(anchor[lo:hi], wanted[d])) + lo
-                    for a, s, n in zip(anchor[keep].tolist(), start[keep].tolist(), count[keep].tolist(), strict=True):
-                        step = 1 if a in hot[d] else STRETCH
-                        for at in range(s, s + n, step):
-                            windows = min(step, s + n - at)
-                            piece = flat[at : at + windows + width - 1]
-                            key = xxhash.xxh64_intdigest(piece) - (1 << 63) if step == 1 else a
-                            seen[key, piece] = min(ids[d], seen.get((key, piece), ids[d]))
-                            rows.append((key, ids[d], tags[d], at - int(begins[d]), windows, piece))
-            out = [
-                (*r, None) if seen[r[0], r[5]] == r[1] else (None, *r[1:5], None, (1 << r[4]) - 1)
-                for r in rows
-            ]
-            for at in range(0, len(out), 10_000):
-                part = list(zip(*out[at : at + 10_000], strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(part, schema, strict=True)], schema=schema
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            tags = np.fromiter((zlib.crc32(t or b"") for t in texts), np.int64, len(texts))
+            wanted, hot = (np.unique(batch.column(c).flatten().to_numpy(zero_copy_only=False)) for c in (2, 3))
+
+            def settled(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+                anchor, document, at, windows, single = (np.concatenate(x) for x in zip(*held, strict=True))
+                pieces = _parts(data, at, windows + (width - 1))
+                kinds = pieces.dictionary_encode()
+                codes, own = kinds.indices.to_numpy(), ids[document]
+                early = own > _least_by(codes, own, len(kinds.dictionary))[codes]  # an earlier document holds the piece
+                if single.any():
+                    which, code = np.unique(codes[single], return_inverse=True)
+                    hashes = [xxhash.xxh64_intdigest(p) - (1 << 63) for p in kinds.dictionary.take(pa.array(which)).to_pylist()]
+                    anchor[single] = np.array(hashes, np.int64)[code]
+                rows = pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(anchor, mask=early), pa.array(own), pa.array(tags[document]), pa.array(at - begins[document]),
+                        pa.array(windows.astype(np.int32)), pc.if_else(pa.array(early), pa.scalar(None, pa.binary()), pieces),
+                        pa.array((1 << windows) - 1, mask=~early),
+                    ],
+                    names,
                 )
+                for lo in range(0, rows.num_rows, 10_000):
+                    yield rows.slice(lo, 10_000)
+
+            held, size = [], 0
+            for start, count, anchor, document in stretches(data, ends, width, k):
+                keep = _among(anchor, wanted)
+                start, count, anchor, document = (x[keep] for x in (start, count, anchor, document))
+                step = np.where(_among(anchor, hot), 1, STRETCH)
+                parts = -(-count // step)
+                of = np.repeat(np.arange(len(start)), parts)
+                at = start[of] + (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)) * step[of]
+                windows = np.minimum(step[of], start[of] + count[of] - at)
+                held.append((anchor[of], document[of], at, windows, step[of] == 1))
+                size += int(windows.sum()) + (width - 1) * len(of)
+                if size >= PIECE_BYTES:
+                    yield from settled(held)
+                    held, size = [], 0
+            if size:
+                yield from settled(held)
 
     return run
 
 
-def _least_documents(pieces: list[bytes], own: np.ndarray, width: int) -> dict[int, np.ndarray]:
-    """Per piece and start of a window, the least document whose pieces hold that window; pieces that share none are left out.
+def _least_documents(pieces: list[bytes], own: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces that share a window, and a row for each: per start of a window, the least document whose pieces hold that window.
 
     Windows whose hash no other window has need no comparison. What is left of each
     piece, from its first other window to its last, forms the collection.
@@ -256,69 +301,67 @@ def _least_documents(pieces: list[bytes], own: np.ndarray, width: int) -> dict[i
     _, kind, count = np.unique(hashes[at], return_inverse=True, return_counts=True)
     at = at[count[kind] > 1]
     if not len(at):
-        return {}
+        return at, np.empty((0, STRETCH), np.int64)
     held, first = np.unique(of[at], return_index=True)
     lo = at[first]
     hi = at[np.append(first[1:], len(at)) - 1] + width
     cuts = np.append(0, np.cumsum(hi - lo))
     collection = np.concatenate([flat[a:b] for a, b in zip(lo, hi, strict=True)])
-    found = {}
-    for i, a, values in zip(held, lo - starts[held], least_owner_values(collection, cuts, width, own[held]), strict=True):
-        whole = np.full(ends[i] - starts[i] - width + 1, own[i])
-        whole[a : a + len(values)] = values
-        found[int(i)] = whole
-    return found
+    found = np.repeat(own[held], STRETCH).reshape(-1, STRETCH)
+    for i, (a, values) in enumerate(zip(lo - starts[held], least_owner_values(collection, cuts, width, own[held]), strict=True)):
+        found[i, a : a + len(values)] = values
+    return held, found
 
 
-def _settle(rows: list[tuple], width: int) -> list[tuple]:
+def _settle(rows: pa.Table, width: int) -> pa.RecordBatch:
     """Masks of a block of whole anchors: rows ``anchor, doc_id, tag, start, windows, piece``."""
-    pieces: dict[tuple[int, bytes], int] = {}
-    kinds: dict[int, int] = {}
-    for a, d, _, _, _, piece in rows:
-        known = pieces.get((a, piece))
-        if known is None:
-            kinds[a] = kinds.get(a, 0) + 1
-            pieces[a, piece] = d
-        elif d < known:
-            pieces[a, piece] = d
+    anchor, doc, tag, start, windows = (rows.column(c).to_numpy() for c in range(5))
+    kinds = rows.column(5).dictionary_encode().combine_chunks()
+    codes = kinds.indices.to_numpy()
+    least = _least_by(codes, doc, len(kinds.dictionary))
+    whole = (np.int64(1) << windows.astype(np.int64)) - 1
+    mask = np.where(least[codes] < doc, whole, 0)
     # An anchor with a single piece has nothing to compare; the others form the collection.
-    several = [key for key in pieces if kinds[key[0]] > 1]
-    least: dict[tuple[int, bytes], np.ndarray] = {}
-    if several:
-        found = _least_documents([p for _, p in several], np.array([pieces[key] for key in several], np.int64), width)
-        least = {several[i]: values for i, values in found.items()}
-    out = []
-    for a, d, tag, start, windows, piece in rows:
-        values = least.get((a, piece))
-        if values is None:
-            mask = (1 << windows) - 1 if pieces[a, piece] < d else 0
-        else:
-            mask = int((values < d) @ _BITS[:windows])
-        if mask:
-            out.append((d, tag, start, mask))
-    return out
+    anchors = np.empty(len(least), np.int64)
+    anchors[codes] = anchor
+    _, group, count = np.unique(anchors, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count[group] > 1)
+    if len(several):
+        held, found = _least_documents(kinds.dictionary.take(pa.array(several)).to_pylist(), least[several], width)
+        line = np.full(len(least), -1)
+        line[several[held]] = np.arange(len(held))
+        compared = np.flatnonzero(line[codes] >= 0)
+        for lo in range(0, len(compared), PARTS):
+            which = compared[lo : lo + PARTS]
+            mask[which] = ((found[line[codes[which]]] < doc[which, None]) @ _BITS) & whole[which]
+    some = mask != 0
+    return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (doc, tag, start, mask)], _MASKS)
 
 
 def _mask_rows(width: int):
     """Pieces sorted by anchor to ``doc_id, tag, start, mask``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(out: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) if out else [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "tag", "start", "mask"])
-
-        block: list[tuple] = []
+        held, size, last = [], 0, None
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                batch.filter(batch.column(5).is_null()).select([1, 2, 3, 6]).columns, ["doc_id", "tag", "start", "mask"]
-            )
-            open_rows = batch.filter(batch.column(5).is_valid())
-            for a, d, tag, start, windows, piece in zip(*(c.to_pylist() for c in open_rows.columns[:6]), strict=True):
-                if len(block) >= BLOCK and block[-1][0] != a:
-                    yield emit(_settle(block, width))
-                    block = []
-                block.append((a, d, tag, start, windows, piece))
-        yield emit(_settle(block, width))
+            yield pa.RecordBatch.from_arrays(batch.filter(batch.column(5).is_null()).select([1, 2, 3, 6]).columns, _MASKS)
+            rows = batch.filter(batch.column(5).is_valid()).select(list(range(6)))
+            if not rows.num_rows:
+                continue
+            held.append(rows)
+            size += rows.num_rows
+            before, last = last, rows.column(0)[-1].as_py()
+            if size < BLOCK or before == last:
+                continue  # no anchor ends behind a full block
+            table, begin = pa.Table.from_batches(held), 0
+            anchor = table.column(0).to_numpy()
+            changes = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+            while (i := np.searchsorted(changes, begin + BLOCK)) < len(changes):
+                yield _settle(table.slice(begin, changes[i] - begin), width)
+                begin = changes[i]
+            held, size = table.slice(begin).to_batches(), table.num_rows - begin
+        if size:
+            yield _settle(pa.Table.from_batches(held), width)
 
     return run
 

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagemill.llm import bcr
@@ -82,3 +84,59 @@ def test_awkward_rows(spark):
     assert by_id[2]["n_bytes"] == 0 and by_id[2]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
     assert by_id[1]["n_removed"] == 0 and by_id[None]["n_removed"] == 0
     assert S.remove_repeats(nothing(spark)).count() == 0
+
+
+def test_pieces_cost_no_python_step_each():
+    r = random.Random(4)
+    passage = " ".join(f"p{r.randrange(10**6)}" for _ in range(600))
+    texts = [(f"q{i} " + passage[r.randrange(300) :]).encode() for i in range(200)]
+    _, data, ends = S._joined(texts)
+    anchors = np.unique(np.concatenate([a for _, _, a, _ in S.stretches(data, ends, 50, 16)]))
+    lists = pa.array([anchors.tolist()] * 200)
+    docs = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts), lists, pa.array([[]] * 200, pa.list_(pa.int64()))], ["doc_id", "text", "anchors", "hot"])
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        rows = list(S._piece_rows(50, 16)(iter([docs])))
+    finally:
+        sys.setprofile(None)
+    pieces = sum(b.num_rows for b in rows)
+    assert pieces > 10_000 and calls < pieces / 4, (pieces, calls)
+
+
+def test_blocks_and_slices_may_be_small(monkeypatch):
+    r = random.Random(5)
+    passage = "".join(r.choices("abcdefgh ", k=400))
+    texts = ["", *[passage[r.randrange(200) :] + str(i) for i in range(30)], "", "ab" * 90, "x", passage]
+    docs = [(i, t.encode()) for i, t in enumerate(texts)]
+
+    def masks():
+        _, data, ends = S._joined([t for _, t in docs])
+        found = [np.stack(x, 1) for x in S.stretches(data, ends, 50, 16)]
+        anchors = np.unique(np.concatenate([f[:, 2] for f in found]))
+        n = len(docs)
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array([d for d, _ in docs]), pa.array([t for _, t in docs]), pa.array([anchors] * n), pa.array([anchors[:3]] * n)],
+            ["doc_id", "text", "anchors", "hot"],
+        )
+        rows = pa.Table.from_batches(list(S._piece_rows(50, 16)(iter([batch])))).sort_by("anchor").combine_chunks()
+        bits = set()
+        for part in S._mask_rows(50)(iter(rows.to_batches(7))):
+            for d, start, mask in zip(*(part.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
+                bits |= {(d, start + i) for i in range(S.STRETCH) if mask >> i & 1}
+        return bits
+
+    first, expected = {}, set()
+    for d, t in docs:
+        for i in range(len(t) - 49):
+            if first.setdefault(t[i : i + 50], d) < d:
+                expected.add((d, i))
+    assert masks() == expected
+    for name, size in {"SLICE": 37, "PIECE_BYTES": 500, "BLOCK": 5, "PARTS": 3}.items():
+        monkeypatch.setattr(S, name, size)
+        assert masks() == expected
