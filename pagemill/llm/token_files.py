@@ -37,22 +37,24 @@ from pagemill.llm.vector_packing import _byte_of_character
 
 END = 0
 SHARD_BYTES = 1 << 30
-BLOCK_BYTES = 1 << 22  # at most as many ids
-KNOWN_PIECES = 400_000
+BLOCK_BYTES = 1 << 23  # at most as many ids
+KNOWN_PIECES = 600_000
 PIECE_CHARS = 48
 
 # Letters, digits and blanks up to U+024F and of general punctuation, which all Unicode versions class alike.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _DIGITS = "0-9²³¹¼-¾"
 _BLANKS = "\t-\r \u0085\u00a0"
-_OTHERS = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e]")
+_OTHERS = r"[^\x{0}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{205e}]"
 # Fixed value: how byte-level vocabularies cut a text before merging, with the classes spelled out.
 _PIECE = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]++| ?[{_DIGITS}]++| ?[^{_LETTERS}{_DIGITS}{_BLANKS}]++"
     rf"|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+"
 )
+# The patterns that are plain strings are matched on whole columns.
+_ONE_PIECE = rf"\A ?[{_LETTERS}]+\z"
 # A blank between a blank and a space, or at the end behind a blank: a cut before it would part a run of blanks.
-_INSIDE_BLANKS = re.compile(rf"[{_BLANKS}] (?:[{_BLANKS}]|\Z)")
+_INSIDE_BLANKS = rf"[{_BLANKS}] (?:[{_BLANKS}]|\z)"
 _SPELLED = {byte: char for char, byte in _byte_of_character().items()}
 _SPACE = _SPELLED[ord(" ")]
 
@@ -83,7 +85,7 @@ class TokenIds:
             and cut.get("use_regex", True)
             and not cut.get("add_prefix_space")
         )
-        self.added = re.compile("|".join(re.escape(t["content"]) for t in given["added_tokens"]) or r"(?!)")
+        self.added = [t["content"] for t in given["added_tokens"]]
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -91,54 +93,75 @@ class TokenIds:
     def encode(self, text: str) -> bytes:
         return self.encode_block([text])[0].tobytes()
 
-    def encode_block(self, texts: list[str], end: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    def encode_block(self, texts: list[str] | pa.StringArray, end: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each text's followed by ``end``, and where each text's begin and end.
 
         Texts are cut before spaces, each different chunk is cut into pieces once, and each different piece is looked up once.
         """
-        kinds = [self._kind(text) for text in texts]
-        spaced = pc.split_pattern(pa.array([t for t, kind in zip(texts, kinds, strict=True) if kind == "spaced"], pa.string()), " ")
-        chunks = spaced.values.dictionary_encode()
-        codes, cuts = chunks.indices.to_numpy().copy(), spaced.offsets.to_numpy()
-        heads = _strings(chunks.take(pa.array(cuts[:-1])).cast(pa.string()))  # no space before these
-        units = [" " + chunk for chunk in _strings(chunks.dictionary)]
-        codes[cuts[:-1]] = len(units) + np.arange(len(heads))
-        units += heads
-        units += [t for t, kind in zip(texts, kinds, strict=True) if kind == "pieces"]
-        whole = [self._whole(t) for t, kind in zip(texts, kinds, strict=True) if kind == "whole"]
-        of_kind = {
-            "spaced": (codes[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)),
-            "pieces": ([i] for i in range(len(units) - kinds.count("pieces"), len(units))),
-            "whole": ([i] for i in range(len(units), len(units) + len(whole))),
-        }
-        ids, bounds = _appended(*self._units(units), [*whole, np.array(end, "<u4").tobytes()])
-        last = [len(bounds) - 2]
-        lists = [next(of_kind[kind]) for kind in kinds]
-        sizes = np.fromiter((len(found) + 1 for found in lists), np.int64, len(lists))
-        ids, bounds = _strung(ids, bounds, np.concatenate([part for found in lists for part in (found, last)] or [[]]).astype(np.int64))
-        return ids, bounds[np.append(0, np.cumsum(sizes))]
-
-    def _kind(self, text: str) -> str:
-        if not self.by_piece or (not text.isascii() and _OTHERS.search(text)) or self.added.search(text):
-            return "whole"
-        return "pieces" if _INSIDE_BLANKS.search(text) else "spaced"
-
-    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts that are encoded by piece, and where each text's begin."""
-        cut = list(map(_PIECE.findall, units))
-        pieces = pa.array(chain.from_iterable(cut), pa.string()).dictionary_encode()
-        names = _strings(pieces.dictionary)
-        if len(self.known) > KNOWN_PIECES // 2:
-            self.older, self.known = self.known, {}  # what is still in use moves over
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        whole, pieces = self._kinds(texts)
+        spaced = ~(whole | pieces)
+        split = pc.split_pattern(texts.filter(pa.array(spaced)), " ")
+        chunks, cuts = split.values.dictionary_encode(), split.offsets.to_numpy()
+        codes = chunks.indices.to_numpy().copy()
+        heads = chunks.take(pa.array(cuts[:-1])).cast(pa.string())  # no space before these
+        codes[cuts[:-1]] = len(chunks.dictionary) + np.arange(len(heads))
+        units = pa.concat_arrays([pc.binary_replace_slice(chunks.dictionary, 0, 0, " "), heads, texts.filter(pa.array(pieces))])
+        last = len(units) + int(whole.sum())
+        rest = [*map(self._whole, _strings(texts.filter(pa.array(whole)))), np.array(end, "<u4").tobytes()]
+        lists = pa.concat_arrays([self._units(units), pa.array(rest, pa.large_binary())])
+
+        sizes = np.full(len(texts), 2)  # one unit, or as many as chunks, and the end
+        sizes[spaced] = np.diff(cuts) + 1
+        ends = np.cumsum(sizes)
+        order = np.full(sizes.sum(), last, np.int32)
+        for kind, which in (
+            (spaced, codes),
+            (pieces, np.arange(len(units) - int(pieces.sum()), len(units))),
+            (whole, np.arange(len(units), last)),
+        ):
+            of_kind = np.repeat(kind, sizes)
+            of_kind[ends - 1] = False
+            order[of_kind] = which
+        _, bounds, ids = _strung(lists, order, ends).buffers()
+        bounds = np.frombuffer(bounds, np.int64) // 4
+        return np.frombuffer(ids or b"", "<u4", bounds[-1]), bounds
+
+    def _kinds(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Which texts go to the tokenizer whole, and which of the others are cut into pieces without a cut before spaces."""
+        if not self.by_piece:
+            return np.ones(len(texts), bool), np.zeros(len(texts), bool)
+        whole = pc.match_substring_regex(texts, _OTHERS)
+        for content in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, content))
+        pieces = pc.and_not(pc.match_substring_regex(texts, _INSIDE_BLANKS), whole)
+        return whole.to_numpy(zero_copy_only=False), pieces.to_numpy(zero_copy_only=False)
+
+    def _units(self, units: pa.StringArray) -> pa.LargeBinaryArray:
+        """Ids of texts that are encoded by piece."""
+        single = pc.match_substring_regex(units, _ONE_PIECE).to_numpy(zero_copy_only=False)
+        cut = list(map(_PIECE.findall, _strings(units.filter(pa.array(~single)))))
+        sizes = np.ones(len(units), np.int64)
+        sizes[~single] = np.fromiter(map(len, cut), np.int64, len(cut))
+        cut = pa.array(list(chain.from_iterable(cut)), pa.string())
+        pieces = pa.concat_arrays([units.filter(pa.array(single)), cut]).dictionary_encode()
+        codes, which, alone = pieces.indices.to_numpy(), np.empty(sizes.sum(), np.int32), np.repeat(single, sizes)
+        which[alone], which[~alone] = np.split(codes, [len(codes) - len(cut)])
+        found = self._pieces(_strings(pieces.dictionary))
+        return _strung(pa.array(found, pa.large_binary()), which, np.cumsum(sizes))
+
+    def _pieces(self, names: list[str]) -> list[bytes]:
+        """Ids of different pieces."""
         found = list(map(self.known.get, names))  # one look-up per different piece
-        for i, ids in enumerate(found):
-            if ids is None:
-                found[i] = ids = self.older.get(names[i]) or self._learned(names[i])
-                if len(names[i]) <= PIECE_CHARS:
-                    self.known[names[i]] = ids
-        ids, bounds = _appended(np.empty(0, "<u4"), np.zeros(1, np.int64), found)
-        ids, bounds = _strung(ids, bounds, pieces.indices.to_numpy())
-        return ids, bounds[np.append(0, np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut))))]
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            name = names[i]
+            found[i] = ids = self.older.get(name) or self._learned(name)
+            if len(name) <= PIECE_CHARS:
+                self.known[name] = ids
+        if len(self.known) > KNOWN_PIECES // 2:  # what is still in use moves over
+            self.older, self.known = self.known, {name: ids for name, ids in zip(names, found, strict=True) if len(name) <= PIECE_CHARS}
+        return found
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -154,19 +177,12 @@ def _strings(column: pa.StringArray) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()  # without a scalar for each, as to_pylist has
 
 
-def _appended(ids: np.ndarray, bounds: np.ndarray, more: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Lists of ids, one after another with their bounds, and ``more`` of them."""
-    sizes = np.fromiter(map(len, more), np.int64, len(more)) // 4
-    return np.append(ids, np.frombuffer(b"".join(more), "<u4")), np.append(bounds, bounds[-1] + np.cumsum(sizes))
-
-
-def _strung(ids: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lists ``which``, in that order and as often as named."""
-    begins = bounds[which]
-    sizes = bounds[which + 1] - begins
-    ends = np.cumsum(sizes)
-    at = np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-    return ids[at], np.append(0, ends)
+def _strung(lists: pa.LargeBinaryArray, which: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """The lists ``which``, in that order and as often as named, put together up to each of ``ends``."""
+    taken = lists.take(pa.array(which))
+    _, bounds, ids = taken.buffers()
+    bounds = np.frombuffer(bounds, np.int64, len(taken) + 1)[np.append(0, ends)]
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds), ids])
 
 
 @lru_cache(maxsize=1)
@@ -180,7 +196,7 @@ def _encoder(path: str, end: int):
         encode = token_ids(path).encode_block
         shard, at = TaskContext.get().partitionId(), 0
 
-        def emit(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        def emit(part: pa.RecordBatch, texts: pa.StringArray) -> pa.RecordBatch:
             nonlocal at
             ids, bounds = encode(texts, (end,))
             columns = [
@@ -192,15 +208,14 @@ def _encoder(path: str, end: int):
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "kept", "shard", "at", "n_tokens", "tokens"])
 
         for batch in batches:
-            texts: list[str] = []
-            held = begin = 0
-            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-            for i, text in enumerate(batch.column(1)):
-                texts.append(text.as_py() or "")
-                held += sizes[i]
-                if held >= BLOCK_BYTES or i == batch.num_rows - 1:
-                    yield emit(batch.slice(begin, len(texts)), texts)
-                    texts, held, begin = [], 0, i + 1
+            texts = pc.fill_null(batch.column(1), "")
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+            begin = 0
+            while begin < batch.num_rows:  # a block ends with the text that fills it
+                full = (ends[begin - 1] if begin else 0) + BLOCK_BYTES
+                stop = min(int(np.searchsorted(ends, full)) + 1, batch.num_rows)
+                yield emit(batch.slice(begin, stop - begin), texts.slice(begin, stop - begin))
+                begin = stop
 
     return run
 

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -239,3 +240,38 @@ def test_pieces_in_use_outlast_a_full_memory(monkeypatch):
         text = f"kept word {i} " + " ".join(f"other{i}x{j}" for j in range(3))
         assert ids.encode(text) == np.array(plain_ids(text)[:-1], "<u4").tobytes()
         assert " word" in ids.known and len(ids.known) + len(ids.older) <= 60
+
+
+def test_only_chunks_of_several_pieces_are_cut(monkeypatch):
+    class Counted:
+        cut: list[str] = []
+
+        def findall(self, text, plain=K._PIECE):
+            self.cut.append(text)
+            return plain.findall(text)
+
+    monkeypatch.setattr(K, "_PIECE", Counted())
+    ids = K.TokenIds(tokenizer_path())
+    words = ["".join(random.Random(i).choices("abcdeéñß", k=9)) for i in range(500)]
+    texts = [" ".join(words), "Übung, " + " ".join(words[::-1]), "12 it's\nend " + words[0]]
+    found, bounds = ids.encode_block(texts)
+    for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert found[a:b].tobytes() == ids._whole(text)
+    assert set(["Übung,", "12", " it's\nend"]) <= set(Counted.cut) and len(Counted.cut) <= 5  # and none of the 500 words
+
+
+def test_blocks_of_every_size_give_the_same_rows(monkeypatch):
+    class Task:
+        get = classmethod(lambda cls: cls)
+        partitionId = classmethod(lambda cls: 3)
+
+    monkeypatch.setattr(K, "TaskContext", Task)
+    texts = [None, "", "one two", "a  b", "中 one", None, "x" * 60 + " y", "<|endoftext|> a", "é ñ\n\nz", ""] * 3
+    rows = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(texts, pa.string()), pa.array(["k"] * 30)], ["doc_id", "text", "kept"])
+    for size in (1, 10, 64, 1 << 20):
+        monkeypatch.setattr(K, "BLOCK_BYTES", size)
+        found = [r for b in K._encoder(tokenizer_path(), 0)(iter([rows.slice(0, 11), rows.slice(11, 0), rows.slice(11)])) for r in b.to_pylist()]
+        assert [r["tokens"] for r in found] == [plain_ids(t) for t in texts]
+        assert [r["n_tokens"] for r in found] == [len(plain_ids(t)) for t in texts]
+        assert [r["at"] for r in found] == [sum(len(plain_ids(t)) for t in texts[:i]) for i in range(30)]
+        assert [(r["doc_id"], r["shard"], r["kept"]) for r in found] == [(i, 3, "k") for i in range(30)]
