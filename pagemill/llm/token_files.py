@@ -38,7 +38,7 @@ from pagemill.llm.vector_packing import _byte_of_character
 END = 0
 SHARD_BYTES = 1 << 30
 BLOCK_BYTES = 1 << 23  # at most as many ids
-KNOWN_PIECES = 600_000
+KNOWN_PIECES = 900_000
 PIECE_CHARS = 48
 
 # Letters, digits and blanks up to U+024F and of general punctuation, which all Unicode versions class alike.
